@@ -92,12 +92,12 @@ _TEXT = r"regexp_replace(regexp_replace(lower(body), '^\s+', ''), '\s+$', '')"
 _SHINGLES = f"""SELECT sample_id, unnest([substr(t, i, 5) FOR i IN range(1, length(t) - 3)]) AS s
   FROM (SELECT sample_id, {_TEXT} AS t FROM mail_docs)"""
 _BANDS, _ROWS = neardup.BANDS[0.85]
-_PERMS = [neardup.permutation(i) for i in range(_BANDS * _ROWS)]
-_SIG = ("SELECT sample_id, " + ", ".join(f"min((h * {a} + {b}) % 2147483647) AS m{i}" for i, (a, b) in enumerate(_PERMS))
-        + " FROM (SELECT sample_id, CAST(('0x' || substr(md5(s), 1, 8)) AS BIGINT) AS h FROM sh) GROUP BY sample_id")
-_BUCKETS = " UNION ALL ".join(
-    f"SELECT sample_id, {b} AS band, concat_ws(',', {', '.join(f'm{b * _ROWS + r}' for r in range(_ROWS))}) AS key FROM sig"
-    for b in range(_BANDS))
+_BY_BAND, _BY_ROW = neardup.coefficients(_BANDS, _ROWS)
+_MAPS = "unnest([" + ", ".join(f"{{'band': {i}, 'a': {a}, 'c': {c}}}" for i, (a, c) in enumerate(_BY_BAND)) + "])"
+_SIG = ("SELECT sample_id, band, " + ", ".join(f"min((g * {a} + {c}) % 2147483647) AS m{i}" for i, (a, c) in enumerate(_BY_ROW))
+        + " FROM (SELECT sample_id, b.band AS band, (h * b.a + b.c) % 2147483647 AS g FROM ("
+        + f"SELECT sample_id, CAST(('0x' || substr(md5(s), 1, 8)) AS BIGINT) AS h, {_MAPS} AS b FROM sh)) GROUP BY 1, 2")
+_BUCKETS = f"SELECT sample_id, band, concat_ws(',', {', '.join(f'm{r}' for r in range(_ROWS))}) AS key FROM sig"
 _NEAR = dict(
     sh=_SHINGLES, sig=_SIG, buckets=_BUCKETS,
     star="""SELECT DISTINCT sample_id AS a, leader AS b FROM (
@@ -119,12 +119,12 @@ def shingles(spark, sf):
         "sample_id", F.size("s").alias("n_shingles"), F.size(F.array_distinct("s")).alias("n_distinct"))
 
 
-@query("minhash_signatures", ctes("mail_docs", sh=_SHINGLES, sig=_SIG) + "SELECT sample_id, md5(concat_ws(',', "
-       + ", ".join(f"m{i}" for i in range(len(_PERMS))) + ")) AS signature_md5 FROM sig")
+@query("minhash_signatures", ctes("mail_docs", sh=_SHINGLES, sig=_SIG, buckets=_BUCKETS)
+       + "SELECT sample_id, band, md5(key) AS key FROM buckets")
 def minhash_signatures(spark, sf):
-    sig = neardup.signatures(A.mail_docs(spark, sf), hash_name="md5")
-    return sig.select("sample_id", F.md5(F.concat_ws(",", *[F.col(f"m{i}").cast("string") for i in range(len(_PERMS))]))
-                      .alias("signature_md5"))
+    sig = neardup.signatures(A.mail_docs(spark, sf), _BANDS, _ROWS, hash_name="md5")
+    minima = F.concat_ws(",", *[F.col(f"m{r}").cast("string") for r in range(_ROWS)])
+    return sig.select("sample_id", "band", F.md5(minima).alias("key"))
 
 
 @query("near_dup_clusters", ctes("mail_docs", recursive=True, **_NEAR) + "SELECT * FROM near")
@@ -140,7 +140,7 @@ def near_dup_clusters_fast(spark, sf):
 
 _SIMILAR = dict(
     sets="SELECT sample_id, list(DISTINCT s) AS ss FROM sh GROUP BY 1",
-    similar="""SELECT *, n_common / (n_own + n_leader - n_common) AS jaccard FROM (
+    sims="""SELECT *, n_common / (n_own + n_leader - n_common) AS jaccard FROM (
       SELECT n.sample_id, near_dup_cluster_id AS leader_id, len(x.ss) AS n_own, len(y.ss) AS n_leader,
              len(list_intersect(x.ss, y.ss)) AS n_common
       FROM near n JOIN sets x ON n.sample_id = x.sample_id JOIN sets y ON near_dup_cluster_id = y.sample_id
@@ -148,7 +148,7 @@ _SIMILAR = dict(
 
 
 @query("near_dup_similarity", ctes("mail_docs", recursive=True, **_NEAR, **_SIMILAR) + f"""
-SELECT * REPLACE ({rnd('jaccard')} AS jaccard), jaccard >= 0.85 AS is_verified FROM similar""")
+SELECT * REPLACE ({rnd('jaccard')} AS jaccard), jaccard >= 0.85 AS is_verified FROM sims""")
 def near_dup_similarity(spark, sf):
     docs = A.mail_docs(spark, sf)
     clusters = neardup.near_duplicate_clusters(docs, hash_name="md5")
@@ -156,7 +156,7 @@ def near_dup_similarity(spark, sf):
 
 
 @query("purged_near_dups", ctes("mail_docs", recursive=True, **_NEAR, **_SIMILAR) + """
-SELECT sample_id FROM mail_docs WHERE sample_id NOT IN (SELECT sample_id FROM similar WHERE jaccard >= 0.85)""")
+SELECT sample_id FROM mail_docs WHERE sample_id NOT IN (SELECT sample_id FROM sims WHERE jaccard >= 0.85)""")
 def purged_near_dups(spark, sf):
     docs = A.mail_docs(spark, sf)
     similarity = neardup.leader_similarity(docs, neardup.near_duplicate_clusters(docs, hash_name="md5"))
@@ -379,9 +379,15 @@ def tfidf_word(spark, sf):
     return _weights(spark, sf, vectorize.word_terms(_model_text()))
 
 
-@query("tfidf_char", ctes("mail_docs", **_vocab_ctes(_CHARS, 5000)) + _WEIGHTS)
+@query("tfidf_char", ctes("mail_docs", **_vocab_ctes(_CHARS, 5000), w=_WEIGHTS) + f"""
+SELECT sample_id, count(*) AS n_terms, {rnd('sum(weight)', 3)} AS total_weight, {rnd('max(weight)', 5)} AS max_weight
+FROM w GROUP BY 1""")
 def tfidf_char(spark, sf):
-    return _weights(spark, sf, vectorize.char_terms(_model_text()))
+    """Per email: terms, total and largest weight (the table itself has a row per email and n-gram)."""
+    long = _weights(spark, sf, vectorize.char_terms(_model_text()))
+    per = long.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("total_weight"),
+                                        F.max("weight").alias("max_weight"))
+    return rounded(rounded(per, "total_weight", digits=3), "max_weight", digits=5)
 
 
 # --- flagship -----------------------------------------------------------------------------------------------------
