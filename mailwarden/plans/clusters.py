@@ -89,15 +89,15 @@ def dedup_stats(spark, sf):
 
 # --- near duplicates ---------------------------------------------------------------------------------
 _TEXT = r"regexp_replace(regexp_replace(lower(body), '^\s+', ''), '\s+$', '')"
-_SHINGLES = f"""SELECT sample_id, unnest([substr(t, i, 5) FOR i IN range(1, length(t) - 3)]) AS s
-  FROM (SELECT sample_id, {_TEXT} AS t FROM mail_docs)"""
+_SHINGLES = f"""SELECT sample_id, unnest([c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] FOR i IN range(1, len(c) - 3)]) AS s
+  FROM (SELECT sample_id, string_split({_TEXT}, '') AS c FROM mail_docs)"""
 _BANDS, _ROWS = neardup.BANDS[0.85]
-_BY_BAND, _BY_ROW = neardup.coefficients(_BANDS, _ROWS)
-_MAPS = "unnest([" + ", ".join(f"{{'band': {i}, 'a': {a}, 'c': {c}}}" for i, (a, c) in enumerate(_BY_BAND)) + "])"
-_SIG = ("SELECT sample_id, band, " + ", ".join(f"min((g * {a} + {c}) % 2147483647) AS m{i}" for i, (a, c) in enumerate(_BY_ROW))
-        + " FROM (SELECT sample_id, b.band AS band, (h * b.a + b.c) % 2147483647 AS g FROM ("
-        + f"SELECT sample_id, CAST(('0x' || substr(md5(s), 1, 8)) AS BIGINT) AS h, {_MAPS} AS b FROM sh)) GROUP BY 1, 2")
-_BUCKETS = f"SELECT sample_id, band, concat_ws(',', {', '.join(f'm{r}' for r in range(_ROWS))}) AS key FROM sig"
+_PERMS = [neardup.permutation(i) for i in range(_BANDS * _ROWS)]
+_SIG = ("SELECT sample_id, " + ", ".join(f"min((h * {a} + {c}) % 2147483647) AS m{i}" for i, (a, c) in enumerate(_PERMS))
+        + " FROM (SELECT sample_id, CAST(('0x' || substr(md5(s), 1, 8)) AS BIGINT) AS h FROM sh) GROUP BY 1")
+_BUCKETS = " UNION ALL ".join(
+    f"SELECT sample_id, {b} AS band, md5(concat_ws(',', {', '.join(f'm{b * _ROWS + r}' for r in range(_ROWS))})) AS key FROM sig"
+    for b in range(_BANDS))
 _NEAR = dict(
     sh=_SHINGLES, sig=_SIG, buckets=_BUCKETS,
     star="""SELECT DISTINCT sample_id AS a, leader AS b FROM (
@@ -119,12 +119,10 @@ def shingles(spark, sf):
         "sample_id", F.size("s").alias("n_shingles"), F.size(F.array_distinct("s")).alias("n_distinct"))
 
 
-@query("minhash_signatures", ctes("mail_docs", sh=_SHINGLES, sig=_SIG, buckets=_BUCKETS)
-       + "SELECT sample_id, band, md5(key) AS key FROM buckets")
-def minhash_signatures(spark, sf):
-    sig = neardup.signatures(A.mail_docs(spark, sf), _BANDS, _ROWS, hash_name="md5")
-    minima = F.concat_ws(",", *[F.col(f"m{r}").cast("string") for r in range(_ROWS)])
-    return sig.select("sample_id", "band", F.md5(minima).alias("key"))
+@query("minhash_bands", ctes("mail_docs", sh=_SHINGLES, sig=_SIG, buckets=_BUCKETS) + "SELECT * FROM buckets")
+def minhash_bands(spark, sf):
+    sig = neardup.signatures(A.mail_docs(spark, sf), _BANDS * _ROWS, hash_name="md5")
+    return neardup.band_keys(sig, _BANDS, _ROWS)
 
 
 @query("near_dup_clusters", ctes("mail_docs", recursive=True, **_NEAR) + "SELECT * FROM near")
