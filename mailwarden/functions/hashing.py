@@ -25,7 +25,7 @@ def draw(start: Column, position: Column, salt: int = 0) -> Column:
 
     A squared Weyl sequence: two multiplications per call, so it can run once per character.
     """
-    x = (start + position * F.lit(748321 + 2 * salt)) % F.lit(MODULUS)
+    x = (start + position.cast("bigint") * F.lit(748321 + 2 * salt)) % F.lit(MODULUS)
     return (x * x + F.lit(salt)) % F.lit(MODULUS)
 
 

@@ -5,6 +5,8 @@ plus the four separators U+001C..U+001F, which Python also counts.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from mailwarden.constants import HTML_ENTITIES
@@ -29,6 +31,15 @@ def nz(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Inside a lambda, and below functions that have no code generation, Spark recomputes repeated or row-level
+    expressions for every use; a one-element transform binds them to a variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode white space (``trim`` would remove blanks only)."""
     return F.regexp_replace(F.regexp_replace(c, _LEADING, ""), _TRAILING, "")

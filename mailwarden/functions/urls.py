@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mailwarden.constants import SUSPICIOUS_URL_TOKENS
-from mailwarden.functions.text import DIGIT_CLASS, SPACE, count, nz, py_round, terms_present
+from mailwarden.functions.text import DIGIT_CLASS, SPACE, count, let, nz, py_round, terms_present
 
 URL = rf"(?iU)(?:https?://|www\.)[^{SPACE}<>\"')\]]+"
 AUDIT_URL = rf"(?iU)https?://[^{SPACE}<>\"']+|www\.[^{SPACE}<>\"']+"
@@ -23,39 +23,46 @@ def entropy(u: Column) -> Column:
     """
     chars = F.array_join(F.array_sort(F.split(u, "")), "")
     runs = F.regexp_extract_all(chars, F.lit(r"(?s)(.)\1*"), F.lit(0))
-    n = F.greatest(F.length(u), F.lit(1)).cast("double")
-    bits = F.aggregate(
-        runs, F.lit(0.0),
-        lambda acc, r: acc - (F.length(r) / n) * F.log2(F.length(r) / n),
-    )
+    bits = let(F.greatest(F.length(u), F.lit(1)).cast("double"), lambda n: F.aggregate(
+        runs, F.lit(0.0), lambda acc, r: acc - (F.length(r) / n) * F.log2(F.length(r) / n)))
     return F.when(F.length(u) == 0, F.lit(0.0)).otherwise(py_round(bits, 4) + F.lit(0.0))
 
 
+def _parts(u: Column) -> Column:
+    """Struct (host, path, query) of one URL."""
+    full = F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("http://"), u))
+
+    def split(rest: Column) -> Column:
+        authority = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
+        tail = F.regexp_replace(rest, r"^//[^/?#]*", "")
+        return F.struct(
+            F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":.*$", "")).alias("host"),
+            # a ";" in the last path segment opens parameters, which are not part of the path
+            F.regexp_replace(F.regexp_extract(tail, r"(?s)^[^?#]*", 0), r"(?s);[^/]*$", "").alias("path"),
+            F.regexp_extract(tail, r"(?s)^[^?#]*\?([^#]*)", 1).alias("query"))
+    return let(F.regexp_replace(full, r"^[A-Za-z][A-Za-z0-9+.\-]*:", ""), split)
+
+
 def measures(u: Column) -> Column:
     """Struct of the lexical measures of one URL."""
-    full = F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("http://"), u))
-    rest = F.regexp_replace(full, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
-    authority = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":.*$", ""))
-    tail = F.regexp_replace(rest, r"^//[^/?#]*", "")
-    # a ";" in the last path segment opens parameters, which are not part of the path
-    path = F.regexp_replace(F.regexp_extract(tail, r"(?s)^[^?#]*", 0), r"(?s);[^/]*$", "")
-    query = F.regexp_extract(tail, r"(?s)^[^?#]*\?([^#]*)", 1)
     length = F.length(u)
-    return F.struct(
-        length.alias("url_length"),
-        F.length(host).alias("host_length"),
-        F.length(path).alias("path_length"),
-        F.length(query).alias("query_length"),
-        F.greatest(F.lit(0), F.size(F.split(host, r"\.")) - 2).alias("subdomains"),
-        (count(u, f"[{DIGIT_CLASS}]") / F.greatest(length, F.lit(1))).alias("digit_ratio"),
-        (count(u, r"[^\p{L}\p{N}./_:\-]") / F.greatest(length, F.lit(1))).alias("special_ratio"),
-        count(u, "%").alias("percent_count"),
-        host.rlike(r"(?U)^(\d{1,3}\.){3}\d{1,3}$").cast("int").alias("is_ipv4"),
-        F.contains(host, F.lit("xn--")).cast("int").alias("is_punycode"),
-        terms_present(F.lower(u), SUSPICIOUS_URL_TOKENS).alias("suspicious_tokens"),
-        entropy(u).alias("entropy"),
-    )
+
+    def measure(p: Column) -> Column:
+        return F.struct(
+            length.alias("url_length"),
+            F.length(p["host"]).alias("host_length"),
+            F.length(p["path"]).alias("path_length"),
+            F.length(p["query"]).alias("query_length"),
+            F.greatest(F.lit(0), F.size(F.split(p["host"], r"\.")) - 2).alias("subdomains"),
+            (count(u, f"[{DIGIT_CLASS}]") / F.greatest(length, F.lit(1))).alias("digit_ratio"),
+            (count(u, r"[^\p{L}\p{N}./_:\-]") / F.greatest(length, F.lit(1))).alias("special_ratio"),
+            count(u, "%").alias("percent_count"),
+            p["host"].rlike(r"(?U)^(\d{1,3}\.){3}\d{1,3}$").cast("int").alias("is_ipv4"),
+            F.contains(p["host"], F.lit("xn--")).cast("int").alias("is_punycode"),
+            let(F.lower(u), lambda x: terms_present(x, SUSPICIOUS_URL_TOKENS)).alias("suspicious_tokens"),
+            entropy(u).alias("entropy"),
+        )
+    return let(_parts(u), measure)
 
 
 def parsable(u: Column) -> Column:

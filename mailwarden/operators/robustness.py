@@ -24,32 +24,40 @@ def row_start(seed: int, key: Column) -> Column:
 
 def homoglyph(text: Column, start: Column, p: float) -> Column:
     """Each mapped Latin letter becomes its look-alike with probability p."""
-    def swap(c: Column, i: Column) -> Column:
-        chosen = F.contains(F.lit(K.HOMOGLYPH_LATIN), c) & (draw_unit(start, i, 1) < p)
-        return F.when(chosen, F.translate(c, K.HOMOGLYPH_LATIN, K.HOMOGLYPH_LOOKALIKE)).otherwise(c)
-    return F.array_join(F.transform(X.code_points(text), swap), "")
+    def swap(s: Column):
+        def one(c: Column, i: Column) -> Column:
+            chosen = F.contains(F.lit(K.HOMOGLYPH_LATIN), c) & (draw_unit(s, i, 1) < p)
+            return F.when(chosen, F.translate(c, K.HOMOGLYPH_LATIN, K.HOMOGLYPH_LOOKALIKE)).otherwise(c)
+        return F.transform(X.code_points(text), one)
+    return F.array_join(X.let(start, swap), "")
 
 
 def zero_width(text: Column, start: Column, p: float) -> Column:
     """After each letter, with probability p, one of the zero-width characters."""
     marks = F.array(*[F.lit(z) for z in K.ZERO_WIDTH])
 
-    def insert(c: Column, i: Column) -> Column:
-        mark = F.element_at(marks, (draw(start, i, 3) % len(K.ZERO_WIDTH) + 1).cast("int"))
-        return F.when(c.rlike(r"\p{L}") & (draw_unit(start, i, 2) < p), F.concat(c, mark)).otherwise(c)
-    return F.array_join(F.transform(X.code_points(text), insert), "")
+    def insert(s: Column):
+        def one(c: Column, i: Column) -> Column:
+            mark = F.element_at(marks, (draw(s, i, 3) % len(K.ZERO_WIDTH) + 1).cast("int"))
+            return F.when((draw_unit(s, i, 2) < p) & c.rlike(r"\p{L}"), F.concat(c, mark)).otherwise(c)
+        return F.transform(X.code_points(text), one)
+    return F.array_join(X.let(start, insert), "")
 
 
 def typo(text: Column, start: Column, p: float) -> Column:
     """Words over three characters get one adjacent swap with probability p; words are re-joined by blanks."""
-    words = F.regexp_extract_all(text, F.lit(X.WORD), F.lit(0))
+    def swap(s: Column):
+        def one(w: Column, i: Column) -> Column:
+            at = (draw(s, i, 5) % F.greatest(F.length(w) - 1, F.lit(1))).cast("int")
+            return F.when((F.length(w) > 3) & (draw_unit(s, i, 4) < p), swap_at(w, at)).otherwise(w)
+        return F.transform(F.regexp_extract_all(text, F.lit(X.WORD), F.lit(0)), one)
+    return F.array_join(X.let(start, swap), " ")
 
-    def swap(w: Column, i: Column) -> Column:
-        at = (draw(start, i, 5) % F.greatest(F.length(w) - 1, F.lit(1))).cast("int")
-        swapped = F.concat(F.substring(w, F.lit(1), at), F.substring(w, at + 2, F.lit(1)),
-                           F.substring(w, at + 1, F.lit(1)), F.substring(w, at + 3, F.length(w)))
-        return F.when((F.length(w) > 3) & (draw_unit(start, i, 4) < p), swapped).otherwise(w)
-    return F.array_join(F.transform(words, swap), " ")
+
+def swap_at(text: Column, at: Column) -> Column:
+    """Exchange the characters at 0-based positions ``at`` and ``at + 1``."""
+    return F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + 2, F.lit(1)),
+                    F.substring(text, at + 1, F.lit(1)), F.substring(text, at + 3, F.length(text)))
 
 
 def defang(text: Column) -> Column:
@@ -84,45 +92,58 @@ def attack_table(df: DataFrame, text: str, attacks: list[str] | None = None, sev
     return prepared.select(*(keep or ["sample_id"]), F.inline(variants))
 
 
+def _insert_blank(text: Column, start: Column, j: int) -> Column:
+    at = (draw(start, F.lit(j), 7) % F.greatest(F.length(text), F.lit(1))).cast("int")
+    return F.concat(F.substring(text, F.lit(1), at), F.lit(" "), F.substring(text, at + 1, F.length(text)))
+
+
+def _flip_case(text: Column, start: Column, changes: int) -> Column:
+    n = F.greatest(F.length(text), F.lit(1))
+    spots = F.array(*[((draw(start, F.lit(0), 9) + F.lit(j) * (draw(start, F.lit(1), 9) % 97 + 1)) % n).cast("int")
+                      for j in range(changes)])
+
+    def flip(chosen: Column):
+        def one(c: Column, i: Column) -> Column:
+            flipped = F.when(F.lower(c) == c, F.upper(c)).otherwise(F.lower(c))
+            return F.when(F.array_contains(chosen, i) & c.rlike(r"\p{L}"), flipped).otherwise(c)
+        return F.transform(X.code_points(text), one)
+    return F.array_join(X.let(spots, flip), "")
+
+
+def _punctuate(text: Column, start: Column, j: int) -> Column:
+    """Half the time a mark before some blank, otherwise a trailing run of marks cut to its last one."""
+    mark = F.when(draw(start, F.lit(j), 13) % 2 == 0, ".").otherwise(",")
+
+    def add(pieces: Column) -> Column:
+        blanks = F.size(pieces) - 1
+        at = (draw(start, F.lit(j), 11) % F.greatest(blanks, F.lit(1))).cast("int")
+        marked = F.concat(F.slice(pieces, F.lit(1), at), F.array(F.concat(F.get(pieces, at), mark)),
+                          F.slice(pieces, at + 2, F.size(pieces)))
+        return F.when(blanks > 0, F.array_join(marked, " ")).otherwise(text)
+    added = X.let(F.split(text, " "), add)
+    trimmed = F.regexp_replace(text, r"(?<![.,])[.,]*([.,])\z", "$1")
+    return F.when(draw_unit(start, F.lit(j), 15) < 0.5, added).otherwise(trimmed)
+
+
+def _swap_one(text: Column, start: Column, j: int) -> Column:
+    n = F.length(text)
+    at = (draw(start, F.lit(j), 17) % F.greatest(n, F.lit(1))).cast("int")
+    usable = (n >= 3) & (at < n - 1) & F.substring(text, at + 1, F.lit(1)).rlike(r"\p{L}")
+    allowed = F.lit(j) < F.greatest(F.lit(1), F.floor(n / 50))
+    return F.when(usable & allowed, swap_at(text, at)).otherwise(text)
+
+
 def augment(text: Column, kind: str, start: Column, intensity: int = 1) -> Column:
     """Label-preserving training-time changes."""
-    n = F.length(text)
-    if kind == "whitespace":
-        out = text
-        for j in range(intensity):
-            at = (draw(start, F.lit(j), 7) % F.greatest(F.length(out), F.lit(1))).cast("int")
-            out = F.concat(F.substring(out, F.lit(1), at), F.lit(" "), F.substring(out, at + 1, F.length(out)))
-        return F.when(n > 0, out).otherwise(text)
     if kind == "casing":
-        spots = F.array(*[((draw(start, F.lit(0), 9) + F.lit(j) * (draw(start, F.lit(1), 9) % 97 + 1))
-                           % F.greatest(n, F.lit(1))).cast("int") for j in range(2 * intensity)])
-
-        def flip(c: Column, i: Column) -> Column:
-            flipped = F.when(F.lower(c) == c, F.upper(c)).otherwise(F.lower(c))
-            return F.when(F.array_contains(spots, i) & c.rlike(r"\p{L}"), flipped).otherwise(c)
-        return F.array_join(F.transform(X.code_points(text), flip), "")
-    if kind == "punctuation":
-        out = text
-        for j in range(intensity):
-            pieces = F.split(out, " ")
-            at = (draw(start, F.lit(j), 11) % F.greatest(F.size(pieces) - 1, F.lit(1))).cast("int")
-            mark = F.when(draw(start, F.lit(j), 13) % 2 == 0, ".").otherwise(",")
-            added = F.array_join(F.transform(
-                pieces, lambda w, i: F.when((i == at) & (i < F.size(pieces) - 1), F.concat(w, mark)).otherwise(w)), " ")
-            trimmed = F.regexp_replace(out, r"[.,]*([.,])\z", "$1")
-            out = F.when(draw_unit(start, F.lit(j), 15) < 0.5, added).otherwise(trimmed)
-        return out
-    if kind == "character":
-        out = text
-        for j in range(intensity):
-            at = (draw(start, F.lit(j), 17) % F.greatest(n, F.lit(1))).cast("int")
-            swapped = F.concat(F.substring(out, F.lit(1), at), F.substring(out, at + 2, F.lit(1)),
-                               F.substring(out, at + 1, F.lit(1)), F.substring(out, at + 3, n))
-            usable = (n >= 3) & (at < n - 1) & F.substring(out, at + 1, F.lit(1)).rlike(r"\p{L}")
-            allowed = F.lit(j) < F.greatest(F.lit(1), F.floor(n / 50))
-            out = F.when(usable & allowed, swapped).otherwise(out)
-        return out
-    raise ValueError(f"unknown augmentation: {kind}")
+        return _flip_case(text, start, 2 * intensity)
+    step = {"whitespace": _insert_blank, "punctuation": _punctuate, "character": _swap_one}.get(kind)
+    if step is None:
+        raise ValueError(f"unknown augmentation: {kind}")
+    out = text
+    for j in range(intensity):
+        out = step(out, start, j)
+    return F.when(F.length(text) > 0, out).otherwise(text)
 
 
 def augmentation_table(df: DataFrame, text: str, seed: int = 42, intensity: int = 1,

@@ -22,30 +22,28 @@ def fit_scaler(train: DataFrame, features: list[str], method: str = "standard",
     """Table (feature, center, scale) from one aggregation over the training rows.
 
     ``standard`` uses the population deviation. ``robust`` uses quartiles from a mergeable sketch, whose
-    size does not grow with the data. A zero spread scales by 1, so constant columns become 0.
+    size does not grow with the data. A zero spread scales by 1, so constant columns become 0. The columns are
+    unpivoted and combined map-side: a few aggregates over few keys compile, hundreds of wide ones do not.
     """
     if method not in METHODS:
         raise ValueError(f"unknown scaling method: {method}")
-    rows = finite(train, features)
-    pairs = []
-    for f in features:
-        if method == "standard":
-            center, spread = F.avg(f), F.stddev_pop(f)
-        elif method == "minmax":
-            center, spread = F.min(f), F.max(f) - F.min(f)
-        else:
-            q = F.percentile_approx(f, [0.25, 0.5, 0.75], accuracy)
-            center, spread = q[1], q[2] - q[0]
-        pairs.append(F.struct(F.lit(f).alias("feature"), center.cast("double").alias("center"),
-                              spread.cast("double").alias("scale")))
-    fitted = rows.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+    rows = finite(train.select(*features), features).unpivot([], features, "feature", "value")
+    v = F.col("value")
+    if method == "standard":
+        center, spread = F.avg(v), F.stddev_pop(v)
+    elif method == "minmax":
+        center, spread = F.min(v), F.max(v) - F.min(v)
+    else:
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        center, spread = q[1], q[2] - q[0]
+    fitted = rows.groupBy("feature").agg(center.alias("center"), spread.alias("scale"))
     return fitted.withColumn("scale", F.when(F.col("scale") == 0, F.lit(1.0)).otherwise(F.col("scale")))
 
 
 def apply_scaler(df: DataFrame, params: DataFrame) -> DataFrame:
     """Scale with fitted parameters. The parameter table has one row per feature, so reading it is bounded."""
     fitted = {r["feature"]: (r["center"], r["scale"]) for r in params.collect()}
-    if not fitted or any(v[0] is None for v in fitted.values()):
+    if not fitted:
         raise RuntimeError("scaler is not fitted: the training rows were empty")
     out = finite(df, list(fitted))
     return out.select(*[

@@ -484,7 +484,7 @@ def _augment_sql() -> str:
     ws = f"({_draw('s', '0', 7)} % greatest(length(t), 1))"
     spots = "[" + ", ".join(f"({_draw('s', '0', 9)} + {j} * ({_draw('s', '1', 9)} % 97 + 1)) % greatest(length(t), 1)" for j in range(2)) + "]"
     casing = (f"array_to_string(list_transform(string_split(t, ''), lambda c, i: CASE WHEN list_contains({spots}, i - 1) AND "
-              r"regexp_matches(c, '\p{L}') THEN CASE WHEN lower(c) = c THEN upper(c) ELSE lower(c) END ELSE c END), '')")
+              r"regexp_matches(c, '\p{L}') THEN CASE WHEN c = 'ß' THEN 'SS' WHEN lower(c) = c THEN upper(c) ELSE lower(c) END ELSE c END), '')")
     mark = f"CASE WHEN {_draw('s', '0', 13)} % 2 = 0 THEN '.' ELSE ',' END"
     at = f"({_draw('s', '0', 11)} % greatest(len(string_split(t, ' ')) - 1, 1))"
     punct = (f"CASE WHEN {_u('s', '0', 15)} < 0.5 THEN array_to_string(list_transform(string_split(t, ' '), lambda w, i: "
@@ -540,7 +540,7 @@ def report_long(spark, sf):
 def _featured(spark, sf):
     """Feature rows of the labelled pages with a split; written once, because every fit reads them again."""
     rows = splits.group_split(A.mail_pages(spark, sf), "sample_id")
-    return cut_lineage(features.feature_table(rows, keep=["sample_id", "dataset_id", "label", "split"]))
+    return models.compact(features.feature_table(rows, keep=["sample_id", "dataset_id", "label", "split"]))
 
 
 def _report(scored):
@@ -565,7 +565,7 @@ def lr_tfidf_holdout(spark, sf):
     mail = splits.group_split(A.mail_docs(spark, sf).filter("label is not null"), "sample_id")
     rows, _ = vectorize.fit_transform(
         mail.select("sample_id", "label", "split", vectorize_text().alias("t")), F.col("t"), F.col("split") == "train", 2000, 2000)
-    rows = cut_lineage(rows.select("sample_id", "label", "split", "features"))
+    rows = models.compact(rows.select("sample_id", "label", "split", "features"))
     fitted = models.train_logistic(*_parts(rows), max_iter=50)
     return _report(fitted.score(rows)).withColumn("best_c", F.lit(fitted.best_c))
 
@@ -596,8 +596,8 @@ def loso_lr(spark, sf):
     mail = A.mail_docs(spark, sf).filter("label is not null").join(langs, F.col("raw_row_id") == F.col("doc_id"))
     mail = mail.withColumn("dataset_id", F.col("lang")).drop("lang", "doc_id")
     assigned = splits.loso_assign(mail)
-    rows = cut_lineage(features.feature_table(assigned, ["lexical", "structural"],
-                                              ["sample_id", "held_out_fold", "inner_split", "label"]))
+    rows = models.compact(features.feature_table(assigned, ["lexical", "structural"],
+                                                 ["sample_id", "held_out_fold", "inner_split", "label"]))
     columns = features.LEXICAL + features.STRUCTURAL
     scored = None
     for r in rows.select("held_out_fold").distinct().orderBy("held_out_fold").collect():      # one row per source
@@ -642,4 +642,4 @@ def source_probe(spark, sf):
     mail = splits.group_split(A.mail_docs(spark, sf), "sample_id").join(langs, F.col("raw_row_id") == F.col("doc_id"))
     rows = features.feature_table(mail.withColumn("dataset_id", F.col("lang")), ["lexical", "structural"],
                                   ["sample_id", "dataset_id", "split"])
-    return models.source_probe(models.dense_features(cut_lineage(rows), features.LEXICAL + features.STRUCTURAL), 20)
+    return models.source_probe(models.dense_features(models.compact(rows), features.LEXICAL + features.STRUCTURAL), 20)
