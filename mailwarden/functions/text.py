@@ -60,7 +60,10 @@ def count(c: Column, pattern: str) -> Column:
 
 
 def py_round(c: Column, digits: int) -> Column:
-    """Half-even rounding of the binary value, as Python's ``round`` does (Spark's rounds half-up)."""
+    """Half-even rounding close to Python's ``round`` (Spark's rounds half-up on the decimal text).
+
+    A product that lands on a tie by rounding (2.675 * 100) can differ from Python in the last digit.
+    """
     scale = float(10 ** digits)
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
