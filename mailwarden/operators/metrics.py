@@ -56,11 +56,12 @@ def classification_metrics(df: DataFrame, groups: list[str] | None = None) -> Da
 
 
 def threshold_curve(df: DataFrame, groups: list[str]) -> DataFrame:
-    """Per distinct score: positives and negatives at it, and cumulative tp / fp down to it."""
+    """Per distinct score: positives and negatives at it, cumulative tp / fp down to it, and the slice's totals."""
     at_score = df.groupBy(*groups, "prob").agg(
         F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg"))
     return running_totals(at_score, groups, probability_bin(F.col("prob")), [F.col("prob").desc()],
-                          {"pos": "tp", "neg": "fp"}, descending_bins=True)
+                          {"pos": "tp", "neg": "fp"}, descending_bins=True,
+                          totals={"pos": "all_pos", "neg": "all_neg"})
 
 
 def ranking_metrics(df: DataFrame, groups: list[str] | None = None, fpr_budget: float = 0.005) -> DataFrame:
@@ -70,16 +71,14 @@ def ranking_metrics(df: DataFrame, groups: list[str] | None = None, fpr_budget:
     if made:
         df = df.withColumn("_all", F.lit(0))
     points = threshold_curve(df, groups)
-    totals = points.groupBy(*groups).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    joined = points.join(totals, groups)
-    p, n = F.first("_p").cast("double"), F.first("_n").cast("double")
+    p, n = F.max("all_pos").cast("double"), F.max("all_neg").cast("double")
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
-    out = joined.groupBy(*groups).agg(
+    within = F.col("fp") <= F.col("all_neg") * fpr_budget
+    out = points.groupBy(*groups).agg(
         F.when((p > 0) & (n > 0), area / F.nullif(p * n, F.lit(0.0))).alias("roc_auc"),
-        F.coalesce(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.nullif(p, F.lit(0.0)),
-                   F.lit(0.0)).alias("pr_auc"),
-        F.coalesce(F.max(F.when(F.col("fp") <= F.col("_n") * fpr_budget, F.col("tp"))) / F.nullif(p, F.lit(0.0)),
-                   F.lit(0.0)).alias("recall_at_fpr"))
+        F.coalesce(F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))
+                   / F.nullif(p, F.lit(0.0)), F.lit(0.0)).alias("pr_auc"),
+        F.coalesce(F.max(F.when(within, F.col("tp"))) / F.nullif(p, F.lit(0.0)), F.lit(0.0)).alias("recall_at_fpr"))
     return out.drop("_all") if made else out
 
 
@@ -101,13 +100,11 @@ def calibration_error(df: DataFrame, groups: list[str] | None = None, bins: int
 
 def all_metrics(df: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Every metric of a slice in one row."""
-    made = not groups
-    groups = groups or ["_all"]
-    if made:
-        df = df.withColumn("_all", F.lit(0))
-    out = (classification_metrics(df, groups).join(ranking_metrics(df, groups), groups)
-           .join(calibration_error(df, groups), groups))
-    return out.drop("_all") if made else out
+    if groups:
+        return (classification_metrics(df, groups).join(ranking_metrics(df, groups), groups)
+                .join(calibration_error(df, groups), groups))
+    parts = [f(df).withColumn("_all", F.lit(0)) for f in (classification_metrics, ranking_metrics, calibration_error)]
+    return parts[0].join(F.broadcast(parts[1]), "_all").join(F.broadcast(parts[2]), "_all").drop("_all")   # one row each
 
 
 def coverage_risk(df: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7)) -> DataFrame:

@@ -22,14 +22,12 @@ def stratified_split(df: DataFrame, stratify_col: str = "label", test_size: floa
                      val_size: float = 0.15, seed: int = 42) -> DataFrame:
     """Exact per-stratum quotas: rows are ranked by hash within their stratum.
 
-    Two labels would mean two window tasks, so the rank is built from 4096 hash bins per stratum.
+    Two labels would mean two window tasks, so the rank is built from 65,536 hash bins per stratum.
     """
     stratum = F.coalesce(F.col(stratify_col).cast("string"), F.lit("missing"))
     keyed = df.withColumns({"_stratum": stratum, "_h": F.md5(seeded(seed, F.col("sample_id"))), "_one": F.lit(1)})
-    sizes = keyed.groupBy("_stratum").agg(F.sum("_one").alias("_n"))
-    ranked = running_totals(keyed, ["_stratum"], F.substring("_h", 1, 3),
-                            [F.col("_h"), F.col("sample_id")], {"_one": "_rank"})
-    placed = ranked.join(sizes, "_stratum")
+    placed = running_totals(keyed, ["_stratum"], F.substring("_h", 1, 4), [F.col("_h"), F.col("sample_id")],
+                            {"_one": "_rank"}, totals={"_one": "_n"})
     n_test = F.round(F.col("_n") * F.lit(test_size))
     n_val = F.round(F.col("_n") * F.lit(val_size))
     side = (F.when(F.col("_rank") <= n_test, "test").when(F.col("_rank") <= n_test + n_val, "val")

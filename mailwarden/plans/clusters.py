@@ -343,19 +343,17 @@ def _model_text():
 
 
 def _train_vocab(docs, terms, n):
-    counts = vectorize.term_counts(docs, terms)
-    train = docs.filter("split = 'train'").select("sample_id")
-    return counts, vectorize.vocabulary(counts.join(train, "sample_id", "left_semi"), 2, n)
+    return vectorize.vocabulary(vectorize.term_counts(docs.filter("split = 'train'"), terms), 2, n)
 
 
 @query("vocab_word", ctes("mail_docs", **_vocab_ctes(_WORDS, 30000)) + "SELECT * FROM vocab")
 def vocab_word(spark, sf):
-    return _train_vocab(_split_docs(spark, sf), vectorize.word_terms(_model_text()), 30000)[1]
+    return _train_vocab(_split_docs(spark, sf), vectorize.word_terms(_model_text()), 30000)
 
 
 @query("vocab_char", ctes("mail_docs", **_vocab_ctes(_CHARS, 30000)) + "SELECT * FROM vocab")
 def vocab_char(spark, sf):
-    return _train_vocab(_split_docs(spark, sf), vectorize.char_terms(_model_text()), 30000)[1]
+    return _train_vocab(_split_docs(spark, sf), vectorize.char_terms(_model_text()), 30000)
 
 
 _WEIGHTS = f"""
@@ -367,9 +365,8 @@ SELECT sample_id, term, idx, {rnd('w / sqrt(sum(w * w) OVER (PARTITION BY sample
 
 def _weights(spark, sf, terms):
     docs = _split_docs(spark, sf)
-    counts, vocab = _train_vocab(docs, terms, 5000)
-    fitted = vectorize.fit_idf(vocab, docs.filter("split = 'train'").count())
-    return rounded(vectorize.tfidf(counts, fitted), "weight")
+    fitted = vectorize.fit(docs.filter("split = 'train'"), terms, 2, 5000)
+    return rounded(vectorize.tfidf(vectorize.term_counts(docs, terms), fitted), "weight")
 
 
 @query("tfidf_word", ctes("mail_docs", **_vocab_ctes(_WORDS, 5000)) + _WEIGHTS)

@@ -157,7 +157,7 @@ SELECT prob, pos::BIGINT AS pos, neg::BIGINT AS neg, (sum(pos) OVER w)::BIGINT A
 FROM (SELECT prob, sum(label) AS pos, sum(1 - label) AS neg FROM predictions GROUP BY 1) WINDOW w AS (ORDER BY prob DESC)""")
 def roc_points(spark, sf):
     df = A.predictions(spark, sf).withColumn("one", F.lit(1))
-    return metrics.threshold_curve(df, ["one"]).drop("one")
+    return metrics.threshold_curve(df, ["one"]).drop("one", "all_pos", "all_neg")
 
 
 _EDGES = [i * (1.0 / 15) for i in range(1, 15)] + [1.0]
