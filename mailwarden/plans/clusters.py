@@ -28,8 +28,9 @@ def _hashed(spark, sf):
 
 
 def _exact(spark, sf):
-    """Canonical rows with hashes and exact clusters, written once and reused by the queries below."""
-    return cut_lineage(dedup.mark_exact_duplicates(_hashed(spark, sf), "subj_body_hash"))
+    """Ids, labels, hash and exact cluster of every row, without the texts; written once."""
+    marked = dedup.mark_exact_duplicates(_hashed(spark, sf), "subj_body_hash")
+    return cut_lineage(marked.select("sample_id", "dataset_id", "label", "subj_body_hash", "dedup_cluster_id"))
 
 
 @query("dup_hashes", ctes("mail_docs", hashed=_HASHED)
@@ -173,8 +174,8 @@ _UNIFIED = dict(
 
 def _unified(spark, sf):
     exact = _exact(spark, sf)
-    near = neardup.near_duplicate_clusters(exact, hash_name="md5")
-    return neardup.unify_clusters(exact, (exact, "dedup_cluster_id"), (near, "near_dup_cluster_id"))
+    near = neardup.near_duplicate_edges(A.mail_docs(spark, sf), hash_name="md5")
+    return neardup.unify_edges(exact, neardup.cluster_edges(exact, "dedup_cluster_id"), near)
 
 
 @query("unified_clusters", ctes("mail_docs", recursive=True, **_UNIFIED)
