@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailwarden.functions.hashing import hash32, seeded, unit
+from mailwarden.functions.hashing import seeded, unit
 from mailwarden.operators.ranks import running_totals
 
 

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from mailwarden import constants as K
-from mailwarden.functions.hashing import seeded, unit as unit_hash
+from mailwarden.functions.hashing import unit as unit_hash
 from mailwarden.operators import attribution, evaluate, features, metrics, models, robustness, scoring, splits, vectorize
 from mailwarden.plans.registry import ctes, hash32, lit, query, rnd, rounded, unit
 from mailwarden.session import cut_lineage, scratch_path
@@ -564,13 +564,13 @@ def lr_tfidf_holdout(spark, sf):
     """Logistic regression on word and character TF-IDF."""
     mail = splits.group_split(A.mail_docs(spark, sf).filter("label is not null"), "sample_id")
     rows, _ = vectorize.fit_transform(
-        mail.select("sample_id", "label", "split", vectorize_text().alias("t")), F.col("t"), F.col("split") == "train", 2000, 2000)
+        mail.select("sample_id", "label", "split", _subject_body().alias("t")), F.col("t"), F.col("split") == "train", 2000, 2000)
     rows = models.compact(rows.select("sample_id", "label", "split", "features"))
     fitted = models.train_logistic(*_parts(rows), max_iter=50)
     return _report(fitted.score(rows)).withColumn("best_c", F.lit(fitted.best_c))
 
 
-def vectorize_text():
+def _subject_body():
     return F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
 
 
@@ -591,7 +591,7 @@ def gbt_holdout(spark, sf):
 @query("loso_lr")
 def loso_lr(spark, sf):
     """One model per held-out language: trained on the other languages, tested on it. Loops over folds only."""
-    A._views(spark, sf, "documents", "labels")
+    A.register_views(spark, sf, "documents", "labels")
     langs = spark.sql("SELECT doc_id, lang FROM documents")
     mail = A.mail_docs(spark, sf).filter("label is not null").join(langs, F.col("raw_row_id") == F.col("doc_id"))
     mail = mail.withColumn("dataset_id", F.col("lang")).drop("lang", "doc_id")
@@ -637,7 +637,7 @@ def feature_ablation(spark, sf):
 @query("source_probe")
 def source_probe(spark, sf):
     """How well the text features give away the language a mail comes from."""
-    A._views(spark, sf, "documents")
+    A.register_views(spark, sf, "documents")
     langs = spark.sql("SELECT doc_id, lang FROM documents")
     mail = splits.group_split(A.mail_docs(spark, sf), "sample_id").join(langs, F.col("raw_row_id") == F.col("doc_id"))
     rows = features.feature_table(mail.withColumn("dataset_id", F.col("lang")), ["lexical", "structural"],

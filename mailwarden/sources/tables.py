@@ -103,28 +103,28 @@ FROM (SELECT sample_id, dataset_id, subject, label,
 """
 
 
-def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+def register_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
 def mail_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "documents", "labels")
+    register_views(spark, sf_dir, "documents", "labels")
     return spread(spark.sql(MAIL_DOCS), "sample_id")
 
 
 def mail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "pages")
+    register_views(spark, sf_dir, "pages")
     return spread(spark.sql(MAIL_PAGES), "sample_id")
 
 
 def mail_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "conversations")
+    register_views(spark, sf_dir, "conversations")
     return spark.sql(MAIL_THREADS)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "documents", "labels")
+    register_views(spark, sf_dir, "documents", "labels")
     return spark.sql(predictions_sql("spark"))
 
 
@@ -148,7 +148,7 @@ def raw_corpus_sql(dialect: str) -> str:
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "documents", "labels")
+    register_views(spark, sf_dir, "documents", "labels")
     return spark.sql(raw_corpus_sql("spark"))
 
 
@@ -162,5 +162,5 @@ SELECT sample_id, dataset_id, label, raw_row_id FROM ({MAIL_DOCS}) b WHERE raw_r
 
 
 def broken_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "documents", "labels")
+    register_views(spark, sf_dir, "documents", "labels")
     return spark.sql(BROKEN_DOCS)

@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from mailwarden.operators import components, dedup, leakage, neardup, splits
 
