@@ -588,24 +588,38 @@ def gbt_holdout(spark, sf):
     return _report(fitted.score(rows))
 
 
-@query("loso_lr")
-def loso_lr(spark, sf):
-    """One model per held-out language: trained on the other languages, tested on it. Loops over folds only."""
+def _by_language(spark, sf):
+    """Labelled mail with its language as the source, and the leave-one-source-out choice."""
     A.register_views(spark, sf, "documents", "labels")
     langs = spark.sql("SELECT doc_id, lang FROM documents")
     mail = A.mail_docs(spark, sf).filter("label is not null").join(langs, F.col("raw_row_id") == F.col("doc_id"))
-    mail = mail.withColumn("dataset_id", F.col("lang")).drop("lang", "doc_id")
-    assigned = splits.loso_assign(mail)
-    rows = models.compact(features.feature_table(assigned, ["lexical", "structural"],
-                                                 ["sample_id", "held_out_fold", "inner_split", "label"]))
+    return splits.loso_assign(mail.withColumn("dataset_id", F.col("lang")).drop("lang", "doc_id"))
+
+
+@query("loso_lr")
+def loso_lr(spark, sf):
+    """One model per held-out language on text features: trained on the other languages, tested on it."""
     columns = features.LEXICAL + features.STRUCTURAL
-    scored = None
-    for r in rows.select("held_out_fold").distinct().orderBy("held_out_fold").collect():      # one row per source
-        fold = models.dense_features(splits.loso_fold(rows, r["held_out_fold"]), columns)
-        fitted = models.train_logistic(*_parts(fold), grid=(1.0,), max_iter=50)
-        part = fitted.score(fold.filter("split = 'test'")).select("held_out_fold", "label", "pred", "prob")
-        scored = part if scored is None else scored.union(part)
-    return metrics.all_metrics(scored, ["held_out_fold"])
+    rows = models.compact(features.feature_table(_by_language(spark, sf), ["lexical", "structural"],
+                                                 ["sample_id", "held_out_fold", "inner_split", "label"]))
+
+    def fit_fold(fold):
+        dense = models.dense_features(fold, columns)
+        return models.train_logistic(*_parts(dense), grid=(1.0,), max_iter=50), dense
+    return metrics.all_metrics(models.loso_scores(rows, fit_fold), ["held_out_fold"])
+
+
+@query("loso_tfidf_lr")
+def loso_tfidf_lr(spark, sf):
+    """The same with word and character TF-IDF, refitted on the training languages of every fold."""
+    rows = models.compact(_by_language(spark, sf).select(
+        "sample_id", "held_out_fold", "inner_split", "label", _subject_body().alias("t")))
+
+    def fit_fold(fold):
+        vectors, _ = vectorize.fit_transform(fold, F.col("t"), F.col("split") == "train", 1000, 1000)
+        vectors = models.compact(vectors.select("sample_id", "held_out_fold", "label", "split", "features"))
+        return models.train_logistic(*_parts(vectors), grid=(1.0,), max_iter=20), vectors
+    return metrics.all_metrics(models.loso_scores(rows, fit_fold), ["held_out_fold"])
 
 
 @query("linear_attribution")
