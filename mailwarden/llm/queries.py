@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mailwarden.llm import license_scan, packing, quality_rules, secret_scan, warc
+from mailwarden.llm import jaccard_join, license_scan, packing, quality_rules, secret_scan, warc
 from mailwarden.llm.common import read
 
 QUERIES: dict[str, Callable] = {}
@@ -38,3 +38,8 @@ def op7_warc_revisit(spark, sf_dir):
 @query
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
