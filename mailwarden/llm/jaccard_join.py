@@ -6,8 +6,9 @@ Level 0. Document pivots are useless at first: a text is at distance 1 from near
 exclude anything. The first pivots are therefore single shingles. A set is nearer to the pivots that it holds than to
 any other; among those the globally rarest wins (a fixed-size sketch of shingle counts, then the hash, give one order for
 all sets). A set within distance 0.1 of x misses at most n // 10 of the n shingles of x, so its own region is among the
-n // 10 + 1 nearest regions of x: into these x is replicated, and no linked pair is lost. Regions that share a set are
-merged, so that every set meets all that may be near it, in one place.
+n // 10 + 1 nearest regions of x: into these x is replicated, and no linked pair is lost. Within such a region sets are
+ordered by size, where linked sets differ by a factor of 0.9 at most, and neighbours in that order are chained up to the
+first larger step. Chains that share a set are merged, so that every set meets all that may be near it, in one place.
 
 Level 1 and on. Within a region documents are pivots: each set learns its exact distance to a pivot, is linked if that is
 0.1 or less, and is compared with other sets only where their distances to every pivot so far differ by at most 0.1 and
@@ -32,7 +33,7 @@ SHINGLE = 3
 #: Sets that one task joins at most.
 REGION = 4096
 #: Counters of the sketch, whatever the size of the data, in slices that are added up apart.
-COUNTERS, SLICES = 1 << 20, 64
+COUNTER_BITS, SLICES = 21, 64
 PIVOTS = 8
 #: Anchors that a task holds before it hands them on.
 HELD = 1 << 20
@@ -57,14 +58,15 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def _counts(df: DataFrame, text_col: str, size: int):
-    """Sketch: how many texts hold a shingle of each of ``COUNTERS`` classes. Its size never grows."""
-    width = COUNTERS // SLICES
+    """Sketch: how many texts hold a shingle of each of ``2 ** COUNTER_BITS`` classes. Its size never grows."""
+    counters, shift = 1 << COUNTER_BITS, U(64 - COUNTER_BITS)
+    width = counters // SLICES
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.uint32)
+        total = np.zeros(counters, np.uint32)
         for rows in pieces(batches):
             sets = shingle_sets([t or b"" for _, t in rows], size)
-            total += np.bincount((np.concatenate(sets) >> U(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(total, (np.concatenate(sets) >> shift).astype(np.int64), 1)
         z = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(SLICES), pa.int32()),
@@ -73,79 +75,90 @@ def _counts(df: DataFrame, text_col: str, size: int):
 
     def add(table):
         total = sum(np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.uint64) for x in table["counts"].to_pylist())
-        total = np.minimum(total, (1 << 20) - 1).astype(np.uint32)
+        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
         return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     shape = "slice int, counts binary"
     parts = df.select(F.lit(0).alias("id"), df[text_col].alias("text")).mapInArrow(count, shape)
-    rows = parts.groupBy("slice").applyInArrow(add, shape).collect()      # COUNTERS * 4 bytes in all
-    out = np.zeros(COUNTERS, np.uint32)
+    rows = parts.groupBy("slice").applyInArrow(add, shape).collect()      # 4 bytes a counter in all
+    out = np.zeros(counters, np.uint32)
     for r in rows:
         out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
-    return out
+    # 16 bits keep the order of counts well enough, and one order for all is all that matters
+    return np.minimum(out >> np.uint32(max(0, int(out.mean()).bit_length() - 10)), 65535).astype(np.uint16)
 
 
 def anchors(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The n // 10 + 1 first shingles of a sorted set in the global order (count, hash)."""
-    key = (counts[(s >> U(44)).astype(np.int64)].astype(np.uint64) << U(44)) | (s & U((1 << 44) - 1))
+    key = (counts[(s >> U(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << U(48)) | (s & U((1 << 48) - 1))
     return s[np.argsort(key, kind="stable")[:len(s) // 10 + 1]]
 
 
-def stars(anchor: np.ndarray, sid: np.ndarray):
-    """Edges from each set to the least set at the same anchor, and one (anchor, least set) per anchor."""
-    order = np.lexsort((sid, anchor))
-    anchor, sid = anchor[order], sid[order]
-    first = np.concatenate(([True], anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, bool)
-    least = sid[first][np.cumsum(first) - 1]
-    far = sid != least
-    pairs = np.unique(np.stack([sid[far], least[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-    return pairs, anchor[first], sid[first]
+def chains(anchor: np.ndarray, n: np.ndarray, owner: np.ndarray):
+    """Edges between sets of like size at the same anchor, and one (anchor, size, owner) per anchor and size."""
+    order = np.lexsort((owner, n, anchor))
+    anchor, n, owner = anchor[order], n[order], owner[order]
+    if len(anchor) < 2:
+        return np.zeros((0, 2), np.int64), anchor, n, owner
+    same = anchor[1:] == anchor[:-1]
+    level = same & (n[1:] == n[:-1])
+    near = same & (10 * n[:-1] >= 9 * n[1:]) & (owner[1:] != owner[:-1])
+    pairs = np.stack([owner[1:][near], owner[:-1][near]], 1)
+    first = np.concatenate(([True], ~level))
+    return np.unique(pairs, axis=0), anchor[first], n[first], owner[first]
 
 
-SCAN = "kind int, doc_id long, sid long, key2 long, n long, bucket int, anchors binary, sids binary"
+SCAN = "kind int, doc_id long, sid long, key2 long, n long, uid long, bucket int, anchors binary, sizes binary, owners binary"
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, size: int, counts, buckets: int) -> DataFrame:
-    """Per text its keys (kind 0); per task and bucket its anchors (kind 1); edges within the task (kind 2)."""
-    shape = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("key2", pa.int64()),
-                       ("n", pa.int64()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("sids", pa.binary())])
+    """Per text its keys (kind 0); per task and bucket its anchors (kind 1); edges within the task (kind 2, n and uid).
+
+    A ``uid`` names a row by its task and place, so that the owners of a bucket's anchors are short runs of small steps.
+    """
+    shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "key2", "n", "uid")),
+                       ("bucket", pa.int32()), *((c, pa.binary()) for c in ("anchors", "sizes", "owners"))])
 
     def run(batches):
-        held, owners, n_held, known = [], [], 0, counts.value
+        from pyspark import TaskContext
+
+        z = zstandard.ZstdCompressor(level=1)
+        held, sizes, owners, n_held, known, uid = [], [], [], 0, counts.value, TaskContext.get().partitionId() << 40
 
         def flush():
-            pairs, a, s = stars(np.concatenate(held), np.concatenate(owners))
-            if len(pairs):
-                yield [(2, None, int(x), int(y), None, None, None, None) for x, y in pairs.tolist()]
+            pairs, a, n, own = chains(*map(np.concatenate, (held, sizes, owners)))
+            yield [(2, None, None, None, x, y, None, None, None, None) for x, y in pairs.tolist()]
             which = (mix(a) % U(buckets)).astype(np.int64)
-            order = np.argsort(which, kind="stable")
+            order = np.lexsort((own, which))
             cut = np.searchsorted(which[order], np.arange(buckets + 1))
             out = []
             for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    own = np.sort(order[cut[b]:cut[b + 1]])
-                    out.append((1, None, None, None, None, b, a[own].tobytes(), s[own].tobytes()))
+                k = order[cut[b]:cut[b + 1]]
+                if len(k):
+                    out.append((1, None, None, None, None, None, b, a[k].tobytes(), z.compress(n[k].astype(np.uint32).tobytes()),
+                                z.compress(np.diff(own[k], prepend=0).tobytes())))
             yield out
 
         def rows_of():
-            nonlocal n_held
+            nonlocal n_held, uid
             for rows in pieces(batches):
                 sets, out = shingle_sets([t or b"" for _, t in rows], size), []
                 for (key, _), s in zip(rows, sets):
                     if not len(s) or key is None:
-                        out.append((0, key, None, None, len(s), None, None, None))
+                        out.append((0, key, None, None, len(s), None, None, None, None, None))
                         continue
-                    sid, key2 = set_keys(s)
-                    out.append((0, key, sid, key2, len(s), None, None, None))
+                    uid += 1
+                    out.append((0, key, *set_keys(s), len(s), uid, None, None, None, None))
                     a = anchors(s, known)
                     held.append(a)
-                    owners.append(np.full(len(a), sid, np.int64))
+                    sizes.append(np.full(len(a), len(s), np.int64))
+                    owners.append(np.full(len(a), uid, np.int64))
                     n_held += len(a)
                 yield out
                 if n_held >= HELD:
                     yield from flush()
-                    held.clear()
-                    owners.clear()
+                    for x in (held, sizes, owners):
+                        x.clear()
                     n_held = 0
             if held:
                 yield from flush()
@@ -282,16 +295,18 @@ def _deal(sets: DataFrame) -> DataFrame:
     return written(sets.select("region", "sid", "hashes").join(pivots, "region").mapInArrow(work, MEMBER), "jaccard_regions")
 
 
-def _links(sets: DataFrame, buckets: int, region_limit: int) -> DataFrame:
-    """All links of the regions, up to connectivity: large regions are dealt anew until they are small."""
+def _links(sets_of, members: DataFrame, sized: DataFrame, buckets: int, region_limit: int) -> DataFrame:
+    """All links of the regions, up to connectivity: large regions are dealt anew until they are small.
+
+    ``sets_of`` gives the shingle sets of some members; only those of large regions are written, the others go straight
+    to the task of their region.
+    """
     found, blank = [], F.lit(None).cast("int").alias("half")
+    if sized.isEmpty():
+        return _join_regions(sets_of(members).withColumn("half", blank), buckets)
+    found.append(_join_regions(sets_of(members.join(sized, "region", "left_anti")).withColumn("half", blank), buckets))
+    large = written(sets_of(members.join(sized.select("region"), "region")), "jaccard_sets")
     while True:
-        sized = written(sets.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region_limit), "jaccard_large")
-        if sized.isEmpty():
-            found.append(_join_regions(sets.select("region", "sid", "hashes", blank), buckets))
-            break
-        found.append(_join_regions(sets.join(sized, "region", "left_anti").select("region", "sid", "hashes", blank), buckets))
-        large = written(sets.join(sized.select("region"), "region"), "jaccard_members")
         dealt = _deal(large)
         found.append(dealt.filter("src is not null").select("src", "dst"))
         members = dealt.filter("src is null")
@@ -308,6 +323,11 @@ def _links(sets: DataFrame, buckets: int, region_limit: int) -> DataFrame:
                           F.when(F.col("own") == F.col("other"), None).otherwise((F.col("own") < F.col("other")).cast("int")).alias("half")))
         found.append(_join_regions(written(blocks, "jaccard_blocks"), buckets))
         sets = written(rest.filter("not stuck").select("region", "sid", "hashes"), "jaccard_sets")
+        sized = written(sets.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region_limit), "jaccard_large")
+        found.append(_join_regions(sets.join(sized, "region", "left_anti").select("region", "sid", "hashes", blank), buckets))
+        if sized.isEmpty():
+            break
+        large = written(sets.join(sized.select("region"), "region"), "jaccard_sets")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -327,7 +347,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = 4 * shuffle_partitions(spark)
     counts = spark.sparkContext.broadcast(_counts(df, text_col, size))
     scan = written(_scan(df, id_col, text_col, size, counts, buckets), "jaccard_scan")
-    docs = scan.filter("kind = 0").select("doc_id", "sid", "key2", "n")
+    docs = scan.filter("kind = 0").select("doc_id", "sid", "key2", "n", "uid")
     firsts = written(docs.filter("sid is not null").groupBy("sid").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("key2").alias("a"), F.max("key2").alias("b")),
         "jaccard_firsts")
@@ -335,23 +355,32 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise RuntimeError("two different sets have the same 64-bit key; change the constants of set_keys")
 
     def meet(table):
-        raw = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
-        pairs, _, _ = stars(raw("anchors", np.uint64), raw("sids", np.int64))
+        unpack = lambda c, t: [np.frombuffer(zstandard.decompress(x), t) for x in table[c].to_pylist()]
+        pairs, _, _, _ = chains(np.frombuffer(b"".join(table["anchors"].to_pylist()), np.uint64),
+                                np.concatenate(unpack("sizes", np.uint32)).astype(np.int64),
+                                np.concatenate([np.cumsum(x) for x in unpack("owners", np.int64)]))
         return pa.table([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
-    met = scan.filter("kind = 1").select("bucket", "anchors", "sids").groupBy("bucket").applyInArrow(meet, EDGE)
-    near = scan.filter("kind = 2").select(F.col("sid").alias("src"), F.col("key2").alias("dst")).unionByName(met).distinct()
-    regions = connected_components(near).select(F.col("id").alias("sid"), F.col("component").alias("region"))
-    members = regions.join(firsts.select("sid", "first"), "sid").select(F.col("first").alias("doc_id"), "sid", "region")
+    met = (scan.filter("kind = 1").select("bucket", "anchors", "sizes", "owners").groupBy("bucket").applyInArrow(meet, EDGE)
+           .unionByName(scan.filter("kind = 2").select(F.col("n").alias("src"), F.col("uid").alias("dst"))).distinct())
+    keys = docs.filter("sid is not null").select("uid", "sid")
+    near = (met.join(keys.select(F.col("uid").alias("src"), F.col("sid").alias("a")), "src")
+            .join(keys.select(F.col("uid").alias("dst"), F.col("sid").alias("b")), "dst")
+            .filter("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
+    regions = connected_components(written(near, "jaccard_near")).select(F.col("id").alias("sid"), F.col("component").alias("region"))
+    members = written(regions.join(firsts.select("sid", "first"), "sid")
+                      .select(F.col("first").alias("doc_id"), "sid", "region"), "jaccard_members")
 
     def to_sets(rows):
         sets = shingle_sets([t or b"" for _, t, _, _ in rows], size)
         return [(region, sid, s.tobytes()) for (_, _, sid, region), s in zip(rows, sets) if len(s) and set_keys(s)[0] == sid]
 
-    texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).join(members, "doc_id")
-    sets = written(map_texts(texts, ["doc_id", "text", "sid", "region"], "region long, sid long, hashes binary", to_sets),
-                   "jaccard_sets")
-    links = _links(sets, buckets, region_limit)
+    def sets_of(some):
+        texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).join(some, "doc_id")
+        return map_texts(texts, ["doc_id", "text", "sid", "region"], "region long, sid long, hashes binary", to_sets)
+
+    sized = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region_limit)
+    links = _links(sets_of, members, written(sized, "jaccard_large"), buckets, region_limit)
     groups = connected_components(links).withColumnRenamed("id", "sid")
     least = groups.join(firsts, "sid").groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(least, "component").select("sid", "component_id")
