@@ -2,13 +2,13 @@
 
 Distance is 1 - Jaccard over sets of word shingles, a metric; two sets are linked at distance 0.1 or less.
 
-Level 0. Document pivots are useless at first: a text is at distance 1 from nearly every other text, so no window would
-exclude anything. The first pivots are therefore single shingles. A set is nearer to the pivots that it holds than to
-any other; among those the globally rarest wins (a fixed-size sketch of shingle counts, then the hash, give one order for
-all sets). A set within distance 0.1 of x misses at most n // 10 of the n shingles of x, so its own region is among the
-n // 10 + 1 nearest regions of x: into these x is replicated, and no linked pair is lost. Within such a region sets are
-ordered by size, where linked sets differ by a factor of 0.9 at most, and neighbours in that order are chained up to the
-first larger step. Chains that share a set are merged, so that every set meets all that may be near it, in one place.
+Level 0. Whole documents are useless as first pivots: a text is at distance 1 from nearly every other text, so no window
+would exclude anything (one shared shingle each as pivots merged half of the sets into one region, too). The first
+regions are therefore cells of partial distances. Sets of like size share a split of all shingles, by hash, into g parts;
+in each part the pivots are the contents that occur there, and a set belongs to the pivot at partial distance 0, its own
+content. Linked sets differ in at most (n + m) // 19 shingles, so with g above that number some part is equal: putting a
+set into one region per part, and sets near the edge of a size class into the next class as well, loses no linked pair.
+Regions that share a set are merged, so that every set meets all that may be near it, in one place.
 
 Level 1 and on. Within a region documents are pivots: each set learns its exact distance to a pivot, is linked if that is
 0.1 or less, and is compared with other sets only where their distances to every pivot so far differ by at most 0.1 and
@@ -32,10 +32,10 @@ from mailwarden.operators.components import connected_components
 SHINGLE = 3
 #: Sets that one task joins at most.
 REGION = 4096
-#: Counters of the sketch, whatever the size of the data, in slices that are added up apart.
-COUNTER_BITS, SLICES = 21, 64
+#: Size classes grow by this factor; parts beyond the least number, which may be empty in a set.
+GROWTH, SPARE = 1 / 0.7, 2
 PIVOTS = 8
-#: Anchors that a task holds before it hands them on.
+#: Part contents that a task holds before it hands them on.
 HELD = 1 << 20
 U = np.uint64
 
@@ -57,77 +57,81 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _counts(df: DataFrame, text_col: str, size: int):
-    """Sketch: how many texts hold a shingle of each of ``2 ** COUNTER_BITS`` classes. Its size never grows."""
-    counters, shift = 1 << COUNTER_BITS, U(64 - COUNTER_BITS)
-    width = counters // SLICES
-
-    def count(batches):
-        total = np.zeros(counters, np.uint32)
-        for rows in pieces(batches):
-            sets = shingle_sets([t or b"" for _, t in rows], size)
-            np.add.at(total, (np.concatenate(sets) >> shift).astype(np.int64), 1)
-        z = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()),
-             pa.array([z.compress(total[k * width:(k + 1) * width].tobytes()) for k in range(SLICES)], pa.binary())],
-            names=["slice", "counts"])
-
-    def add(table):
-        total = sum(np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.uint64) for x in table["counts"].to_pylist())
-        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-        return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    shape = "slice int, counts binary"
-    parts = df.select(F.lit(0).alias("id"), df[text_col].alias("text")).mapInArrow(count, shape)
-    rows = parts.groupBy("slice").applyInArrow(add, shape).collect()      # 4 bytes a counter in all
-    out = np.zeros(counters, np.uint32)
-    for r in rows:
-        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
-    # 16 bits keep the order of counts well enough, and one order for all is all that matters
-    return np.minimum(out >> np.uint32(max(0, int(out.mean()).bit_length() - 10)), 65535).astype(np.uint16)
-
-
-def anchors(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The n // 10 + 1 first shingles of a sorted set in the global order (count, hash)."""
-    key = (counts[(s >> U(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << U(48)) | (s & U((1 << 48) - 1))
-    return s[np.argsort(key, kind="stable")[:len(s) // 10 + 1]]
+def size_classes(limit: int) -> np.ndarray:
+    """First size of each class, up to the class beyond ``limit``."""
+    lows = [1]
+    while lows[-1] <= limit:
+        lows.append(max(lows[-1] + 1, int(np.ceil(lows[-1] * GROWTH))))
+    return np.array(lows + [int(np.ceil(lows[-1] * GROWTH)), int(np.ceil(lows[-1] * GROWTH ** 2))])
 
 
-def chains(anchor: np.ndarray, n: np.ndarray, owner: np.ndarray):
-    """Edges between sets of like size at the same anchor, and one (anchor, size, owner) per anchor and size."""
-    order = np.lexsort((owner, n, anchor))
-    anchor, n, owner = anchor[order], n[order], owner[order]
-    if len(anchor) < 2:
-        return np.zeros((0, 2), np.int64), anchor, n, owner
-    same = anchor[1:] == anchor[:-1]
-    level = same & (n[1:] == n[:-1])
-    near = same & (10 * n[:-1] >= 9 * n[1:]) & (owner[1:] != owner[:-1])
-    pairs = np.stack([owner[1:][near], owner[:-1][near]], 1)
-    first = np.concatenate(([True], ~level))
-    return np.unique(pairs, axis=0), anchor[first], n[first], owner[first]
+def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(region key, number of its set): a key per part of each set.
 
-
-SCAN = "kind int, doc_id long, sid long, key2 long, n long, uid long, bucket int, anchors binary, sizes binary, owners binary"
-
-
-def _scan(df: DataFrame, id_col: str, text_col: str, size: int, counts, buckets: int) -> DataFrame:
-    """Per text its keys (kind 0); per task and bucket its anchors (kind 1); edges within the task (kind 2, n and uid).
-
-    A ``uid`` names a row by its task and place, so that the owners of a bucket's anchors are short runs of small steps.
+    Empty parts give keys only in sets with more than ``SPARE`` of them: any other set has a part that is equal and not
+    empty. Sets below ten shingles link with equal sets only, which are copies.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    lows = size_classes(int(sizes.max(initial=1)))
+    own = np.searchsorted(lows, sizes, side="right") - 1
+    keys, owners = [], []
+    for step in (0, 1):
+        k = np.flatnonzero(sizes >= 10) if step == 0 else np.flatnonzero((sizes >= 10) & (10 * sizes >= 9 * lows[own + 1]))
+        if not len(k):
+            continue
+        cls = own[k] + step
+        parts = 2 * (lows[cls + 1] - 1) // 19 + 1 + SPARE
+        first = np.cumsum(parts) - parts
+        n, flat = sizes[k], np.concatenate([sets[i] for i in k])
+        mixed = mix(flat + U(17))
+        place = (mixed >> U(20)) % np.repeat(parts, n).astype(np.uint64)
+        at = place.astype(np.int64) + np.repeat(first, n)
+        total, held = np.zeros(parts.sum(), np.uint64), np.bincount(at, minlength=parts.sum())
+        np.add.at(total, at, mix(flat ^ U(0x1234567)))
+        owner = np.repeat(k, parts)
+        part = np.arange(len(owner)) - np.repeat(first, parts)
+        empty = np.add.reduceat((held == 0).astype(np.int64), first)
+        use = (held > 0) | np.repeat(empty > SPARE, parts)
+        label = mix(np.repeat(cls, parts).astype(np.uint64) * U(1 << 32) + part.astype(np.uint64))
+        keys.append(mix(total + label)[use])
+        owners.append(owner[use])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(keys or [none.astype(np.uint64)]), np.concatenate(owners or [none])
+
+
+def chains(key: np.ndarray, owner: np.ndarray):
+    """Edges between successive owners of the same key, and one (key, owner) per key."""
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    if len(key) < 2:
+        return np.zeros((0, 2), np.int64), key, owner
+    same = key[1:] == key[:-1]
+    near = same & (owner[1:] != owner[:-1])
+    pairs = np.unique(np.stack([owner[1:][near], owner[:-1][near]], 1), axis=0)
+    first = np.concatenate(([True], ~same))
+    return pairs, key[first], owner[first]
+
+
+SCAN = "kind int, doc_id long, sid long, key2 long, n long, uid long, bucket int, keys binary, owners binary"
+
+
+def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int) -> DataFrame:
+    """Per text its keys (kind 0); per task and bucket its regions (kind 1); edges within the task (kind 2, n and uid).
+
+    A ``uid`` names a row by its task and place, so that the owners of a bucket's regions are short runs of small steps.
     """
     shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "key2", "n", "uid")),
-                       ("bucket", pa.int32()), *((c, pa.binary()) for c in ("anchors", "sizes", "owners"))])
+                       ("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
         z = zstandard.ZstdCompressor(level=1)
-        held, sizes, owners, n_held, known, uid = [], [], [], 0, counts.value, TaskContext.get().partitionId() << 40
+        held, owners, n_held, uid = [], [], 0, TaskContext.get().partitionId() << 40
 
         def flush():
-            pairs, a, n, own = chains(*map(np.concatenate, (held, sizes, owners)))
-            yield [(2, None, None, None, x, y, None, None, None, None) for x, y in pairs.tolist()]
+            pairs, a, own = chains(np.concatenate(held), np.concatenate(owners))
+            yield [(2, None, None, None, x, y, None, None, None) for x, y in pairs.tolist()]
             which = (mix(a) % U(buckets)).astype(np.int64)
             order = np.lexsort((own, which))
             cut = np.searchsorted(which[order], np.arange(buckets + 1))
@@ -135,7 +139,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, counts, buckets:
             for b in range(buckets):
                 k = order[cut[b]:cut[b + 1]]
                 if len(k):
-                    out.append((1, None, None, None, None, None, b, a[k].tobytes(), z.compress(n[k].astype(np.uint32).tobytes()),
+                    out.append((1, None, None, None, None, None, b, a[k].tobytes(),
                                 z.compress(np.diff(own[k], prepend=0).tobytes())))
             yield out
 
@@ -143,22 +147,24 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, counts, buckets:
             nonlocal n_held, uid
             for rows in pieces(batches):
                 sets, out = shingle_sets([t or b"" for _, t in rows], size), []
-                for (key, _), s in zip(rows, sets):
+                own = np.zeros(len(rows), np.int64)
+                for i, ((key, _), s) in enumerate(zip(rows, sets)):
                     if not len(s) or key is None:
-                        out.append((0, key, None, None, len(s), None, None, None, None, None))
+                        out.append((0, key, None, None, len(s), None, None, None, None))
+                        sets[i] = s[:0]
                         continue
                     uid += 1
-                    out.append((0, key, *set_keys(s), len(s), uid, None, None, None, None))
-                    a = anchors(s, known)
-                    held.append(a)
-                    sizes.append(np.full(len(a), len(s), np.int64))
-                    owners.append(np.full(len(a), uid, np.int64))
-                    n_held += len(a)
+                    own[i] = uid
+                    out.append((0, key, *set_keys(s), len(s), uid, None, None, None))
+                regions, which = cells(sets)
+                held.append(regions)
+                owners.append(own[which])
+                n_held += len(regions)
                 yield out
                 if n_held >= HELD:
                     yield from flush()
-                    for x in (held, sizes, owners):
-                        x.clear()
+                    held.clear()
+                    owners.clear()
                     n_held = 0
             if held:
                 yield from flush()
@@ -345,8 +351,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = df.sparkSession
     buckets = 4 * shuffle_partitions(spark)
-    counts = spark.sparkContext.broadcast(_counts(df, text_col, size))
-    scan = written(_scan(df, id_col, text_col, size, counts, buckets), "jaccard_scan")
+    scan = written(_scan(df, id_col, text_col, size, buckets), "jaccard_scan")
     docs = scan.filter("kind = 0").select("doc_id", "sid", "key2", "n", "uid")
     firsts = written(docs.filter("sid is not null").groupBy("sid").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("key2").alias("a"), F.max("key2").alias("b")),
@@ -355,13 +360,11 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise RuntimeError("two different sets have the same 64-bit key; change the constants of set_keys")
 
     def meet(table):
-        unpack = lambda c, t: [np.frombuffer(zstandard.decompress(x), t) for x in table[c].to_pylist()]
-        pairs, _, _, _ = chains(np.frombuffer(b"".join(table["anchors"].to_pylist()), np.uint64),
-                                np.concatenate(unpack("sizes", np.uint32)).astype(np.int64),
-                                np.concatenate([np.cumsum(x) for x in unpack("owners", np.int64)]))
+        owners = [np.cumsum(np.frombuffer(zstandard.decompress(x), np.int64)) for x in table["owners"].to_pylist()]
+        pairs, _, _ = chains(np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64), np.concatenate(owners))
         return pa.table([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
-    met = (scan.filter("kind = 1").select("bucket", "anchors", "sizes", "owners").groupBy("bucket").applyInArrow(meet, EDGE)
+    met = (scan.filter("kind = 1").select("bucket", "keys", "owners").groupBy("bucket").applyInArrow(meet, EDGE)
            .unionByName(scan.filter("kind = 2").select(F.col("n").alias("src"), F.col("uid").alias("dst"))).distinct())
     keys = docs.filter("sid is not null").select("uid", "sid")
     near = (met.join(keys.select(F.col("uid").alias("src"), F.col("sid").alias("a")), "src")
