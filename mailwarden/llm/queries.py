@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mailwarden.llm import jaccard_join, license_scan, packing, quality_rules, secret_scan, warc
+from mailwarden.llm import jaccard_join, license_scan, packing, quality_rules, secret_scan, substring_dedup, warc
 from mailwarden.llm.common import read
 
 QUERIES: dict[str, Callable] = {}
@@ -43,3 +43,9 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
