@@ -80,7 +80,8 @@ class Block:
         stop = np.flatnonzero(~gap[:-1] & gap[1:])                       # last byte of each word
         wanted = np.sort(recurring)
         k = np.minimum(np.searchsorted(wanted, self.phrases), len(wanted) - 1)
-        hit = np.flatnonzero(wanted[k] == self.phrases)
+        inside = self.doc[:len(self.phrases)] == self.doc[self.phrase - 1:]
+        hit = np.flatnonzero((wanted[k] == self.phrases) & inside)
         _, first = np.unique(self.phrases[hit], return_index=True)
         text = hay.decode("latin-1")
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
