@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mailwarden.llm import jaccard_join, license_scan, packing, quality_rules, secret_scan, substring_dedup, warc
+from mailwarden.llm import jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
 from mailwarden.llm.common import read
 
 QUERIES: dict[str, Callable] = {}
@@ -49,3 +49,8 @@ def op10_jaccard_join(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op4_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
