@@ -11,6 +11,7 @@ equal phrases, and a text has about one phrase per twenty words.
    window: does a smaller document have it?
 3. The blocks apply the answers: a word is removed if a window over it also starts in a document with a smaller id.
 
+The answers to blocks are joined by shuffle at every size, not broadcast where they happen to be small.
 What is shuffled is hashes without row overhead, and blocks; a passage that a third of all documents share is one entry
 per block. No passage, document group or shard grows with the corpus.
 """
@@ -239,7 +240,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])],
                         names=["block", "bucket", "hashes", "more", "docs"])
 
-    sent = (blocks.select("block", "sizes", "ids", "payload").join(known, "block", "left")
+    sent = (blocks.select("block", "sizes", "ids", "payload").join(known.hint("merge"), "block", "left")
             .select("block", "sizes", "ids", "payload", "known")
             .mapInArrow(send, "block long, bucket int, hashes binary, more binary, docs binary"))
     smaller = _gathered(sent.groupBy("bucket").applyInArrow(_window_bits, ANSWER), "dedup_windows", "smaller")
@@ -269,7 +270,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                      pa.array(c[3], pa.string())],
                     names=[*(f.name for f in flat.type), text_col, "n_words", "n_removed", "kept_sha256"])
 
-    return (blocks.join(known, "block", "left").join(smaller, "block", "left")
+    return (blocks.join(known.hint("merge"), "block", "left").join(smaller.hint("merge"), "block", "left")
             .select("block", "sizes", "ids", "payload", "known", "smaller", "rows").mapInArrow(apply, shape))
 
 
