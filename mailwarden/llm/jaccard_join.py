@@ -379,7 +379,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [(region, sid, s.tobytes()) for (_, _, sid, region), s in zip(rows, sets) if len(s) and set_keys(s)[0] == sid]
 
     def sets_of(some):
-        texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).join(some, "doc_id")
+        texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).join(some.hint("merge"), "doc_id")
         return map_texts(texts, ["doc_id", "text", "sid", "region"], "region long, sid long, hashes binary", to_sets)
 
     sized = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region_limit)
@@ -397,4 +397,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``df`` without the documents whose group has a smaller id; rows with a null id stay."""
     drop = (jaccard_join(df, id_col, text_col).filter("doc_id <> component_id")
             .select(F.col("doc_id").alias("_drop_id")).distinct())
-    return df.join(drop, df[id_col] == drop["_drop_id"], "left_anti")
+    return df.join(drop.hint("merge"), df[id_col] == drop["_drop_id"], "left_anti")
