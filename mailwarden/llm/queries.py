@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mailwarden.llm import jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
+from mailwarden.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
 from mailwarden.llm.common import read
 
 QUERIES: dict[str, Callable] = {}
@@ -54,3 +54,8 @@ def op2_substring_dedup(spark, sf_dir):
 @query
 def op4_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
