@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mailwarden.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
+from pyspark.sql import functions as F
+
+from mailwarden.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, substring_dedup, warc
 from mailwarden.llm.common import read
 
 QUERIES: dict[str, Callable] = {}
@@ -59,3 +61,12 @@ def op4_quality_classifier(spark, sf_dir):
 @query
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_sentencepiece_lattice(spark, sf_dir):
+    """Conversation turns, encoded and decoded again."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = sentencepiece_lattice.decode(sentencepiece_lattice.encode(turns))
+    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), "ids",
+                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
