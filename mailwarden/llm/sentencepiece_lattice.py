@@ -40,21 +40,22 @@ def words_of(text: Column) -> Column:
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """``words`` (word) with edges: a map from start * 1000 + end to (rank, id, score)."""
+    """``words`` (word) with edges: a map from start * 1000 + end to (score, id)."""
     n = F.char_length("word")
     spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select(
         "word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, n))).alias("e"))
     # the piece table has as many rows as the model, whatever the size of the texts
     edges = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(F.broadcast(table), "piece", "left")
+    edges = edges.filter("id is not null or e = 1")              # the first character keeps words without any piece
     return edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(
-        (F.col("s") * 1000 + F.col("e")).alias("k"), F.struct((-F.col("score")).alias("rank"), "id", "score").alias("v"))))).alias("edges"))
+        (F.col("s") * 1000 + F.col("e")).alias("k"), F.struct("score", "id").alias("v"))))).alias("edges"))
 
 
 #: Places of the cuts of a word after all merges.
 MERGES = """aggregate(sequence(1, char_length(word)), sequence(0, char_length(word)), (cut, step) ->
     CASE WHEN size(cut) < 3 THEN cut ELSE
     aggregate(array(array_min(transform(filter(sequence(0, size(cut) - 3), i -> map_contains_key(edges, cut[i] * 1000 + cut[i + 2])),
-        i -> named_struct('rank', edges[cut[i] * 1000 + cut[i + 2]].rank, 'i', i)))), cut, (c, best) ->
+        i -> named_struct('rank', -edges[cut[i] * 1000 + cut[i + 2]].score, 'i', i)))), cut, (c, best) ->
         CASE WHEN best IS NULL THEN c ELSE concat(slice(c, 1, best.i + 1), slice(c, best.i + 3, size(c))) END) END)"""
 #: Best path: per end the best (score, cuts) over the edges that end there; a character of no piece costs the worst score.
 VITERBI = """aggregate(sequence(1, char_length(word)), array(named_struct('score', 0D, 'cut', array(0))), (best, e) -> concat(best, array(
