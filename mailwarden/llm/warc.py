@@ -13,7 +13,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailwarden.llm.common import salted_join
+from mailwarden.llm.common import salted_join, written
 from mailwarden.session import scratch_path
 
 MIN_BYTES = 100
@@ -97,9 +97,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """Headers of all records; a revisit gets size and digest from the response that it refers to."""
     sha = F.sha2("payload", 256)
-    heads = records.select(
+    heads = written(records.select(
         F.col("record_id").cast("long").alias("page_id"), "record_type", F.col("refers_to").cast("long").alias("refers_to"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), sha.alias("payload_digest"))
+        F.octet_length("payload").cast("long").alias("payload_bytes"), sha.alias("payload_digest")), "warc_headers")
     responses = heads.filter("record_type = 'response'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     wanted = heads.filter("record_type = 'revisit'").select("page_id", F.col("refers_to").alias("_of"))
