@@ -101,8 +101,11 @@ _BUCKETS = " UNION ALL ".join(
     for b in range(_BANDS))
 _NEAR = dict(
     sh=_SHINGLES, sig=_SIG, buckets=_BUCKETS,
-    star="""SELECT DISTINCT sample_id AS a, leader AS b FROM (
+    sets="SELECT sample_id, list(DISTINCT s) AS ss FROM sh GROUP BY 1",
+    shared="""SELECT DISTINCT sample_id AS a, leader AS b FROM (
         SELECT sample_id, min(sample_id) OVER (PARTITION BY band, key) AS leader FROM buckets) WHERE sample_id <> leader""",
+    star="""SELECT a, b FROM (SELECT a, b, len(list_intersect(x.ss, y.ss)) AS c, len(x.ss) AS n, len(y.ss) AS m
+        FROM shared JOIN sets x ON a = x.sample_id JOIN sets y ON b = y.sample_id) WHERE c / (n + m - c) >= 0.85""",
     links="SELECT a, b FROM star UNION SELECT b, a FROM star",
     reach="SELECT DISTINCT a AS id, a AS comp FROM links UNION SELECT l.b, r.comp FROM reach r JOIN links l ON r.id = l.a",
     near="SELECT id AS sample_id, min(comp) AS near_dup_cluster_id FROM reach GROUP BY id")
@@ -138,7 +141,6 @@ def near_dup_clusters_fast(spark, sf):
 
 
 _SIMILAR = dict(
-    sets="SELECT sample_id, list(DISTINCT s) AS ss FROM sh GROUP BY 1",
     sims="""SELECT *, n_common / (n_own + n_leader - n_common) AS jaccard FROM (
       SELECT n.sample_id, near_dup_cluster_id AS leader_id, len(x.ss) AS n_own, len(y.ss) AS n_leader,
              len(list_intersect(x.ss, y.ss)) AS n_common
@@ -184,10 +186,15 @@ def unified_clusters(spark, sf):
     return _unified(spark, sf).select("sample_id", "dedup_cluster_id", "unified_cluster_id")
 
 
-@query("decontaminated", ctes("mail_docs", recursive=True, **_UNIFIED)
-       + "SELECT sample_id, dataset_id, label FROM unified WHERE sample_id = unified_cluster_id")
+@query("decontaminated", ctes("mail_docs", recursive=True, **_UNIFIED) + """
+SELECT u.sample_id, dataset_id, label FROM unified u LEFT JOIN sets x ON u.sample_id = x.sample_id
+LEFT JOIN sets y ON unified_cluster_id = y.sample_id
+WHERE u.sample_id = unified_cluster_id OR NOT (coalesce(dedup_cluster_id = unified_cluster_id, false) OR coalesce(
+  len(list_intersect(x.ss, y.ss)) / (len(x.ss) + len(y.ss) - len(list_intersect(x.ss, y.ss))) >= 0.85, false))""")
 def decontaminated(spark, sf):
-    return dedup.keep_one(_unified(spark, sf), "unified_cluster_id").select("sample_id", "dataset_id", "label")
+    unified = cut_lineage(_unified(spark, sf))
+    similarity = neardup.leader_similarity(A.mail_docs(spark, sf), unified, cluster="unified_cluster_id")
+    return dedup.keep_unverified(unified, "unified_cluster_id", similarity).select("sample_id", "dataset_id", "label")
 
 
 # --- splits ---------------------------------------------------------------------------------------------

@@ -64,7 +64,7 @@ SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, length(text) AS n_chars
 FROM documents""")
 def csv_corpus(spark, sf):
     path = scratch_path(spark, "csv")
-    docs = A.spread(A.read_table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = A.read_table(spark, sf, "documents").select("doc_id", "lang", "text")
     docs.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
                    ignoreTrailingWhiteSpace=False)
     back = files.read_corpus(spark, path, "docs")

@@ -5,29 +5,31 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-MIN_FILE_BYTES = 100_000
+# what one record of the binary file source can hold
+RECORD_BYTES = (1 << 31) - 1
 _OVERFLOW = "_overflow"
 
 
 def file_integrity(spark: SparkSession, root: str, manifest: DataFrame | None = None,
-                   min_bytes: int = MIN_FILE_BYTES, max_hash_bytes: int = 1 << 30) -> DataFrame:
+                   min_bytes: int = 0) -> DataFrame:
     """(file, length, md5, is_usable) per file below ``root``; ``file`` is the path relative to it.
 
-    ``manifest`` holds (file, expected_md5); a file without a manifest row is only checked for size. Files
-    above ``max_hash_bytes`` are sized, not hashed, because a binary record cannot exceed 2 GB.
+    ``manifest`` holds (file, expected_md5). A file that it names is usable only if its checksum was computed and
+    agrees: one beyond ``RECORD_BYTES`` cannot be read as a record, has a null md5 and is refused. Other files are
+    checked against ``min_bytes`` alone. Every file is a row of the result, usable or not.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     folder = root.rstrip("/").rsplit("/", 1)[-1]
     name = F.substring_index(F.col("path"), f"/{folder}/", -1)
-    small = files.filter(F.col("length") <= max_hash_bytes).select(
+    small = files.filter(F.col("length") <= RECORD_BYTES).select(
         name.alias("file"), "length", F.md5("content").alias("md5"))
-    large = files.filter(F.col("length") > max_hash_bytes).select(
+    large = files.filter(F.col("length") > RECORD_BYTES).select(
         name.alias("file"), "length", F.lit(None).cast("string").alias("md5"))
     found = small.unionByName(large)
     if manifest is None:
         return found.withColumn("is_usable", F.col("length") >= min_bytes)
     checked = found.join(manifest, "file", "left")
-    matches = F.coalesce(F.col("md5") == F.col("expected_md5"), F.lit(True))
+    matches = F.col("expected_md5").isNull() | F.coalesce(F.col("md5") == F.col("expected_md5"), F.lit(False))
     return checked.withColumn("is_usable", (F.col("length") >= min_bytes) & matches)
 
 
@@ -58,8 +60,7 @@ def number_rows(df: DataFrame) -> DataFrame:
             .drop("_file", "_block", "_id", "_first", "_before"))
 
 
-def read_corpus(spark: SparkSession, path: str, source: str, nrows: int | None = None,
-                encoding: str | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, source: str, encoding: str | None = None) -> DataFrame:
     """One raw corpus, all columns as text, plus dataset_id and raw_row_id.
 
     Lines with too many fields are skipped, short lines are padded with nulls: the schema carries one extra
@@ -71,18 +72,15 @@ def read_corpus(spark: SparkSession, path: str, source: str, nrows: int | None =
     raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"',
                          mode="PERMISSIVE", encoding=encoding, enforceSchema=True, maxCharsPerColumn=-1)
     good = raw.select("*", "_metadata").filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
-    numbered = number_rows(good).drop("_metadata")
-    if nrows is not None:
-        numbered = numbered.filter(F.col("raw_row_id") < nrows)
-    return numbered.withColumn("dataset_id", F.lit(source))
+    return number_rows(good).drop("_metadata").withColumn("dataset_id", F.lit(source))
 
 
 def read_corpora(spark: SparkSession, root: str, sources: dict[str, str], manifest: DataFrame | None = None,
-                 min_bytes: int = MIN_FILE_BYTES, nrows: int | None = None) -> dict[str, DataFrame]:
-    """Every usable configured corpus: missing, tiny or mismatching files are left out."""
+                 min_bytes: int = 0) -> dict[str, DataFrame]:
+    """Every usable configured corpus: missing or mismatching files, and those below ``min_bytes``, are left out."""
     usable = {r["file"] for r in file_integrity(spark, root, manifest, min_bytes)
               .filter("is_usable").select("file").collect()}      # one row per corpus file
-    return {name: read_corpus(spark, f"{root}/{file}", name, nrows)
+    return {name: read_corpus(spark, f"{root}/{file}", name)
             for name, file in sources.items() if file in usable}
 
 

@@ -8,14 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a scan with fewer splits than cores over all cores; larger scans are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,12 +102,12 @@ def register_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 def mail_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, sf_dir, "documents", "labels")
-    return spread(spark.sql(MAIL_DOCS), "sample_id")
+    return spark.sql(MAIL_DOCS)
 
 
 def mail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, sf_dir, "pages")
-    return spread(spark.sql(MAIL_PAGES), "sample_id")
+    return spark.sql(MAIL_PAGES)
 
 
 def mail_threads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,33 @@ def test_quotes(mail):
     assert [list(x["quote_patterns"]) for x in r] == [[0], [1], [2], [3], [], [], [0, 5]]
     assert [x["has_quoted_content"] for x in r] == [True, True, False, False, False, False, True]
     assert [x["has_forwarded_content"] for x in r] == [False, False, True, True, False, False, True]
+
+
+def test_shipped_bands_against_brute_force_on_documents(spark):
+    """Near pairs share a cluster, and every dropped row is similar (or equal) to the row kept for it."""
+    import collections
+
+    from mailwarden.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()
+    sets = {}
+    for r in rows:
+        t = (r["text"] or "").lower().strip()
+        sets[f"{r['source']}_{r['doc_id']}"] = {t[j:j + 5] for j in range(len(t) - 4)}
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    common = collections.Counter()
+    for ids in holders.values():
+        if len(ids) <= 40:                      # candidates only: a similar pair shares many rare shingles
+            common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1:])
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b) for a, b in common if jaccard(a, b) >= 0.85]
+    cluster = {r["sample_id"]: r["unified_cluster_id"] for r in catalog.QUERIES["unified_clusters"](spark, sf).collect()}
+    together = sum(cluster[a] == cluster[b] for a, b in pairs)
+    assert len(pairs) >= 100 and together >= 0.99 * len(pairs)
+    kept = {r["sample_id"] for r in catalog.QUERIES["decontaminated"](spark, sf).collect()}
+    dropped = [i for i in cluster if i not in kept]
+    assert dropped and all(jaccard(i, cluster[i]) >= 0.85 for i in dropped)
