@@ -5,11 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from mailwarden.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, substring_dedup, warc
+from mailwarden.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, substring_dedup, twins, warc
 from mailwarden.llm.common import read
 
 QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = twins.SQL
 
 
 def query(fn):
