@@ -178,13 +178,17 @@ def bootstrap_ci(df: DataFrame, iterations: int = 1000, level: float = 0.95, blo
                  F.col(m)[2].alias("high")) for m in ("accuracy", "recall", "f1")])))
 
 
+def _margins(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m, n): signed log-odds of every distinct (score, label), and its rows."""
+    p = F.least(F.greatest(F.col("prob"), F.lit(1e-6)), F.lit(1.0 - 1e-6))
+    signed = F.log(p / (1.0 - p)) * (2 * F.col("label") - 1)
+    return df.groupBy(*keys, "prob", "label").agg(F.count(F.lit(1)).alias("n")).select(*keys, signed.alias("m"), "n")
+
+
 def temperature_fit(df: DataFrame, low: float = 0.25, step: float = 0.05, count: int = 96) -> DataFrame:
     """Temperature with the smallest log loss on a grid, in one pass: one sum per grid point."""
     grid = [round(low + step * i, 10) for i in range(count)]
-    p = F.least(F.greatest(F.col("prob"), F.lit(1e-6)), F.lit(1.0 - 1e-6))
-    signed = F.log(p / (1.0 - p)) * (2 * F.col("label") - 1)
-    # every distinct (score, label) is evaluated once
-    distinct = df.groupBy("prob", "label").agg(F.count(F.lit(1)).alias("n")).select(signed.alias("m"), "n")
+    distinct = _margins(df, [])
     loss = [F.struct((F.sum(F.log1p(F.exp(-F.col("m") / t)) * F.col("n")) / F.sum("n")).alias("nll"),
                      F.lit(t).alias("t")) for t in grid]
     at_one = F.sum(F.log1p(F.exp(-F.col("m"))) * F.col("n")) / F.sum("n")
@@ -192,6 +196,14 @@ def temperature_fit(df: DataFrame, low: float = 0.25, step: float = 0.05, count:
     return best.select(F.col("best.t").alias("temperature"), "nll_before", F.col("best.nll").alias("nll_after"))
 
 
+def temperature_report(df: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
+    """Per slice: log loss as it is and at the fitted temperature (``fitted`` has one row)."""
+    rows = _margins(df, keys).withColumn("_k", F.lit(1)).join(F.broadcast(fitted.withColumn("_k", F.lit(1))), "_k")
+    loss = lambda t: F.sum(F.log1p(F.exp(-F.col("m") / t)) * F.col("n")) / F.sum("n")
+    return rows.groupBy(*keys, "temperature").agg(loss(F.lit(1.0)).alias("nll_before"),
+                                                  loss(F.col("temperature")).alias("nll_after"))
+
+
 def apply_temperature(prob: Column, temperature: float) -> Column:
     p = F.least(F.greatest(prob, F.lit(1e-6)), F.lit(1.0 - 1e-6))
     return 1.0 / (1.0 + F.exp(-F.log(p / (1.0 - p)) / temperature))

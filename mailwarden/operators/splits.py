@@ -83,9 +83,8 @@ def loso_summary(assigned: DataFrame) -> DataFrame:
         F.count_if(F.col("inner_split") == "val").alias("va"),
         F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("tr").alias("all_tr"), F.sum("va").alias("all_va"),
-                       F.count_if(F.col("tr") > 0).alias("sources_tr"),
-                       F.collect_list(F.struct("source", "tr", "va", "n")).alias("per"))
-    return total.select("all_tr", "all_va", "sources_tr", F.inline("per")).select(
+                       F.count_if(F.col("tr") > 0).alias("sources_tr")).withColumn("_k", F.lit(1))     # one row
+    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select(
         F.col("source").alias("fold"),
         (F.col("all_tr") - F.col("tr")).alias("n_train"),
         (F.col("all_va") - F.col("va")).alias("n_val"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mailwarden.constants import QUOTE_PATTERNS
 from mailwarden.operators import dedup, leakage, neardup, splits, vectorize
-from mailwarden.plans.registry import collapse, ctes, lit, nfkd, query, rnd, rounded, unit
+from mailwarden.plans.registry import collapse, ctes, lit, nfkd, query, rnd, rounded, side, unit
 from mailwarden.session import cut_lineage, scratch_path
 from mailwarden.sources import files, tables as A
 
@@ -198,12 +198,7 @@ def decontaminated(spark, sf):
 
 
 # --- splits ---------------------------------------------------------------------------------------------
-def _side(key: str, salt: str = "42:") -> str:
-    u = unit(f"'{salt}' || {key}")
-    return f"CASE WHEN {u} < 0.15 THEN 'test' WHEN {u} < 0.3 THEN 'val' ELSE 'train' END"
-
-
-_ASSIGNED = dict(_UNIFIED, assigned=f"SELECT *, {_side('unified_cluster_id')} AS split FROM unified")
+_ASSIGNED = dict(_UNIFIED, assigned=f"SELECT *, {side('unified_cluster_id')} AS split FROM unified")
 
 
 def _assigned(spark, sf):
@@ -239,7 +234,7 @@ def split_stratified(spark, sf):
 
 
 @query("split_tables", ctes("mail_docs") + f"""
-SELECT dataset_id, count(*) AS n_rows FROM mail_docs WHERE {_side('sample_id')} = 'val' GROUP BY 1""")
+SELECT dataset_id, count(*) AS n_rows FROM mail_docs WHERE {side('sample_id')} = 'val' GROUP BY 1""")
 def split_tables(spark, sf):
     """Splits written as partitioned parquet with JSON metadata; one split read back by partition pruning."""
     path = scratch_path(spark, "splits")
@@ -248,7 +243,7 @@ def split_tables(spark, sf):
 
 
 @query("split_metadata", ctes("mail_docs") + f"""
-SELECT {_side('sample_id')} AS split, label, count(*) AS n_rows FROM mail_docs GROUP BY ALL""")
+SELECT {side('sample_id')} AS split, label, count(*) AS n_rows FROM mail_docs GROUP BY ALL""")
 def split_metadata(spark, sf):
     path = scratch_path(spark, "splits")
     files.save_splits(splits.group_split(A.mail_docs(spark, sf), "sample_id"), path)
@@ -288,13 +283,13 @@ def _leak_sql(base: str) -> str:
 
 
 @query("leakage_report", ctes("mail_docs", recursive=True, **{
-    **_ASSIGNED, "assigned": f"SELECT *, {_side('unified_cluster_id')} AS split FROM unified"}) + _leak_sql("assigned"))
+    **_ASSIGNED, "assigned": f"SELECT *, {side('unified_cluster_id')} AS split FROM unified"}) + _leak_sql("assigned"))
 def leakage_report(spark, sf):
     return rounded(leakage.split_leakage(_assigned(spark, sf)), "overlap_pct")
 
 
 @query("leakage_of_plain_split", ctes("mail_docs", recursive=True, **{
-    **_UNIFIED, "assigned": f"SELECT *, {_side('sample_id')} AS split FROM unified"}) + _leak_sql("assigned"))
+    **_UNIFIED, "assigned": f"SELECT *, {side('sample_id')} AS split FROM unified"}) + _leak_sql("assigned"))
 def leakage_of_plain_split(spark, sf):
     """The same check on a split that ignores clusters: overlaps show up."""
     return rounded(leakage.split_leakage(splits.group_split(_unified(spark, sf), "sample_id")), "overlap_pct")
@@ -331,7 +326,7 @@ _WORDS = r"""SELECT sample_id, unnest(l || [l[i] || ' ' || l[i + 1] FOR i IN ran
 _CHARS = r"""SELECT sample_id, unnest([substr(w, i, n) FOR i IN range(1, length(w) - n + 2)]) AS term
   FROM (SELECT sample_id, w, unnest([3, 4, 5]) AS n FROM (
     SELECT sample_id, ' ' || unnest(regexp_extract_all(lower(t), '\S+')) || ' ' AS w FROM txt))"""
-_TXT = f"SELECT sample_id, coalesce(subject, '') || ' ' || body AS t, {_side('sample_id')} AS split FROM mail_docs"
+_TXT = f"SELECT sample_id, coalesce(subject, '') || ' ' || body AS t, {side('sample_id')} AS split FROM mail_docs"
 _VOCAB = """SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM counts
   WHERE sample_id IN (SELECT sample_id FROM txt WHERE split = 'train')
   GROUP BY 1 HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT {n}"""
@@ -397,9 +392,9 @@ def tfidf_char(spark, sf):
 @query("flagship", ctes("mail_docs", **_EXACT) + f"""
 SELECT split, count(*) AS n_rows, count(dedup_cluster_id) AS n_duplicate_rows,
   count(*) FILTER (label = 0) AS n_legitimate, count(*) FILTER (label = 1) AS n_phishing,
-  (SELECT count(*) FROM (SELECT dedup_cluster_id FROM (SELECT dedup_cluster_id, {_side('coalesce(dedup_cluster_id, sample_id)')} AS s
+  (SELECT count(*) FROM (SELECT dedup_cluster_id FROM (SELECT dedup_cluster_id, {side('coalesce(dedup_cluster_id, sample_id)')} AS s
      FROM exact) WHERE dedup_cluster_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1)) AS n_crossing_clusters
-FROM (SELECT *, {_side('coalesce(dedup_cluster_id, sample_id)')} AS split FROM exact) GROUP BY 1""")
+FROM (SELECT *, {side('coalesce(dedup_cluster_id, sample_id)')} AS split FROM exact) GROUP BY 1""")
 def flagship(spark, sf):
     """Rows, duplicate rows and label mix per split, and how many duplicate clusters cross splits (none)."""
     marked = dedup.mark_exact_duplicates(_hashed(spark, sf), "subj_body_hash").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailwarden import constants as K
 from mailwarden.functions.hashing import unit as unit_hash
 from mailwarden.operators import attribution, evaluate, features, metrics, models, robustness, scoring, splits, vectorize
-from mailwarden.plans.registry import ctes, hash32, lit, query, rnd, rounded, unit
+from mailwarden.plans.registry import ctes, hash32, lit, query, rnd, rounded, side, unit
 from mailwarden.session import cut_lineage, scratch_path
 from mailwarden.sources import tables as A
 from mailwarden.streaming.scorer import read_scores, start_scoring
@@ -141,9 +141,9 @@ def pr_auc(spark, sf):
     return rounded(out.select("dataset_id", "pr_auc"), "pr_auc")
 
 
-@query("recall_at_fpr", ctes("predictions") + _ranks("recall_at_fpr", "dataset_id", "predictions").replace("0.005::", "0.05::"))
+@query("recall_at_fpr", ctes("predictions") + _ranks("recall_at_fpr", "dataset_id", "predictions"))
 def recall_at_fpr(spark, sf):
-    out = metrics.ranking_metrics(A.predictions(spark, sf), ["dataset_id"], 0.05)
+    out = metrics.ranking_metrics(A.predictions(spark, sf), ["dataset_id"])
     return rounded(out.select("dataset_id", "recall_at_fpr"), "recall_at_fpr")
 
 
@@ -235,27 +235,36 @@ def _poisson_sql(u: str) -> str:
       count(*) FILTER (label = 0 AND pred = 0) AS tn, count(*) FILTER (label = 1 AND pred = 0) AS fn
       FROM (SELECT *, {hash32("'block:' || sample_id")} % 1024 AS block FROM predictions) GROUP BY 1""",
     weighted=f"""SELECT rep, {_poisson_sql(unit("'42:' || rep || ':' || block"))} AS w, tp, fp, tn, fn
-      FROM blocks, range(1, 201) r(rep)""",
+      FROM blocks, range(1, 10001) r(rep)""",
     reps=f"""SELECT {_z('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_z('tp', 'tp + fn')} AS recall, {_z('2 * tp', '2 * tp + fp + fn')} AS f1
       FROM (SELECT rep, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(tn * w) AS tn, sum(fn * w) AS fn FROM weighted GROUP BY 1)""")
        + "\nUNION ALL\n".join(f"""SELECT '{m}' AS metric, {rnd(f'quantile_cont({m}::DOUBLE, {(1 - 0.95) / 2!r})')} AS low,
   {rnd(f'quantile_cont({m}::DOUBLE, 0.5)')} AS median, {rnd(f'quantile_cont({m}::DOUBLE, {1 - (1 - 0.95) / 2!r})')} AS high FROM reps"""
                               for m in ("accuracy", "recall", "f1")))
 def bootstrap_ci(spark, sf):
-    return rounded(metrics.bootstrap_ci(A.predictions(spark, sf), iterations=200), "low", "median", "high")
+    return rounded(metrics.bootstrap_ci(A.predictions(spark, sf), iterations=10_000), "low", "median", "high")
 
 
 _GRID = ", ".join(f"{round(0.25 + 0.05 * i, 10)!r}" for i in range(96))
 _CLIP = "least(greatest(prob, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE)"
 
 
-@query("temperature_fit", ctes("predictions") + f"""
-SELECT t AS temperature, {rnd('before')} AS nll_before, {rnd('nll')} AS nll_after FROM (
-  SELECT t, avg(ln(1 + exp(-m / t))) AS nll, avg(ln(1 + exp(-m))) AS before FROM (
-    SELECT ln({_CLIP} / (1 - {_CLIP})) * (2 * label - 1) AS m, unnest([{_GRID}]::DOUBLE[]) AS t FROM predictions) GROUP BY 1)
-ORDER BY nll, t LIMIT 1""")
+_LOSS = "ln(1 + exp(-m / {t}))"
+
+
+@query("temperature_fit", ctes(
+    "predictions",
+    margins=f"""SELECT {side('sample_id')} AS split, ln({_CLIP} / (1 - {_CLIP})) * (2 * label - 1) AS m FROM predictions""",
+    fitted=f"""SELECT t FROM (SELECT t, avg({_LOSS.format(t='t')}) AS nll FROM (
+      SELECT m, unnest([{_GRID}]::DOUBLE[]) AS t FROM margins WHERE split = 'val') GROUP BY 1) ORDER BY nll, t LIMIT 1""") + f"""
+SELECT split, t AS temperature, {rnd(f"avg({_LOSS.format(t='1')})")} AS nll_before, {rnd(f"avg({_LOSS.format(t='t')})")} AS nll_after
+FROM margins, fitted WHERE split <> 'train' GROUP BY 1, 2""")
 def temperature_fit(spark, sf):
-    return rounded(metrics.temperature_fit(A.predictions(spark, sf)), "nll_before", "nll_after")
+    """Temperature chosen on validation rows; log loss before and after on validation and on test rows."""
+    rows = splits.group_split(A.predictions(spark, sf), "sample_id")
+    fitted = metrics.temperature_fit(rows.filter("split = 'val'")).select("temperature")
+    out = metrics.temperature_report(rows.filter("split <> 'train'"), fitted, ["split"])
+    return rounded(out, "nll_before", "nll_after")
 
 
 # --- error analysis and cross-source ---------------------------------------------------------------------
@@ -311,9 +320,14 @@ def transfer_scores(spark, sf):
     return evaluate.transfer_scores(_transfer_scores(spark, sf))
 
 
-@query("transfer_matrix", f"PIVOT ({_TRANSFER_SQL}) ON eval_source USING first(score) GROUP BY train_source")
+#: Columns of the square form: the sources of the given tables.
+_SOURCES = [f"src{i}" for i in range(20)]
+
+
+@query("transfer_matrix", f"""SELECT train_source, {', '.join(f"max(score) FILTER (eval_source = '{x}') AS {x}" for x in _SOURCES)}
+FROM ({_TRANSFER_SQL}) GROUP BY 1""")
 def transfer_matrix(spark, sf):
-    return evaluate.transfer_matrix(evaluate.transfer_scores(_transfer_scores(spark, sf)))
+    return evaluate.transfer_matrix(evaluate.transfer_scores(_transfer_scores(spark, sf)), _SOURCES)
 
 
 _SUMMED = ["accuracy", "recall", "f1", "mcc"]
@@ -555,7 +569,7 @@ def _parts(df):
 def lr_holdout(spark, sf):
     """Logistic regression on the 52 features, C chosen on validation rows; metrics per split."""
     rows = models.dense_features(_featured(spark, sf))
-    fitted = models.train_logistic(*_parts(rows), max_iter=100)
+    fitted = models.train_logistic(*_parts(rows))
     return _report(fitted.score(rows)).withColumn("best_c", F.lit(fitted.best_c))
 
 

@@ -79,6 +79,12 @@ def unit(expr: str) -> str:
     return f"({hash32(expr)} / 4294967296.0::DOUBLE)"
 
 
+def side(key: str, salt: str = "42:") -> str:
+    """Split of a key."""
+    u = unit(f"'{salt}' || {key}")
+    return f"CASE WHEN {u} < 0.15 THEN 'test' WHEN {u} < 0.3 THEN 'val' ELSE 'train' END"
+
+
 def count(c: str, pattern: str) -> str:
     return f"len(regexp_extract_all({c}, {lit(pattern)}))"
 
