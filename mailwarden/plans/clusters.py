@@ -368,16 +368,16 @@ SELECT sample_id, term, idx, {rnd('w / sqrt(sum(w * w) OVER (PARTITION BY sample
 
 def _weights(spark, sf, terms):
     docs = _split_docs(spark, sf)
-    fitted = vectorize.fit(docs.filter("split = 'train'"), terms, 2, 5000)
+    fitted = vectorize.fit(docs.filter("split = 'train'"), terms, 2, 30000)
     return rounded(vectorize.tfidf(vectorize.term_counts(docs, terms), fitted), "weight")
 
 
-@query("tfidf_word", ctes("mail_docs", **_vocab_ctes(_WORDS, 5000)) + _WEIGHTS)
+@query("tfidf_word", ctes("mail_docs", **_vocab_ctes(_WORDS, 30000)) + _WEIGHTS)
 def tfidf_word(spark, sf):
     return _weights(spark, sf, vectorize.word_terms(_model_text()))
 
 
-@query("tfidf_char", ctes("mail_docs", **_vocab_ctes(_CHARS, 5000), w=_WEIGHTS) + f"""
+@query("tfidf_char", ctes("mail_docs", **_vocab_ctes(_CHARS, 30000), w=_WEIGHTS) + f"""
 SELECT sample_id, count(*) AS n_terms, {rnd('sum(weight)', 3)} AS total_weight, {rnd('max(weight)', 5)} AS max_weight
 FROM w GROUP BY 1""")
 def tfidf_char(spark, sf):

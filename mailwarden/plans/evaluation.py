@@ -578,9 +578,9 @@ def lr_tfidf_holdout(spark, sf):
     """Logistic regression on word and character TF-IDF."""
     mail = splits.group_split(A.mail_docs(spark, sf).filter("label is not null"), "sample_id")
     rows, _ = vectorize.fit_transform(
-        mail.select("sample_id", "label", "split", _subject_body().alias("t")), F.col("t"), F.col("split") == "train", 2000, 2000)
+        mail.select("sample_id", "label", "split", _subject_body().alias("t")), F.col("t"), F.col("split") == "train", 30000, 30000)
     rows = models.compact(rows.select("sample_id", "label", "split", "features"))
-    fitted = models.train_logistic(*_parts(rows), max_iter=50)
+    fitted = models.train_logistic(*_parts(rows))
     return _report(fitted.score(rows)).withColumn("best_c", F.lit(fitted.best_c))
 
 
@@ -591,7 +591,7 @@ def _subject_body():
 @query("svm_holdout")
 def svm_holdout(spark, sf):
     rows = models.dense_features(_featured(spark, sf))
-    fitted = models.train_svm(*_parts(rows), grid=(0.1, 1.0), max_iter=20)
+    fitted = models.train_svm(*_parts(rows))
     return _report(fitted.score(rows)).withColumn("best_c", F.lit(fitted.best_c))
 
 
@@ -602,8 +602,13 @@ def gbt_holdout(spark, sf):
     return _report(fitted.score(rows))
 
 
+def _by_source(spark, sf):
+    """Labelled mail and the leave-one-source-out choice."""
+    return splits.loso_assign(A.mail_docs(spark, sf).filter("label is not null"))
+
+
 def _by_language(spark, sf):
-    """Labelled mail with its language as the source, and the leave-one-source-out choice."""
+    """The same with the language as the source."""
     A.register_views(spark, sf, "documents", "labels")
     langs = spark.sql("SELECT doc_id, lang FROM documents")
     mail = A.mail_docs(spark, sf).filter("label is not null").join(langs, F.col("raw_row_id") == F.col("doc_id"))
@@ -612,9 +617,9 @@ def _by_language(spark, sf):
 
 @query("loso_lr")
 def loso_lr(spark, sf):
-    """One model per held-out language on text features: trained on the other languages, tested on it."""
+    """One model per held-out source on text features: trained on the other sources, tested on it."""
     columns = features.LEXICAL + features.STRUCTURAL
-    rows = models.compact(features.feature_table(_by_language(spark, sf), ["lexical", "structural"],
+    rows = models.compact(features.feature_table(_by_source(spark, sf), ["lexical", "structural"],
                                                  ["sample_id", "held_out_fold", "inner_split", "label"]))
 
     def fit_fold(fold):
@@ -625,7 +630,7 @@ def loso_lr(spark, sf):
 
 @query("loso_tfidf_lr")
 def loso_tfidf_lr(spark, sf):
-    """The same with word and character TF-IDF, refitted on the training languages of every fold."""
+    """Languages held out in turn, with word and character TF-IDF refitted on the training languages of every fold."""
     rows = models.compact(_by_language(spark, sf).select(
         "sample_id", "held_out_fold", "inner_split", "label", _subject_body().alias("t")))
 
@@ -639,7 +644,7 @@ def loso_tfidf_lr(spark, sf):
 @query("linear_attribution")
 def linear_attribution(spark, sf):
     rows = models.dense_features(_featured(spark, sf))
-    fitted = models.train_logistic(*_parts(rows), grid=(1.0,), max_iter=50)
+    fitted = models.train_logistic(*_parts(rows))
     weights = dict(zip(features.FEATURES, fitted.model.coefficients.toArray()))
     return attribution.linear_attribution(rows, weights, rows.filter("split = 'train'"))
 
@@ -657,17 +662,14 @@ def feature_ablation(spark, sf):
     base, tables = _featured(spark, sf), {}
     for name, columns in models.ablation_columns().items():
         rows = models.dense_features(base, columns)
-        fitted = models.train_logistic(*_parts(rows), grid=(1.0,), max_iter=30)
+        fitted = models.train_logistic(*_parts(rows), grid=(1.0,))
         tables[name] = metrics.all_metrics(fitted.score(rows.filter("split <> 'train'")).select("label", "pred", "prob"))
     return evaluate.report_long(tables, {})
 
 
 @query("source_probe")
 def source_probe(spark, sf):
-    """How well the text features give away the language a mail comes from."""
-    A.register_views(spark, sf, "documents")
-    langs = spark.sql("SELECT doc_id, lang FROM documents")
-    mail = splits.group_split(A.mail_docs(spark, sf), "sample_id").join(langs, F.col("raw_row_id") == F.col("doc_id"))
-    rows = features.feature_table(mail.withColumn("dataset_id", F.col("lang")), ["lexical", "structural"],
-                                  ["sample_id", "dataset_id", "split"])
-    return models.source_probe(models.dense_features(models.compact(rows), features.LEXICAL + features.STRUCTURAL), 20)
+    """How well the text features give away the source a mail comes from."""
+    mail = splits.group_split(A.mail_docs(spark, sf), "sample_id")
+    rows = features.feature_table(mail, ["lexical", "structural"], ["sample_id", "dataset_id", "split"])
+    return models.source_probe(models.dense_features(models.compact(rows), features.LEXICAL + features.STRUCTURAL))

@@ -50,3 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, without their partitioning.
+
+    A join with a table that was grouped by the join key reuses the grouping's exchange, and AQE then has no shuffle of
+    its own to split. Reading the groups back makes both sides plain exchanges, so a hot key is split.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
 
 from mailwarden.operators import components, dedup, leakage, neardup, splits
 
@@ -175,3 +177,30 @@ def test_shipped_bands_against_brute_force_on_documents(spark):
     kept = {r["sample_id"] for r in catalog.QUERIES["decontaminated"](spark, sf).collect()}
     dropped = [i for i in cluster if i not in kept]
     assert dropped and all(jaccard(i, cluster[i]) >= 0.85 for i in dropped)
+
+
+@pytest.mark.parametrize("operator", ["buckets", "clusters", "hashes"])
+def test_a_hot_key_is_split(spark, operator):
+    """Two thirds of the rows on one key: the final plan of the join holds a skew split."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.md5((F.col("id") % 7000).cast("string")))
+        rows = spark.range(0, 60000, 1, 8).select(F.format_string("s%06d", "id").alias("sample_id"), key.alias("key"))
+        if operator == "buckets":
+            out = neardup.band_edges(rows.withColumn("band", F.lit(1)))
+        elif operator == "clusters":
+            out = neardup.cluster_edges(rows, "key")
+        else:
+            out = dedup.mark_exact_duplicates(rows, "key")
+        assert out.count() == {"hashes": 60000}.get(operator, 60000 - 7001)
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

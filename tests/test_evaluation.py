@@ -189,6 +189,14 @@ def test_tfidf_vectors_and_model(spark, mail):
     assert fitted.best_c == 0.1 and metrics.ranking_metrics(out).first()["roc_auc"] == 1.0
 
 
+def test_a_text_without_terms_keeps_a_zero_vector(spark, mail):
+    df = mail({"body": "win money now"}, {"body": "win money later"}, {"body": ""}, {})
+    rows, size = vectorize.fit_transform(df, F.col("body"), F.lit(True), 50, 50, min_df=1)
+    vectors = {r["sample_id"]: r["features"] for r in rows.collect()}
+    assert len(vectors) == 4 and all(v.size == size for v in vectors.values())
+    assert vectors["s002"].numNonzeros() == vectors["s003"].numNonzeros() == 0 < vectors["s000"].numNonzeros()
+
+
 def test_trees_and_svm(spark):
     df = spark.range(120).select(
         F.col("id").cast("string").alias("sample_id"), (F.col("id") % 2).cast("int").alias("label"),
