@@ -69,14 +69,14 @@ def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(region key, number of its set): a key per part of each set.
 
     Empty parts give keys only in sets with more than ``SPARE`` of them: any other set has a part that is equal and not
-    empty. Sets below ten shingles link with equal sets only, which are copies.
+    empty. Sets below nine shingles link with equal sets only, which are copies; nine link with ten that hold them.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     lows = size_classes(int(sizes.max(initial=1)))
     own = np.searchsorted(lows, sizes, side="right") - 1
     keys, owners = [], []
     for step in (0, 1):
-        k = np.flatnonzero(sizes >= 10) if step == 0 else np.flatnonzero((sizes >= 10) & (10 * sizes >= 9 * lows[own + 1]))
+        k = np.flatnonzero(sizes >= 9) if step == 0 else np.flatnonzero((sizes >= 9) & (10 * sizes >= 9 * lows[own + 1]))
         if not len(k):
             continue
         cls = own[k] + step

@@ -95,6 +95,22 @@ def test_cells_lose_no_linked_pair():
                 assert len(a) == 0 or len(np.intersect1d(a, b)) > 0 or len(s) == inter == len(t)
 
 
+def test_cells_join_nine_shingles_with_ten():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        t = np.unique(rng.integers(1, 1 << 62, 10, dtype=np.uint64))
+        a, b = (jaccard_join.cells([x])[0] for x in (np.delete(t, rng.integers(0, 10)), t))
+        assert len(np.intersect1d(a, b)) > 0
+
+
+def test_jaccard_join_of_small_sets(spark):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(words[:11])), (2, " ".join(words)), (3, " ".join(words[1:])), (4, " ".join(words[:10])), (5, "a b c d")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (9, 1), 2: (10, 1), 3: (9, 1), 4: (8, 4), 5: (2, 5)}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 16))
