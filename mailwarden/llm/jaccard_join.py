@@ -1,19 +1,20 @@
 """N-gram Jaccard join: pivots, Voronoi regions, triangle-inequality windows, exact and recursive.
 
-Distance is 1 - Jaccard over sets of word shingles, a metric; two sets are linked at distance 0.1 or less.
+Distance is 1 - Jaccard over sets of word shingles, a metric; two sets are linked at Jaccard of ``least`` percent or more, that is
+at distance D = 1 - least / 100 or less (0.1 unless another ``least`` is given).
 
 Level 0. Whole documents are useless as first pivots: a text is at distance 1 from nearly every other text, so no window
 would exclude anything (one shared shingle each as pivots merged half of the sets into one region, too). The first
 regions are therefore cells of partial distances. Sets of like size share a split of all shingles, by hash, into g parts;
 in each part the pivots are the contents that occur there, and a set belongs to the pivot at partial distance 0, its own
-content. Linked sets differ in at most (n + m) // 19 shingles, so with g above that number some part is equal: putting a
+content. Linked sets differ in at most (n + m) * D / (2 - D) shingles (a 19th at 0.1), so with g above that number some part is equal: putting a
 set into one region per part, and sets near the edge of a size class into the next class as well, loses no linked pair.
 Regions that share a set are merged, so that every set meets all that may be near it, in one place.
 
 Level 1 and on. Within a region documents are pivots: each set learns its exact distance to a pivot, is linked if that is
-0.1 or less, and is compared with other sets only where their distances to every pivot so far differ by at most 0.1 and
+D or less, and is compared with other sets only where their distances to every pivot so far differ by at most D and
 they are not yet in one component. Regions beyond ``REGION`` sets are dealt to the nearest of several pivots in a
-distributed round, with sets at most 0.2 farther from another pivot replicated to it, and joined again; a region whose
+distributed round, with sets at most 2 D farther from another pivot replicated to it, and joined again; a region whose
 sets lie equally far from all pivots is compared block by block instead.
 
 Copies are one set: all work is on distinct sets, so a group of copies of any size is one row.
@@ -30,6 +31,8 @@ from mailwarden.llm.words import LOWER, hash_texts, mix, windows
 from mailwarden.operators.components import connected_components
 
 SHINGLE = 3
+#: Least Jaccard of a link, in percent.
+LEAST = 90
 #: Sets that one task joins at most.
 REGION = 4096
 #: Size classes grow by this factor; parts beyond the least number, which may be empty in a set.
@@ -65,22 +68,24 @@ def size_classes(limit: int) -> np.ndarray:
     return np.array(lows + [int(np.ceil(lows[-1] * GROWTH)), int(np.ceil(lows[-1] * GROWTH ** 2))])
 
 
-def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def cells(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(region key, number of its set): a key per part of each set.
 
     Empty parts give keys only in sets with more than ``SPARE`` of them: any other set has a part that is equal and not
-    empty. Sets below nine shingles link with equal sets only, which are copies; nine link with ten that hold them.
+    empty. Sets below ``smallest`` shingles link with equal sets only, which are copies: n link with n + 1
+    that hold them where n / (n + 1) is ``least`` or more (nine with ten at 90).
     """
     sizes = np.array([len(s) for s in sets], np.int64)
+    smallest = -(-least // (100 - least))
     lows = size_classes(int(sizes.max(initial=1)))
     own = np.searchsorted(lows, sizes, side="right") - 1
     keys, owners = [], []
     for step in (0, 1):
-        k = np.flatnonzero(sizes >= 9) if step == 0 else np.flatnonzero((sizes >= 9) & (10 * sizes >= 9 * lows[own + 1]))
+        k = np.flatnonzero(sizes >= smallest) if step == 0 else np.flatnonzero((sizes >= smallest) & (100 * sizes >= least * lows[own + 1]))
         if not len(k):
             continue
         cls = own[k] + step
-        parts = 2 * (lows[cls + 1] - 1) // 19 + 1 + SPARE
+        parts = 2 * (lows[cls + 1] - 1) * (100 - least) // (100 + least) + 1 + SPARE
         first = np.cumsum(parts) - parts
         n, flat = sizes[k], np.concatenate([sets[i] for i in k])
         mixed = mix(flat + U(17))
@@ -115,7 +120,7 @@ def chains(key: np.ndarray, owner: np.ndarray):
 SCAN = "kind int, doc_id long, sid long, key2 long, n long, uid long, bucket int, keys binary, owners binary"
 
 
-def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int) -> DataFrame:
+def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, least: int) -> DataFrame:
     """Per text its keys (kind 0); per task and bucket its regions (kind 1); edges within the task (kind 2, n and uid).
 
     A ``uid`` names a row by its task and place, so that the owners of a bucket's regions are short runs of small steps.
@@ -156,7 +161,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int) ->
                     uid += 1
                     own[i] = uid
                     out.append((0, key, *set_keys(s), len(s), uid, None, None, None))
-                regions, which = cells(sets)
+                regions, which = cells(sets, least)
                 held.append(regions)
                 owners.append(own[which])
                 n_held += len(regions)
@@ -204,11 +209,11 @@ def overlap(s: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return np.add.reduceat((s[place] == values).astype(np.int64), first)
 
 
-def linked(inter, a, b):
-    return 100 * inter >= 90 * (a + b - inter)
+def linked(inter, a, b, least: int = LEAST):
+    return 100 * inter >= least * (a + b - inter)
 
 
-def join_region(sets: list[np.ndarray], halves: np.ndarray | None = None) -> Forest:
+def join_region(sets: list[np.ndarray], halves: np.ndarray | None = None, least: int = LEAST) -> Forest:
     """Exact components of one region. With ``halves`` (0 or 1 per set) only pairs across the halves are compared."""
     m = len(sets)
     forest, sizes = Forest(m), np.array([len(s) for s in sets])
@@ -222,8 +227,8 @@ def join_region(sets: list[np.ndarray], halves: np.ndarray | None = None) -> For
         else:
             near = np.ones(m - x - 1, bool)
             for d in known:
-                near &= np.abs(d[x + 1:] - d[x]) <= 0.1 + 1e-9
-            near &= (10 * sizes[x + 1:] >= 9 * sizes[x]) & (9 * sizes[x + 1:] <= 10 * sizes[x])
+                near &= np.abs(d[x + 1:] - d[x]) <= 1 - least / 100 + 1e-9
+            near &= (100 * sizes[x + 1:] >= least * sizes[x]) & (least * sizes[x + 1:] <= 100 * sizes[x])
             near &= comp[x + 1:] != comp[x]
             if halves is not None:
                 near &= halves[x + 1:] != halves[x]
@@ -233,7 +238,7 @@ def join_region(sets: list[np.ndarray], halves: np.ndarray | None = None) -> For
         inter = overlap(sets[x], flat, starts[todo], sizes[todo])
         if len(todo) == m and m > 8 and len(known) < PIVOTS:
             known.append(1 - inter / (sizes + sizes[x] - inter))
-        hits = todo[linked(inter, sizes[todo], sizes[x])]
+        hits = todo[linked(inter, sizes[todo], sizes[x], least)]
         hits = hits[hits != x]
         if len(hits):
             for y in hits.tolist():
@@ -250,7 +255,7 @@ def _edges(sids, forest) -> list[tuple[int, int]]:
     return [(sids[i], sids[r]) for i in range(len(sids)) if (r := forest.root(i)) != i]
 
 
-def _join_regions(sets: DataFrame, buckets: int) -> DataFrame:
+def _join_regions(sets: DataFrame, buckets: int, least: int) -> DataFrame:
     """Links within regions of at most ``REGION`` sets; many small regions share a task."""
     def work(table):
         out, by = [], {}
@@ -259,7 +264,7 @@ def _join_regions(sets: DataFrame, buckets: int) -> DataFrame:
         for members in by.values():
             sids = sorted(members)
             halves = [members[s][1] for s in sids]
-            out += _edges(sids, join_region([members[s][0] for s in sids], None if halves[0] is None else np.array(halves)))
+            out += _edges(sids, join_region([members[s][0] for s in sids], None if halves[0] is None else np.array(halves), least))
         return pa.table([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
     return (sets.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)))
@@ -269,10 +274,10 @@ def _join_regions(sets: DataFrame, buckets: int) -> DataFrame:
 MEMBER = "parent long, region long, sid long, hashes binary, core boolean, src long, dst long"
 
 
-def _deal(sets: DataFrame) -> DataFrame:
+def _deal(sets: DataFrame, least: int) -> DataFrame:
     """One distributed round for large regions: distances to a few pivots, links, new regions with their windows."""
-    least = [F.min_by("sid", F.xxhash64("sid", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
-    chosen = (sets.groupBy("region").agg(*least)
+    firsts = [F.min_by("sid", F.xxhash64("sid", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
+    chosen = (sets.groupBy("region").agg(*firsts)
               .select("region", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("sid")))
     pivots = written(chosen.join(sets, ["region", "sid"]).dropDuplicates(["region", "sid"]).groupBy("region")
                      .agg(F.collect_list(F.struct("sid", "hashes")).alias("pivots")), "jaccard_pivots")
@@ -286,22 +291,22 @@ def _deal(sets: DataFrame) -> DataFrame:
                 for p in near:
                     q = np.frombuffer(p["hashes"], np.uint64)
                     inter = int(overlap(s, q, np.array([0]), np.array([len(q)]))[0])
-                    if p["sid"] != sid and linked(inter, len(s), len(q)):
+                    if p["sid"] != sid and linked(inter, len(s), len(q), least):
                         out.append((region, None, None, None, None, sid, p["sid"]))
                     dist.append(1 - inter / (len(s) + len(q) - inter))
                 for p, d in zip(near, dist):
-                    if d <= min(dist) + 0.2 + 1e-9:
+                    if d <= min(dist) + 2 * (1 - least / 100) + 1e-9:
                         new = int(mix(np.array([region, p["sid"]], np.int64).view(np.uint64) * U(3))[:2].sum().astype(np.int64))
                         q = np.frombuffer(p["hashes"], np.uint64)
                         inter = round((len(s) + len(q)) * (1 - d) / (2 - d))
-                        out.append((region, new, sid, raw, bool(linked(inter, len(s), len(q))), None, None))
+                        out.append((region, new, sid, raw, bool(linked(inter, len(s), len(q), least)), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                              names=["parent", "region", "sid", "hashes", "core", "src", "dst"])
 
     return written(sets.select("region", "sid", "hashes").join(pivots, "region").mapInArrow(work, MEMBER), "jaccard_regions")
 
 
-def _links(sets_of, members: DataFrame, sized: DataFrame, buckets: int, region_limit: int) -> DataFrame:
+def _links(sets_of, members: DataFrame, sized: DataFrame, buckets: int, region_limit: int, least: int) -> DataFrame:
     """All links of the regions, up to connectivity: large regions are dealt anew until they are small.
 
     ``sets_of`` gives the shingle sets of some members; only those of large regions are written, the others go straight
@@ -309,11 +314,11 @@ def _links(sets_of, members: DataFrame, sized: DataFrame, buckets: int, region_l
     """
     found, blank = [], F.lit(None).cast("int").alias("half")
     if sized.isEmpty():
-        return _join_regions(sets_of(members).withColumn("half", blank), buckets)
-    found.append(_join_regions(sets_of(members.join(sized, "region", "left_anti")).withColumn("half", blank), buckets))
+        return _join_regions(sets_of(members).withColumn("half", blank), buckets, least)
+    found.append(_join_regions(sets_of(members.join(sized, "region", "left_anti")).withColumn("half", blank), buckets, least))
     large = written(sets_of(members.join(sized.select("region"), "region")), "jaccard_sets")
     while True:
-        dealt = _deal(large)
+        dealt = _deal(large, least)
         found.append(dealt.filter("src is not null").select("src", "dst"))
         members = dealt.filter("src is null")
         # a region whose sets are all linked to its pivot is done; one that did not shrink is compared block by block
@@ -327,10 +332,10 @@ def _links(sets_of, members: DataFrame, sized: DataFrame, buckets: int, region_l
                   .withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                   .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "sid", "hashes",
                           F.when(F.col("own") == F.col("other"), None).otherwise((F.col("own") < F.col("other")).cast("int")).alias("half")))
-        found.append(_join_regions(written(blocks, "jaccard_blocks"), buckets))
+        found.append(_join_regions(written(blocks, "jaccard_blocks"), buckets, least))
         sets = written(rest.filter("not stuck").select("region", "sid", "hashes"), "jaccard_sets")
         sized = written(sets.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region_limit), "jaccard_large")
-        found.append(_join_regions(sets.join(sized, "region", "left_anti").select("region", "sid", "hashes", blank), buckets))
+        found.append(_join_regions(sets.join(sized, "region", "left_anti").select("region", "sid", "hashes", blank), buckets, least))
         if sized.isEmpty():
             break
         large = written(sets.join(sized.select("region"), "region"), "jaccard_sets")
@@ -341,17 +346,19 @@ def _links(sets_of, members: DataFrame, sized: DataFrame, buckets: int, region_l
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
-                 region_limit: int = REGION) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of ``df``; linked texts at Jaccard 0.9 or more share the
-    smallest doc_id reachable by links.
+                 region_limit: int = REGION, least: int = LEAST) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per row of ``df``; linked texts at Jaccard of ``least`` percent or more
+    share the smallest doc_id reachable by links.
 
     A null or empty text, or one of blanks, has no shingles and links with nothing. A null id links with nothing and has a
     null component. Repeated rows are copies of one another: each gets the component of its set. An empty table gives no
     rows. Only the id and text columns are read.
     """
+    if not 70 <= least <= 99:
+        raise ValueError("least is a percentage from 70, the step between size classes, to 99")
     spark = df.sparkSession
     buckets = 4 * shuffle_partitions(spark)
-    scan = written(_scan(df, id_col, text_col, size, buckets), "jaccard_scan")
+    scan = written(_scan(df, id_col, text_col, size, buckets, least), "jaccard_scan")
     docs = scan.filter("kind = 0").select("doc_id", "sid", "key2", "n", "uid")
     firsts = written(docs.filter("sid is not null").groupBy("sid").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("key2").alias("a"), F.max("key2").alias("b")),
@@ -383,18 +390,18 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return map_texts(texts, ["doc_id", "text", "sid", "region"], "region long, sid long, hashes binary", to_sets)
 
     sized = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region_limit)
-    links = _links(sets_of, members, written(sized, "jaccard_large"), buckets, region_limit)
+    links = _links(sets_of, members, written(sized, "jaccard_large"), buckets, region_limit, least)
     groups = connected_components(links).withColumnRenamed("id", "sid")
-    least = groups.join(firsts, "sid").groupBy("component").agg(F.min("first").alias("component_id"))
-    named = groups.join(least, "component").select("sid", "component_id")
+    smallest = groups.join(firsts, "sid").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = groups.join(smallest, "component").select("sid", "component_id")
     copies = firsts.filter("rows > 1").join(named, "sid", "left_anti").select("sid", F.col("first").alias("component_id"))
     answer = written(named.unionByName(copies), "jaccard_groups")
     return salted_join(docs, answer, "sid", "doc_id").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``df`` without the documents whose group has a smaller id; rows with a null id stay."""
-    drop = (jaccard_join(df, id_col, text_col).filter("doc_id <> component_id")
+    drop = (jaccard_join(df, id_col, text_col, size, least=least).filter("doc_id <> component_id")
             .select(F.col("doc_id").alias("_drop_id")).distinct())
     return df.join(drop.hint("merge"), df[id_col] == drop["_drop_id"], "left_anti")

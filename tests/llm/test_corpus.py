@@ -111,6 +111,46 @@ def test_jaccard_join_of_small_sets(spark):
     assert got == {1: (9, 1), 2: (10, 1), 3: (9, 1), 4: (8, 4), 5: (2, 5)}
 
 
+@pytest.mark.parametrize("least", [70, 80, 95])
+def test_cells_at_other_thresholds(least):
+    rng = np.random.default_rng(6)
+    for n in (4, 5, 9, 19, 37, 90, 300):
+        for _ in range(60):
+            s = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
+            most = 2 * n * (100 - least) // (100 + least)
+            cut = rng.integers(0, most + 1)
+            t = np.unique(np.concatenate([s[cut:], rng.integers(1, 1 << 62, most - cut, dtype=np.uint64)]))
+            inter = len(np.intersect1d(s, t))
+            if jaccard_join.linked(inter, len(s), len(t), least) and not len(s) == inter == len(t):
+                a, b = (jaccard_join.cells([x], least)[0] for x in (s, t))
+                assert len(np.intersect1d(a, b)) > 0
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_jaccard_join_of_five_words_at_80(docs, limit):
+    df, rows = docs
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for key, text, *_ in rows:
+        w = re.findall(WORD, (text or "").translate(low))
+        sets.append((key, {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, min(1, len(w))))}))
+    links = [(a, b) for (a, s), (b, t) in itertools.combinations(sets, 2)
+             if a is not None and b is not None and s and 100 * len(s & t) >= 80 * len(s | t)]
+    group = components([k for k, _ in sets if k is not None], links)
+    got = sorted(map(tuple, jaccard_join.jaccard_join(df, size=5, region_limit=limit, least=80).collect()), key=str)
+    assert got == sorted(((k, len(s), group.get(k)) for k, s in sets), key=str)
+
+
+def test_near_duplicate_stage_takes_five_words_at_80(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(50)]
+    other = [*words[:25], "other", *words[26:]]                     # 41 of 51 five-word shingles, 45 of 51 of three words
+    far = [*words[:15], "one", *words[16:30], "two", *words[31:]]   # 36 of 56 five-word shingles
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == [1, 3]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 16))
