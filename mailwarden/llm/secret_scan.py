@@ -24,8 +24,8 @@ PATTERNS = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
-#: What may be a credential: a long token with a digit and a letter. Ordinary words are long tokens without digits.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,200}(?![A-Za-z0-9+/_.=-])")
+#: What may be a credential: a long token, of any length, with a digit and a letter. Ordinary words are long tokens without digits.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}(?![A-Za-z0-9+/_.=-])")
 ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,200}(?![A-Za-z0-9+/_.=-])")
 #: The words of the first pattern: a text without any of them needs no search for it.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")

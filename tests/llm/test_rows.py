@@ -83,6 +83,17 @@ def test_secret_scan(docs, spark):
         assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
 
 
+def test_tokens_of_any_length_are_scored(spark):
+    rng = random.Random(6)
+    token = lambda n: "".join(rng.choice("AB") + rng.choice("12") for _ in range(n // 2))
+    words = ["".join(rng.choice(["th", "er", "ing", "an", "ou", "re", "tion"]) for _ in range(6)) for _ in range(400)]
+    model = secret_scan.SecretModel({"assign": [token(rng.randint(30, 190)) for _ in range(300)], "ordinary": words})
+    for n in (200, 202, 1000, 20_000):
+        assert model.spans(f"see {token(n)} and {words[0]}") == [(4, 3, 4 + n)]
+    df = spark.createDataFrame([(1, f"see {token(1000)} and {words[0]}")], "doc_id long, text string")
+    assert secret_scan.redact(df, model=model).first()["text"] == f"see [SECRET] and {words[0]}"
+
+
 def test_automata_know_the_format_and_leave_words_alone(spark):
     rng = random.Random(5)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
