@@ -150,21 +150,29 @@ class Shard:
 
 
 def join_shards(a: Shard, b: Shard, same: bool, least: float, beam: int):
-    """Links of the vectors of ``a`` in ``b`` (within one shard: to earlier ones), exact cosines, audited recall."""
-    audited = np.flatnonzero(a.ids % 100 == 0)
+    """Links of the vectors of ``a`` in ``b``, exact cosines, audited recall.
+
+    Within one shard a pair counts once, later vector first, whichever of the two found the other.
+    """
+    audited = a.ids % 100 == 0
+    checked = np.flatnonzero(audited)
     while True:
         q, n = range_search(b.unit, b.layers, a.unit, least, beam)
+        if same:
+            pairs = np.unique((np.maximum(q, n) * len(b.ids) + np.minimum(q, n))[q != n])
+            q, n = pairs // len(b.ids), pairs % len(b.ids)
         expected = found = 0
-        for start in range(0, len(audited), BATCH):
-            own = audited[start:start + BATCH]
-            expected += int(((a.unit[own] @ b.unit.T) >= least).sum())
+        for start in range(0, len(checked), BATCH):
+            own = checked[start:start + BATCH]
+            near = (a.unit[own] @ b.unit.T) >= least
+            if same:
+                near &= ~audited | (np.arange(len(b.ids)) < own[:, None])   # two audited vectors once, no vector with itself
+            expected += int(near.sum())
         sims = np.einsum("md,md->m", a.unit[q], b.unit[n]) if len(q) else np.zeros(0)
-        found = int((np.isin(q, audited) & (sims >= least)).sum())
+        found = int(((audited[q] | audited[n] if same else audited[q]) & (sims >= least)).sum())
         if found >= RECALL * expected or beam >= len(b.ids):
             break
         beam = min(2 * beam, len(b.ids))
-    if same:
-        q, n = q[n < q], n[n < q]
     keep = []
     for start in range(0, len(q), 1 << 16):
         x, y = q[start:start + (1 << 16)], n[start:start + (1 << 16)]

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import types
 
 import numpy as np
 import pytest
@@ -171,6 +172,28 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_links_found_from_one_side_within_a_shard(monkeypatch):
+    rng = np.random.default_rng(3)
+    raw = (rng.normal(size=8) + 0.01 * rng.normal(size=(6, 8))).astype(np.float32)
+    norm = np.linalg.norm(raw.astype(np.float64), axis=1)
+    shard = lambda ids: types.SimpleNamespace(ids=np.array(ids), raw=raw, norm=norm, unit=(raw / norm[:, None]).astype(np.float32), layers=None)
+    beams = []
+
+    def found(v, layers, q, least, beam):
+        beams.append(beam)
+        if beam >= len(v):
+            return tuple(x.ravel() for x in np.indices((6, 6)))
+        return np.array([0, 0, 1, 2, 3, 4, 5, 3]), np.array([0, 4, 1, 2, 3, 4, 5, 0])   # 0 finds 4, 3 finds 0, and all themselves
+
+    monkeypatch.setattr(embedding_dedup, "range_search", found)
+    some = shard([1, 2, 3, 4, 5, 6])                                # none is audited
+    assert sorted(zip(*map(np.ndarray.tolist, embedding_dedup.join_shards(some, some, True, 0.95, 2)))) == [(3, 0), (4, 0)]
+    assert beams == [2]
+    every = shard([100, 200, 300, 400, 500, 600])                   # 2 of 15 links are no 98 %, whatever they find of themselves
+    assert len(embedding_dedup.join_shards(every, every, True, 0.95, 2)[0]) == 15
+    assert beams == [2, 2, 4, 6]
+
+
 def test_kneser_ney_is_a_distribution_and_matches_brute_force(spark):
     texts = ["the thing then", "that other thing", "an error", "then"]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
