@@ -235,6 +235,26 @@ def test_classifier_on_labelled_documents(spark):
     assert none.filter("kept").count() == 20
 
 
+def test_a_rare_language_sets_its_own_limit(spark):
+    rng = random.Random(8)
+    word = {"en": lambda: rng.choice(["the", "thing", "then", "other", "an", "error"]),
+            "xx": lambda: "".join(rng.choice("αβγδεζηθικλμ") for _ in range(5)), None: lambda: "".join(rng.choice("qwz") for _ in range(5))}
+    langs = ["en"] * 2000 + ["xx"] * 80 + [None] * 80
+    df = spark.createDataFrame([(i, " ".join(word[x]() for _ in range(40)), x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(langs))], "doc_id long, quality int, toxic int")
+    out = collections.defaultdict(list)
+    for r in quality_classifier.quality_classifier(df, labels, rows=200).collect():
+        out[r["lang"]].append((r["limit"], r["kept"]))
+    assert sum(map(len, out.values())) == len(langs) and len({v[0][0] for v in out.values()}) == 3
+    assert all(sum(kept for _, kept in v) >= 0.97 * len(v) for v in out.values())
+
+
+def test_fit_shares():
+    shares = dict(quality_classifier.fit_shares([("en", 10_000), ("xx", 40), (None, 300)], 1000))
+    assert shares["xx"] == shares[None] == 0.5 and shares["en"] * 10_000 == pytest.approx(330)
+    assert quality_classifier.fit_shares([], 1000) == []
+
+
 def test_sentencepiece(spark):
     import public_tokenizers
     import sentencepiece
