@@ -204,3 +204,20 @@ def test_a_hot_key_is_split(spark, operator):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_pairs_that_fail_against_the_leader_of_their_bucket_are_compared(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for f in range(40):
+        body = text(400)                            # the smallest id is at about 0.8 to the rest, these at about 0.95 to each other
+        rows += [(10 * f, body + text(100))] + [(10 * f + k, body + text(10)) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "sample_id long, body string")
+    keys = {x["sample_id"]: x["key"] for x in neardup.band_keys(neardup.signatures(df, 1), 1, 1).collect()}
+    sets = {i: {t[j:j + 5] for j in range(len(t) - 4)} for i, t in rows}
+    links = [(a, b) for a in keys for b in keys if a < b and keys[a] == keys[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])]
+    assert sum(keys[a - a % 10] == keys[a] for a, _ in links) > 20
+    got = {x["sample_id"]: x["near_dup_cluster_id"] for x in neardup.near_duplicate_clusters(df, bands=(1, 1)).collect()}
+    assert set(got) == {x for pair in links for x in pair}
+    assert all(got[a] == got[b] for a, b in links) and all(c // 10 == i // 10 for i, c in got.items())
