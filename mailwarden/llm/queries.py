@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from mailwarden.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, substring_dedup, twins, warc
+from mailwarden.llm import (embedding_dedup, html_text, jaccard_join, license_scan, packing, prefix_trie, quality_classifier, quality_rules, secret_scan,
+                            sentencepiece_lattice, substring_dedup, twins, warc, whitening)
 from mailwarden.llm.common import read
 
 QUERIES: dict[str, Callable] = {}
@@ -70,3 +71,18 @@ def op8_sentencepiece_lattice(spark, sf_dir):
     out = sentencepiece_lattice.decode(sentencepiece_lattice.encode(turns))
     return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), "ids",
                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_html_extraction(spark, sf_dir):
+    return html_text.html_text(read(spark, sf_dir, "pages"))

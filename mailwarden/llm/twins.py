@@ -54,4 +54,31 @@ links AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON
 SELECT doc_id, coalesce(k, 0)::BIGINT AS n_shingles, component_id::BIGINT AS component_id
 FROM parts LEFT JOIN n USING (doc_id)"""
 
-SQL = {"op2_substring_dedup": OP2, "op3_embedding_dedup": OP3, "op7_warc_revisit": OP7, "op10_jaccard_join": OP10}
+#: CRC-32 of a decimal id, bit by bit: a byte is xor-ed in, each -1 shifts once.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+  FOR x IN string_split(conv_id::VARCHAR, '')])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+  ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295::BIGINT)"""
+
+OP12 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS pos FROM t),
+own AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY pos) AS turns FROM p GROUP BY conv_id),
+shift AS (SELECT *, {_CRC} % 6 AS h FROM own),
+built AS MATERIALIZED (SELECT s.conv_id, list_concat(coalesce(b.turns[1:s.h], []), s.turns[s.h + 1:]) AS turns
+          FROM shift s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 100),
+spread AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM built),
+seen AS (SELECT conv_id, n, depth, turns[1:depth] AS prefix FROM spread),
+node AS MATERIALIZED (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+         FROM seen GROUP BY prefix, depth),
+linked AS (SELECT c.*, q.conv_id AS parent_conv_id, CASE WHEN c.depth > 0 THEN length(c.prefix[c.depth].t) ELSE 0 END AS chars
+           FROM node c LEFT JOIN node q ON q.depth = c.depth - 1 AND q.prefix = c.prefix[1:c.depth - 1] AND c.depth > 0),
+child AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS k FROM linked WHERE depth > 0 GROUP BY 1, 2),
+full_node AS (SELECT l.*, coalesce(k, 0) AS n_children FROM linked l LEFT JOIN child USING (conv_id, depth)),
+below AS (SELECT a.conv_id, a.depth, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.chars) AS saved_tokens
+          FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_node) u JOIN node a ON a.depth = u.d AND a.prefix = u.prefix[1:u.d]
+          GROUP BY a.conv_id, a.depth)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM full_node JOIN below USING (conv_id, depth)"""
+
+SQL = {"op12_conversation_trie": OP12, "op2_substring_dedup": OP2, "op3_embedding_dedup": OP3, "op7_warc_revisit": OP7, "op10_jaccard_join": OP10}
