@@ -4,12 +4,13 @@ Distance is 1 - Jaccard over sets of word shingles, a metric; two sets are linke
 at distance D = 1 - least / 100 or less (0.1 unless another ``least`` is given).
 
 Level 0. Whole documents are useless as first pivots: a text is at distance 1 from nearly every other text, so no window
-would exclude anything (one shared shingle each as pivots merged half of the sets into one region, too). The first
-regions are therefore cells of partial distances. Sets of like size share a split of all shingles, by hash, into g parts;
-in each part the pivots are the contents that occur there, and a set belongs to the pivot at partial distance 0, its own
-content. Linked sets differ in at most (n + m) * D / (2 - D) shingles (a 19th at 0.1), so with g above that number some part is equal: putting a
-set into one region per part, and sets near the edge of a size class into the next class as well, loses no linked pair.
-Regions that share a set are merged, so that every set meets all that may be near it, in one place.
+would exclude anything. The first pivots are therefore shingles, and a set lies in the regions of its rarest ones. All
+shingles are ordered by the number of rows that hold them (at most ``TOP``), then by key. Linked sets share ``least``
+percent of the shingles of either, so among the first n - ceil(n * least / 100) + 1 shingles of both, in that order, is one
+that they share: these are a set's pivots, and no linked pair is lost. Most of them occur in one set only and are
+dropped where they are counted; a set that has enough of those links with nothing. A passage that many documents share is
+frequent, so it is a pivot only of documents that are little else. Regions that share a set are merged, so that every set
+meets all that may be near it, in one place.
 
 Level 1 and on. Within a region documents are pivots: each set learns its exact distance to a pivot, is linked if that is
 D or less, and is compared with other sets only where their distances to every pivot so far differ by at most D and
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailwarden.llm.common import map_texts, pieces, salted_join, shuffle_partitions, written
 from mailwarden.llm.words import LOWER, hash_texts, mix, windows
@@ -35,10 +36,10 @@ SHINGLE = 3
 LEAST = 90
 #: Sets that one task joins at most.
 REGION = 4096
-#: Size classes grow by this factor; parts beyond the least number, which may be empty in a set.
-GROWTH, SPARE = 1 / 0.7, 2
+#: Counts of a shingle are told apart up to this one; bits of a shingle's key.
+TOP, BITS = 32767, 48
 PIVOTS = 8
-#: Part contents that a task holds before it hands them on.
+#: Keys that a task holds before it hands them on.
 HELD = 1 << 20
 U = np.uint64
 
@@ -60,83 +61,70 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def size_classes(limit: int) -> np.ndarray:
-    """First size of each class, up to the class beyond ``limit``."""
-    lows = [1]
-    while lows[-1] <= limit:
-        lows.append(max(lows[-1] + 1, int(np.ceil(lows[-1] * GROWTH))))
-    return np.array(lows + [int(np.ceil(lows[-1] * GROWTH)), int(np.ceil(lows[-1] * GROWTH ** 2))])
+def shingle_keys(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of its set) of every shingle. Keys of ``BITS`` bits: two shingles with the same key only bring two
+    sets together that are then compared.
 
-
-def cells(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(region key, number of its set): a key per part of each set.
-
-    Empty parts give keys only in sets with more than ``SPARE`` of them: any other set has a part that is equal and not
-    empty. Sets below ``smallest`` shingles link with equal sets only, which are copies: n link with n + 1
+    Sets below ``smallest`` shingles link with equal sets only, which are copies, and have no keys: n link with n + 1
     that hold them where n / (n + 1) is ``least`` or more (nine with ten at 90).
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
     smallest = -(-least // (100 - least))
-    lows = size_classes(int(sizes.max(initial=1)))
-    own = np.searchsorted(lows, sizes, side="right") - 1
-    keys, owners = [], []
-    for step in (0, 1):
-        k = np.flatnonzero(sizes >= smallest) if step == 0 else np.flatnonzero((sizes >= smallest) & (100 * sizes >= least * lows[own + 1]))
-        if not len(k):
-            continue
-        cls = own[k] + step
-        parts = 2 * (lows[cls + 1] - 1) * (100 - least) // (100 + least) + 1 + SPARE
-        first = np.cumsum(parts) - parts
-        n, flat = sizes[k], np.concatenate([sets[i] for i in k])
-        mixed = mix(flat + U(17))
-        place = (mixed >> U(20)) % np.repeat(parts, n).astype(np.uint64)
-        at = place.astype(np.int64) + np.repeat(first, n)
-        total, held = np.zeros(parts.sum(), np.uint64), np.bincount(at, minlength=parts.sum())
-        np.add.at(total, at, mix(flat ^ U(0x1234567)))
-        owner = np.repeat(k, parts)
-        part = np.arange(len(owner)) - np.repeat(first, parts)
-        empty = np.add.reduceat((held == 0).astype(np.int64), first)
-        use = (held > 0) | np.repeat(empty > SPARE, parts)
-        label = mix(np.repeat(cls, parts).astype(np.uint64) * U(1 << 32) + part.astype(np.uint64))
-        keys.append(mix(total + label)[use])
-        owners.append(owner[use])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(keys or [none.astype(np.uint64)]), np.concatenate(owners or [none])
-
-
-def chains(key: np.ndarray, owner: np.ndarray):
-    """Edges between successive owners of the same key, and one (key, owner) per key."""
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    if len(key) < 2:
-        return np.zeros((0, 2), np.int64), key, owner
-    same = key[1:] == key[:-1]
-    near = same & (owner[1:] != owner[:-1])
-    pairs = np.unique(np.stack([owner[1:][near], owner[:-1][near]], 1), axis=0)
-    first = np.concatenate(([True], ~same))
-    return pairs, key[first], owner[first]
-
-
-SCAN = "kind int, doc_id long, sid long, key2 long, n long, uid long, bucket int, keys binary, owners binary"
+    sizes = np.array([len(s) if len(s) >= smallest else 0 for s in sets], np.int64)
+    flat = np.concatenate([s[:n] for s, n in zip(sets, sizes)] or [np.zeros(0, np.uint64)])
+    return mix(flat + U(17)) >> U(64 - BITS), np.repeat(np.arange(len(sets)), sizes)
+
+
+def pivots_needed(n, least: int = LEAST):
+    """How many of its rarest shingles a set of n has as pivots; for numbers and for columns of longs."""
+    return n - F.floor((n * least + 99) / 100) + 1 if isinstance(n, Column) else n - (n * least + 99) // 100 + 1
+
+
+def shared_cells(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Owners of keys that have two owners or more, and the cells of each: number of owners above the key, so that the
+    order of cells is the order of pivots. Returns owners, offsets and cells."""
+    order = np.argsort(keys, kind="stable")
+    k, own = keys[order], owners[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])) if len(k) else k)
+    counts = np.diff(np.append(first, len(k)))
+    many = np.repeat(counts, counts)
+    cells = (np.minimum(many, TOP).astype(np.uint64) << U(BITS) | k)[many > 1].astype(np.int64)
+    own = own[many > 1]
+    order = np.lexsort((cells, own))
+    cells, own = cells[order], own[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.append(first, len(own)), cells
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BITS // 8]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // BITS, 8), np.uint8)
+    out[:, :BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
+    return out.view("<u8").ravel()
+
+
+SCAN = "kind int, doc_id long, sid long, n long, key2 long, uid long, bucket int, keys binary, owners binary"
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, least: int) -> DataFrame:
-    """Per text its keys (kind 0); per task and bucket its regions (kind 1); edges within the task (kind 2, n and uid).
+    """Per text its set (kind 0); per task and bucket the keys of its sets (kind 1).
 
-    A ``uid`` names a row by its task and place, so that the owners of a bucket's regions are short runs of small steps.
+    A ``uid`` names a set by its task and place, so that the owners of a bucket's keys are short runs of small steps.
+    Copies that a task holds at the same time give their keys once.
     """
-    shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "key2", "n", "uid")),
+    shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "n", "key2", "uid")),
                        ("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
         z = zstandard.ZstdCompressor(level=1)
-        held, owners, n_held, uid = [], [], 0, TaskContext.get().partitionId() << 40
+        held, owners, seen, n_held, uid = [], [], set(), 0, TaskContext.get().partitionId() << 40
 
         def flush():
-            pairs, a, own = chains(np.concatenate(held), np.concatenate(owners))
-            yield [(2, None, None, None, x, y, None, None, None) for x, y in pairs.tolist()]
+            a, own = np.concatenate(held), np.concatenate(owners)
             which = (mix(a) % U(buckets)).astype(np.int64)
             order = np.lexsort((own, which))
             cut = np.searchsorted(which[order], np.arange(buckets + 1))
@@ -144,9 +132,8 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
             for b in range(buckets):
                 k = order[cut[b]:cut[b + 1]]
                 if len(k):
-                    out.append((1, None, None, None, None, None, b, a[k].tobytes(),
-                                z.compress(np.diff(own[k], prepend=0).tobytes())))
-            yield out
+                    out.append((1, None, None, None, None, None, b, _packed(a[k]), z.compress(np.diff(own[k], prepend=0).tobytes())))
+            return out
 
         def rows_of():
             nonlocal n_held, uid
@@ -155,24 +142,31 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
                 own = np.zeros(len(rows), np.int64)
                 for i, ((key, _), s) in enumerate(zip(rows, sets)):
                     if not len(s) or key is None:
-                        out.append((0, key, None, None, len(s), None, None, None, None))
+                        out.append((0, key, None, len(s), None, None, None, None, None))
+                        sets[i] = s[:0]
+                        continue
+                    sid, key2 = set_keys(s)
+                    if sid in seen:
+                        out.append((0, key, sid, len(s), key2, None, None, None, None))
                         sets[i] = s[:0]
                         continue
+                    seen.add(sid)
                     uid += 1
                     own[i] = uid
-                    out.append((0, key, *set_keys(s), len(s), uid, None, None, None))
-                regions, which = cells(sets, least)
-                held.append(regions)
+                    out.append((0, key, sid, len(s), key2, uid, None, None, None))
+                keys, which = shingle_keys(sets, least)
+                held.append(keys)
                 owners.append(own[which])
-                n_held += len(regions)
+                n_held += len(keys)
                 yield out
                 if n_held >= HELD:
-                    yield from flush()
+                    yield flush()
                     held.clear()
                     owners.clear()
+                    seen.clear()
                     n_held = 0
             if held:
-                yield from flush()
+                yield flush()
 
         for out in rows_of():
             if out:
@@ -181,6 +175,23 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, SCAN)
 
 
+def _near(scan: DataFrame, least: int) -> DataFrame:
+    """(src, dst): each set with the least set of every region of a pivot of its own."""
+    def meet(table):
+        owners = [np.cumsum(np.frombuffer(zstandard.decompress(x), np.int64)) for x in table["owners"].to_pylist()]
+        own, offsets, cells = shared_cells(_unpacked(b"".join(table["keys"].to_pylist())), np.concatenate(owners))
+        return pa.table({"uid": pa.array(own, pa.int64()), "cells": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells, pa.int64()))})
+
+    met = scan.filter("kind = 1").select("bucket", "keys", "owners").groupBy("bucket").applyInArrow(meet, "uid long, cells array<long>")
+    one = scan.filter("uid is not null").groupBy("sid").agg(F.min("uid").alias("uid"), F.max("n").alias("n"))      # of all copies
+    # a set's cells are as many as its shingles
+    shared = met.join(one, "uid").groupBy("sid").agg(F.max("n").alias("n"), F.sort_array(F.flatten(F.collect_list("cells"))).alias("cells"))
+    needed = (pivots_needed(F.col("n"), least) - (F.col("n") - F.size("cells"))).cast("int")
+    pivots = written(shared.withColumn("needed", needed).filter("needed > 0").select("sid", F.explode(F.expr("slice(cells, 1, needed)")).alias("key")), "jaccard_pivots")
+    firsts = written(pivots.groupBy("key").agg(F.min("sid").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "jaccard_firsts")
+    return pivots.join(firsts, "key").filter("sid <> first").select(F.col("sid").alias("src"), F.col("first").alias("dst")).distinct()
+
+
 class Forest:
     """Union-find; the root is the least member."""
 
@@ -271,11 +282,12 @@ def _join_regions(sets: DataFrame, buckets: int, least: int) -> DataFrame:
             .groupBy("bucket").applyInArrow(work, EDGE))
 
 
-MEMBER = "parent long, region long, sid long, hashes binary, core boolean, src long, dst long"
+MEMBER = "parent long, region long, sid long, core boolean, src long, dst long"
 
 
 def _deal(sets: DataFrame, least: int) -> DataFrame:
-    """One distributed round for large regions: distances to a few pivots, links, new regions with their windows."""
+    """One distributed round for large regions: distances to a few pivots, links, and who is in which new region with its
+    window. Sets are not copied: most new regions need no more work."""
     firsts = [F.min_by("sid", F.xxhash64("sid", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
     chosen = (sets.groupBy("region").agg(*firsts)
               .select("region", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("sid")))
@@ -283,7 +295,7 @@ def _deal(sets: DataFrame, least: int) -> DataFrame:
                      .agg(F.collect_list(F.struct("sid", "hashes")).alias("pivots")), "jaccard_pivots")
 
     def work(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         for batch in batches:
             out = []
             for region, sid, raw, near in zip(*(c.to_pylist() for c in batch.columns)):
@@ -292,16 +304,16 @@ def _deal(sets: DataFrame, least: int) -> DataFrame:
                     q = np.frombuffer(p["hashes"], np.uint64)
                     inter = int(overlap(s, q, np.array([0]), np.array([len(q)]))[0])
                     if p["sid"] != sid and linked(inter, len(s), len(q), least):
-                        out.append((region, None, None, None, None, sid, p["sid"]))
+                        out.append((region, None, None, None, sid, p["sid"]))
                     dist.append(1 - inter / (len(s) + len(q) - inter))
                 for p, d in zip(near, dist):
                     if d <= min(dist) + 2 * (1 - least / 100) + 1e-9:
                         new = int(mix(np.array([region, p["sid"]], np.int64).view(np.uint64) * U(3))[:2].sum().astype(np.int64))
                         q = np.frombuffer(p["hashes"], np.uint64)
                         inter = round((len(s) + len(q)) * (1 - d) / (2 - d))
-                        out.append((region, new, sid, raw, bool(linked(inter, len(s), len(q), least)), None, None))
+                        out.append((region, new, sid, bool(linked(inter, len(s), len(q), least)), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                             names=["parent", "region", "sid", "hashes", "core", "src", "dst"])
+                                             names=["parent", "region", "sid", "core", "src", "dst"])
 
     return written(sets.select("region", "sid", "hashes").join(pivots, "region").mapInArrow(work, MEMBER), "jaccard_regions")
 
@@ -326,7 +338,8 @@ def _links(sets_of, members: DataFrame, sized: DataFrame, buckets: int, region_l
                         .join(sized.select(F.col("region").alias("parent"), F.col("m").alias("before")), "parent")
                         .filter("not done").withColumn("stuck", F.expr(f"m > {region_limit} and m > 0.7 * before"))
                         .select("region", "m", "stuck"), "jaccard_state")
-        rest = members.select("region", "sid", "hashes").join(state, "region")
+        rest = members.select("parent", "region", "sid").join(state, "region").join(
+            large.select(F.col("region").alias("parent"), "sid", "hashes"), ["parent", "sid"])
         block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
         blocks = (rest.filter("stuck").withColumn("blocks", F.ceil(2 * F.col("m") / region_limit).cast("int"))
                   .withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -354,30 +367,18 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null component. Repeated rows are copies of one another: each gets the component of its set. An empty table gives no
     rows. Only the id and text columns are read.
     """
-    if not 70 <= least <= 99:
-        raise ValueError("least is a percentage from 70, the step between size classes, to 99")
+    if not 1 <= least <= 99:
+        raise ValueError("least is a percentage from 1 to 99")
     spark = df.sparkSession
     buckets = 4 * shuffle_partitions(spark)
     scan = written(_scan(df, id_col, text_col, size, buckets, least), "jaccard_scan")
-    docs = scan.filter("kind = 0").select("doc_id", "sid", "key2", "n", "uid")
+    docs = scan.filter("kind = 0").select("doc_id", "sid", "key2", "n")
     firsts = written(docs.filter("sid is not null").groupBy("sid").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("key2").alias("a"), F.max("key2").alias("b")),
-        "jaccard_firsts")
+        "jaccard_sets_of_rows")
     if not firsts.filter("a <> b").isEmpty():
         raise RuntimeError("two different sets have the same 64-bit key; change the constants of set_keys")
-
-    def meet(table):
-        owners = [np.cumsum(np.frombuffer(zstandard.decompress(x), np.int64)) for x in table["owners"].to_pylist()]
-        pairs, _, _ = chains(np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64), np.concatenate(owners))
-        return pa.table([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["src", "dst"])
-
-    met = (scan.filter("kind = 1").select("bucket", "keys", "owners").groupBy("bucket").applyInArrow(meet, EDGE)
-           .unionByName(scan.filter("kind = 2").select(F.col("n").alias("src"), F.col("uid").alias("dst"))).distinct())
-    keys = docs.filter("sid is not null").select("uid", "sid")
-    near = (met.join(keys.select(F.col("uid").alias("src"), F.col("sid").alias("a")), "src")
-            .join(keys.select(F.col("uid").alias("dst"), F.col("sid").alias("b")), "dst")
-            .filter("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
-    regions = connected_components(written(near, "jaccard_near")).select(F.col("id").alias("sid"), F.col("component").alias("region"))
+    regions = connected_components(written(_near(scan, least), "jaccard_near")).select(F.col("id").alias("sid"), F.col("component").alias("region"))
     members = written(regions.join(firsts.select("sid", "first"), "sid")
                       .select(F.col("first").alias("doc_id"), "sid", "region"), "jaccard_members")
 

@@ -83,25 +83,50 @@ def test_jaccard_join(docs, limit):
     assert len(links) > 100
 
 
-def test_cells_lose_no_linked_pair():
-    rng = np.random.default_rng(4)
-    for n in (10, 11, 19, 20, 37, 90, 300):
+def pivots_of(sets, least):
+    """The pivots of every set, chosen as the join chooses them."""
+    keys, owners = jaccard_join.shingle_keys(sets, least)
+    own, offsets, cells = jaccard_join.shared_cells(keys, owners)
+    out = [set() for _ in sets]
+    for i, at, end in zip(own.tolist(), offsets, offsets[1:]):
+        n = len(sets[i])
+        out[i] = set(cells[at:end][:max(jaccard_join.pivots_needed(n, least) - (n - (end - at)), 0)].tolist())
+    return out
+
+
+@pytest.mark.parametrize("least", [50, 70, 80, 90, 95])
+def test_linked_sets_share_a_pivot(least):
+    rng = np.random.default_rng(least)
+    common = rng.integers(1, 1 << 62, 40, dtype=np.uint64)                # shingles of many sets
+    sets = []
+    for n in (4, 5, 9, 10, 11, 19, 20, 37, 90, 300):
         for _ in range(30):
-            s = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
-            cut = rng.integers(0, len(s) // 19 + 1)
-            t = np.unique(np.concatenate([s[cut:], rng.integers(1, 1 << 62, rng.integers(0, len(s) // 19 + 1), dtype=np.uint64)]))
-            inter = len(np.intersect1d(s, t))
-            if 100 * inter >= 90 * (len(s) + len(t) - inter):
-                a, b = (jaccard_join.cells([x])[0] for x in (s, t))
-                assert len(a) == 0 or len(np.intersect1d(a, b)) > 0 or len(s) == inter == len(t)
-
-
-def test_cells_join_nine_shingles_with_ten():
+            s = np.unique(np.concatenate([rng.choice(common, min(n // 3, 30), replace=False), rng.integers(1, 1 << 62, n - n // 3, dtype=np.uint64)]))
+            most = 2 * n * (100 - least) // (100 + least)
+            cut = rng.integers(0, most + 1)
+            fresh = rng.integers(1, 1 << 62, most - cut, dtype=np.uint64)
+            sets += [s, np.unique(np.concatenate([rng.permutation(s)[cut:], fresh]))]
+    pivots, n_linked = pivots_of(sets, least), 0
+    for (i, s), (j, t) in itertools.combinations(enumerate(sets), 2):
+        inter = len(np.intersect1d(s, t))
+        if jaccard_join.linked(inter, len(s), len(t), least) and not len(s) == inter == len(t):
+            n_linked += 1
+            assert pivots[i] & pivots[j]
+    assert n_linked > 50
+    assert sum(not p for p in pivots) > 0 or least < 80                   # sets with enough shingles of their own have none
+
+
+def test_nine_shingles_share_a_pivot_with_ten():
     rng = np.random.default_rng(5)
     for _ in range(200):
         t = np.unique(rng.integers(1, 1 << 62, 10, dtype=np.uint64))
-        a, b = (jaccard_join.cells([x])[0] for x in (np.delete(t, rng.integers(0, 10)), t))
-        assert len(np.intersect1d(a, b)) > 0
+        a, b = pivots_of([np.delete(t, rng.integers(0, 10)), t], 90)
+        assert a & b
+
+
+def test_packed_keys():
+    keys = np.array([0, 1, (1 << jaccard_join.BITS) - 1, 123456789012], np.uint64)
+    assert (jaccard_join._unpacked(jaccard_join._packed(keys)) == keys).all() and len(jaccard_join._packed(keys)) == 24
 
 
 def test_jaccard_join_of_small_sets(spark):
@@ -112,21 +137,6 @@ def test_jaccard_join_of_small_sets(spark):
     assert got == {1: (9, 1), 2: (10, 1), 3: (9, 1), 4: (8, 4), 5: (2, 5)}
 
 
-@pytest.mark.parametrize("least", [70, 80, 95])
-def test_cells_at_other_thresholds(least):
-    rng = np.random.default_rng(6)
-    for n in (4, 5, 9, 19, 37, 90, 300):
-        for _ in range(60):
-            s = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
-            most = 2 * n * (100 - least) // (100 + least)
-            cut = rng.integers(0, most + 1)
-            t = np.unique(np.concatenate([s[cut:], rng.integers(1, 1 << 62, most - cut, dtype=np.uint64)]))
-            inter = len(np.intersect1d(s, t))
-            if jaccard_join.linked(inter, len(s), len(t), least) and not len(s) == inter == len(t):
-                a, b = (jaccard_join.cells([x], least)[0] for x in (s, t))
-                assert len(np.intersect1d(a, b)) > 0
-
-
 @pytest.mark.parametrize("limit", [4096, 3])
 def test_jaccard_join_of_five_words_at_80(docs, limit):
     df, rows = docs
