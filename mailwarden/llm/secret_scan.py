@@ -1,10 +1,14 @@
 """Secret scan: base patterns, and automata inferred from the credentials that these label.
 
 Grammar inference: credentials labelled by the base patterns (a bounded sample per kind: the ``SAMPLE`` distinct values of
-least hash) become prefix trees; states whose outgoing frequencies agree within a Hoeffding bound are merged (with their
-subtrees) into a probabilistic automaton per kind. Every token that could be a credential is scored by its best
-log-likelihood ratio per character against ordinary long words; tokens beyond a threshold set on the labelled samples are
-``inferred`` spans. Scoring is a projection: the only shuffle gathers the samples.
+least hash) become prefix trees, built one depth at a time. States of a depth whose next ``AHEAD`` characters agree within
+a Hoeffding bound become one, so deep states keep enough visits to be told apart; then states of different depths are merged
+where all that follows agrees, which makes loops of repeating formats and keeps the length of fixed ones. A state with fewer
+than ``VISITS`` strings is not tested: it joins the most visited state of its depth, and alone it ends in a loop. Every
+token that could be a credential is scored: it must be read without a kind of character that its state has not seen, and its
+log-likelihood per character must exceed that of ordinary tokens (with digits or without, outside base spans) by the
+threshold of the kind, the weakest tenth of labelled credentials held out from the fit. Such tokens are ``inferred`` spans.
+Scoring is a projection: the only shuffle gathers the samples.
 """
 from __future__ import annotations
 
@@ -24,13 +28,20 @@ PATTERNS = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
-#: What may be a credential: a long token, of any length, with a digit and a letter. Ordinary words are long tokens without digits.
+#: What may be a credential: a long token, of any length, with a digit and a letter. Ordinary are long tokens outside base spans.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}(?![A-Za-z0-9+/_.=-])")
-ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,200}(?![A-Za-z0-9+/_.=-])")
+ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}(?![A-Za-z0-9+/_.=-])")
 #: The words of the first pattern: a text without any of them needs no search for it.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 DIGIT = re.compile("[0-9]")
-SAMPLE, ALPHA, FLOOR = 400, 0.05, 1e-4
+ALPHA, FLOOR = 0.05, 1e-4
+#: Bounds of the fit: values per kind, and characters read of each value.
+SAMPLE, REACH = 2000, 4096
+#: Least strings of a state that is tested; characters compared within a depth; share of a state's steps spread over like characters.
+VISITS, AHEAD, SPREAD = 8, 8, 0.2
+#: Characters that stand for one another where few strings have been seen; any other character stands for itself.
+CLASSES = [frozenset(x) for x in ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+CLASS_OF = {c: k for k in CLASSES for c in k}
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_inferred long"
 
 
@@ -55,90 +66,141 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Automaton:
-    """Probabilistic automaton by state merging over a prefix tree."""
+    """Probabilistic automaton by state merging over a prefix tree.
+
+    ``rows[q]`` holds the steps of state q as {character: (log probability, next state)} and the log probability to end.
+    """
 
     def __init__(self, strings, alpha: float = ALPHA):
-        self.move, self.seen, self.final = [{}], [Counter()], [0]
-        for s in strings:
-            q = 0
-            for c in s:
-                self.seen[q][c] += 1
-                if c not in self.move[q]:
-                    self.move[q][c] = len(self.move)
-                    self.move.append({})
-                    self.seen.append(Counter())
-                    self.final.append(0)
-                q = self.move[q][c]
-            self.final[q] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge_states()
-
-    def _total(self, q):
+        self.seen, self.move, self.final = [], [], []
+        self._layers([s[:REACH] for s in strings])
+        self._merge_depths()
+        self._finish()
+
+    def _state(self) -> int:
+        self.seen.append(Counter())
+        self.move.append({})
+        self.final.append(0)
+        return len(self.seen) - 1
+
+    def _near(self, a: Counter, n: int, b: Counter, m: int) -> bool:
+        limit = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        return all(abs(a[c] / n - b[c] / m) <= limit for c in {*a, *b})
+
+    def _layers(self, strings) -> None:
+        """The prefix tree, depth by depth; each state keeps the strings that reach it."""
+        layer, depth = {self._state(): strings}, 0
+        while layer:
+            groups = []                                     # strings and parents' steps of the next depth's states
+            for q, own in layer.items():
+                by = {}
+                for s in own:
+                    if len(s) == depth:
+                        self.final[q] += 1
+                    else:
+                        by.setdefault(s[depth], []).append(s)
+                for c, some in by.items():
+                    self.seen[q][c] = len(some)
+                    groups.append((some, [(q, c)]))
+            groups.sort(key=lambda g: (-len(g[0]), g[1]))
+            merged = []
+            for own, steps in groups:
+                ahead = [Counter(s[k:k + 1] for s in own) for k in range(depth + 1, depth + 1 + AHEAD)]
+                fit = None
+                for other in merged:
+                    if len(own) < VISITS or all(self._near(x, len(own), y, len(other[0])) for x, y in zip(ahead, other[2])):
+                        fit = other
+                        break
+                if fit:
+                    fit[0].extend(own)
+                    fit[1].extend(steps)
+                    for x, y in zip(fit[2], ahead):
+                        x.update(y)
+                else:
+                    merged.append((list(own), list(steps), ahead))
+            layer, depth = {}, depth + 1
+            for own, steps, _ in merged:
+                q = self._state()
+                for p, c in steps:
+                    self.move[p][c] = q
+                if len(own) >= VISITS:
+                    layer[q] = own
+                    continue
+                for s in own:                               # too few to go on: the rest of these strings loops here
+                    self.final[q] += 1
+                    for c in s[depth:]:
+                        self.seen[q][c] += 1
+                        self.move[q][c] = q
+
+    def _total(self, q) -> int:
         return self.seen[q].total() + self.final[q]
 
     def _agree(self, a, b) -> bool:
-        """Hoeffding test on every outgoing frequency, down both subtrees."""
-        todo = [(a, b)]
+        """Hoeffding test of the steps and ends of two states and of all that follows."""
+        todo, done = [(a, b)], set()
         while todo:
             p, q = todo.pop()
             n, m = self._total(p), self._total(q)
-            if not n or not m:
+            if p == q or (p, q) in done or min(n, m) < VISITS:
                 continue
-            limit = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if abs(self.final[p] / n - self.final[q] / m) > limit:
+            done.add((p, q))
+            if not self._near(self.seen[p] + Counter({"": self.final[p]}), n, self.seen[q] + Counter({"": self.final[q]}), m):
                 return False
-            for c in {*self.seen[p], *self.seen[q]}:
-                if abs(self.seen[p][c] / n - self.seen[q][c] / m) > limit:
-                    return False
-                if c in self.move[p] and c in self.move[q] and self.move[p][c] != self.move[q][c]:
-                    todo.append((self.move[p][c], self.move[q][c]))
+            todo += {(self.move[p][c], self.move[q][c]) for c in self.move[p].keys() & self.move[q].keys()}
         return True
 
-    def _fold(self, a, b):
-        """Add the subtree of ``b`` to ``a``."""
-        todo = [(a, b)]
-        while todo:
-            p, q = todo.pop()
-            self.final[p] += self.final[q]
-            self.seen[p].update(self.seen[q])
-            for c, child in self.move[q].items():
-                if c in self.move[p]:
-                    todo.append((self.move[p][c], child))
-                else:
-                    self.move[p][c] = child
-
-    def _merge_states(self):
-        red = [0]
-        while True:
-            blue = [(p, c, q) for p in red for c, q in sorted(self.move[p].items()) if q not in red]
-            if not blue:
-                break
-            p, c, q = max(blue, key=lambda x: (self._total(x[2]), x[1], -x[0]))
-            partner = next((r for r in red if self._agree(r, q)), None)
+    def _merge_depths(self) -> None:
+        """Red-blue merging over the states in order of depth; a merged state's steps lead where its partner's do."""
+        red, became, queue, met = [], {}, [0], {0}
+        while queue:
+            q = queue.pop(0)
+            partner = next((r for r in red if self._agree(r, q)), None) if self._total(q) >= VISITS else None
             if partner is None:
                 red.append(q)
             else:
-                self.move[p][c] = partner
-                self._fold(partner, q)
-        number = {q: k for k, q in enumerate(red)}
-        rows = []
+                became[q] = partner
+                self.seen[partner].update(self.seen[q])
+                self.final[partner] += self.final[q]
+                for c in self.move[q].keys() - self.move[partner].keys():
+                    self.move[partner][c] = self.move[q][c]
+            for r in [self.move[q][c] for c in sorted(self.move[q])] if partner is None else [self.move[partner][c] for c in sorted(self.move[partner])]:
+                if r not in met:
+                    met.add(r)
+                    queue.append(r)
         for q in red:
-            n = self._total(q) or 1
-            rows.append(({c: (math.log(k / n), number[self.move[q][c]]) for c, k in self.seen[q].items()},
-                         math.log(max(self.final[q] / n, FLOOR))))
-        self.rows = rows
-        self.move = self.seen = self.final = None
-
-    def score(self, s: str) -> float:
-        """Log-likelihood per character; an unknown step costs ``FLOOR`` and starts anew."""
-        q, total = 0, 0.0
+            self.move[q] = {c: became.get(r, r) for c, r in self.move[q].items()}
+        self.states = red
+
+    def _finish(self) -> None:
+        number = {q: k for k, q in enumerate(self.states)}
+        self.rows = []
+        for q in self.states:
+            n, steps = self._total(q) or 1, {}
+            by_class = Counter()
+            for c, k in self.seen[q].items():
+                by_class[CLASS_OF.get(c, frozenset(c))] += k
+            for like, k in by_class.items():
+                usual = max((c for c in sorted(like) if c in self.move[q]), key=lambda c: self.seen[q][c])
+                for c in like:
+                    share = (1 - SPREAD) * self.seen[q][c] / n + SPREAD * k / n / len(like)
+                    steps[c] = math.log(share), number[self.move[q].get(c, self.move[q][usual])]
+            self.rows.append((steps, math.log(max(self.final[q] / n, FLOOR))))
+        self.seen = self.move = self.final = None
+
+    def read(self, s: str) -> tuple[float, int]:
+        """Log-likelihood per character, and how many characters no state expects (each costs ``FLOOR``)."""
+        q, total, strange = 0, 0.0, 0
         for c in s:
             step = self.rows[q][0].get(c)
             if step is None:
-                total, q = total + math.log(FLOOR), 0
+                total, strange = total + math.log(FLOOR), strange + 1
             else:
                 total, q = total + step[0], step[1]
-        return (total + self.rows[q][1]) / (len(s) + 1)
+        return (total + self.rows[q][1]) / (len(s) + 1), strange
+
+    def score(self, s: str) -> float:
+        return self.read(s)[0]
 
 
 class Bigrams:
@@ -156,44 +218,78 @@ class Bigrams:
 
 
 class SecretModel:
-    """Automata per kind, ordinary words, and the threshold between them."""
+    """Automata per kind, ordinary tokens, and a threshold per kind from credentials that were held out."""
 
     def __init__(self, samples: dict[str, list[str]], alpha: float = ALPHA):
-        self.automata = {k: Automaton(samples[k], alpha) for k in KINDS[:3] if len(samples.get(k, ())) >= 20}
-        self.ordinary = Bigrams(samples.get("ordinary", []))
-        positive = sorted(self.ratio(s) for k in self.automata for s in samples[k] if len(s) >= 16)
-        negative = sorted(self.ratio(s) for s in samples.get("ordinary", []))
-        self.threshold = math.inf
-        if positive and negative:
-            # above every sampled ordinary word, and above the weakest tenth of the labelled credentials
-            self.threshold = max(positive[len(positive) // 10], negative[-1] + 0.1)
+        self.ordinary = Bigrams([s[:REACH] for s in samples.get("ordinary", [])])
+        self.automata, self.thresholds = {}, {}
+        for kind in KINDS[:3]:
+            own = samples.get(kind, [])
+            if not own:
+                continue
+            held = []
+            for k in (0, 1):                                # each half judged by the automaton of the other
+                rest = own[1 - k::2]
+                if rest:
+                    judge = Automaton(rest, alpha)
+                    held += [judge.score(s[:REACH]) - self.ordinary.score(s[:REACH]) for s in own[k::2]]
+            self.automata[kind] = Automaton(own, alpha)
+            held.sort()
+            self.thresholds[kind] = max(held[len(held) // 10] if held else self._gain(kind, own[0][:REACH])[0], 0.0)
+
+    def _gain(self, kind: str, s: str) -> tuple[float, int]:
+        score, strange = self.automata[kind].read(s)
+        return score - self.ordinary.score(s), strange
+
+    @property
+    def threshold(self) -> float:
+        return min(self.thresholds.values(), default=math.inf)
 
     def ratio(self, s: str) -> float:
-        return max((a.score(s) for a in self.automata.values()), default=-math.inf) - self.ordinary.score(s)
+        """Best gain of an automaton over ordinary tokens, per character."""
+        return max((self._gain(k, s)[0] for k in self.automata), default=-math.inf)
+
+    def is_credential(self, s: str) -> bool:
+        for kind in self.automata:
+            gain, strange = self._gain(kind, s)
+            if not strange and gain >= self.thresholds[kind]:
+                return True
+        return False
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """Base spans and inferred ones that touch none of them, in order."""
         base = base_spans(text)
-        if self.threshold == math.inf or not DIGIT.search(text):
+        if not self.automata or not DIGIT.search(text):
             return base
-        more = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text)
-                if not any(s < m.end() and m.start() < e for s, _, e in base) and self.ratio(m[0]) >= self.threshold]
+        more = [(s, 3, e) for s, e in free_tokens(CANDIDATE, text, base) if self.is_credential(text[s:e])]
         return sorted(base + more)
 
 
+def free_tokens(pattern: re.Pattern, text: str, base: list[tuple[int, int, int]]):
+    """(start, end) of the matches that touch no base span; both lists are read once, in order."""
+    at, end = 0, -1                                         # ``end``: how far the spans read so far reach
+    for m in pattern.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            end, at = max(end, base[at][2]), at + 1
+        if end <= m.start():
+            yield m.span()
+
+
 def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=7).digest(), "big")
 
 
 def train(df: DataFrame, text_col: str = "text", sample: int = SAMPLE, alpha: float = ALPHA) -> SecretModel:
-    """Fit on the ``sample`` distinct values of least hash of each kind; each task passes on as many at most per piece."""
+    """Fit on the ``sample`` distinct values of least hash of each kind, of each the first ``REACH`` characters; each task
+    passes on as many at most per piece."""
     def work(rows):
         values = {k: set() for k in (*KINDS[:3], "ordinary")}
         for _, raw in rows:
             text = (raw or b"").decode("utf-8", "replace")
+            base = base_spans(text)
             for kind in KINDS[:3]:
-                values[kind].update(m[PATTERNS[kind][1]][:200] for m in matches(kind, text))
-            values["ordinary"].update(m[0] for m in ORDINARY.finditer(text) if not any(c.isdigit() for c in m[0]))
+                values[kind].update(m[PATTERNS[kind][1]][:REACH] for m in matches(kind, text))
+            values["ordinary"].update(text[s:min(e, s + REACH)] for s, e in free_tokens(ORDINARY, text, base))
         return [(kind, v, h) for kind, found in values.items()
                 for h, v in sorted((_hash(v), v) for v in found)[:sample]]
 
@@ -202,7 +298,7 @@ def train(df: DataFrame, text_col: str = "text", sample: int = SAMPLE, alpha: fl
     samples = {}
     for kind in (*KINDS[:3], "ordinary"):
         least = rows.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample)
-        samples[kind] = [r["value"] for r in least.collect()]         # at most ``sample`` short strings
+        samples[kind] = [r["value"] for r in least.collect()]         # at most ``sample`` strings of ``REACH`` characters
     return SecretModel(samples, alpha)
 
 

@@ -106,6 +106,41 @@ def test_automata_know_the_format_and_leave_words_alone(spark):
     assert a.score("aab") > a.score("bba") and sum(pow(2.718281828, p) for p, _ in a.rows[0][0].values()) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("n", [12, 60, 400])
+def test_planted_credentials_of_a_learned_format(n):
+    rng = random.Random(n)
+    draw = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    formats = {"assign": lambda: "ghp_" + draw(letters + digits, 36), "access": lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
+               "hex": lambda: draw("0123456789abcdef", 40)}
+    ordinary = [f"{draw('etaoinshr', 5)}.{draw('etaoinshr', 6)}.com" for _ in range(200)] + [f"img_{draw(digits, 4)}_{draw('etaoin', 6)}.jpeg" for _ in range(50)]
+    model = secret_scan.SecretModel({k: [f() for _ in range(n)] for k, f in formats.items()} | {"ordinary": ordinary})
+    assert all(len(a.rows) > 4 for a in model.automata.values())
+    found = sum(model.is_credential(formats["assign"]()) for _ in range(100))
+    assert found >= 75
+    assert sum(len(model.spans(f"x {formats['assign']()} y")) for _ in range(100)) >= 75
+    assert not any(model.is_credential(t) for t in ["2024-01-15T10:20:30Z", "550e8400-e29b-41d4-a716-446655440000", "img_2031_seaside.jpeg",
+                                                    "holiday-photos-2019.tar.gz", "version-1.22.333-beta4", "mail7.example.com", *ordinary])
+
+
+def test_fixed_lengths_are_kept_and_repeats_loop():
+    rng = random.Random(8)
+    fixed = secret_scan.Automaton(["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(400)])
+    token = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    assert len(fixed.rows) >= 24 and fixed.score(token(24)) > fixed.score(token(23)) + 0.2 and fixed.score(token(24)) > fixed.score(token(30)) + 0.2
+    loop = secret_scan.Automaton(["".join(rng.choice("AB") + rng.choice("12") for _ in range(rng.randint(15, 95))) for _ in range(300)])
+    assert len(loop.rows) < 20 and loop.score("A1B2" * 200) > -1.2
+
+
+def test_free_tokens():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice("aa1  ") for _ in range(60))
+        base = sorted((s, 0, s + rng.randint(1, 9)) for s in rng.sample(range(50), 6))
+        want = [m.span() for m in re.finditer("[a1]+", text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert list(secret_scan.free_tokens(re.compile("[a1]+"), text, base)) == want
+
+
 def test_redact(docs):
     df, rows = docs
     out = {r["row"]: r for r in secret_scan.redact(df).collect()}
