@@ -23,22 +23,27 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Ids of the byte-level BPE vocabulary ``byte_bpe_50k``, as little-endian unsigned 32-bit bytes.
 
-    Read from the vocabulary's rank file, which gives the same ids as its ``byte_bpe_50k.json`` several times faster
-    (a test holds them together). Names of special tokens in a text are ordinary text. ``path`` is the rank file.
+    ``path`` is its ``byte_bpe_50k.json``; the merges are read from the rank file of the same vocabulary (``ranks``), which
+    gives the same ids several times faster (a test holds them together). As in the library, names of added tokens in a
+    text (the end-of-text mark) become the ids of these tokens.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, ranks: str | None = None):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            merges = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+        with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.added = set(added)
+        self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=added)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.bpe.encode(text, allowed_special=self.added, disallowed_special=()), "<u4").tobytes()
 
 
 _encoders: dict = {}
