@@ -175,6 +175,9 @@ def test_compression_bands(spark):
     assert {r["doc_id"]: r["band"] for r in quality_rules.quality_rules(df).collect()} == {1: "repetitive", 2: "incompressible", 3: "ok"}
 
 
+MARKED = "<|endoftext|> it's  a b \n\n c <|endoftext|><|endoftext|>d <|endof text|>\u00a0<|endoftext|> "
+
+
 def test_packing(docs):
     import numpy as np
     import public_tokenizers
@@ -182,9 +185,9 @@ def test_packing(docs):
 
     df, rows = docs
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     df = df.union(df.sparkSession.createDataFrame([(900, "<|endoftext|> it's  a b \n\n c", "", "", 900)], df.schema))
     out = [r.asDict() for r in packing.pack(df, window=64).collect()]
+    assert t.encode(MARKED, add_special_tokens=False).ids.count(50256) == 4
     ids = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for k, x, *_ in
            rows + [(900, "<|endoftext|> it's  a b \n\n c")]}
     total = 0
@@ -205,6 +208,24 @@ def test_packing(docs):
         assert at == 64 or k == max(sequences)
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 4])
+def test_warc_of_ids_with_several_payloads(spark, bits, monkeypatch):
+    monkeypatch.setattr(warc, "BITS", bits)
+    rng = random.Random(bits)
+    rows = [(rng.choice([None, *range(12)]), "u", rng.choice("ABCDEFG") * 120, "clash", 1) for _ in range(80)] + [(1, "u", "A" * 150, "", 1), (1, "u", "B" * 150, "", 1), (2, "u", "B" * 150, "", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, record_id int")
+    responses, revisits = warc.split_records(df, "page_id", "html", bits=bits)
+    assert responses.count() + revisits.count() == len(rows)
+    got = sorted((tuple(r) for r in warc.deduplicated(spark, df).select("page_id", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    expected = []
+    for i, _, t, *_ in rows:
+        first = min((j for j, _, x, *_ in rows if j is not None and x == t), default=None)
+        revisit = first is not None and i != first
+        expected.append((i, hashlib.sha256(t.encode()).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(expected, key=str)
+    assert warc.deduplicated(spark, df.limit(0)).count() == 0
+
+
 def test_warc(spark):
     tricky = ["x" * 200 + "\r\n", "\r\n\r\n" * 60, "a\r\n\r\r\n\r\n" + "b" * 100, "é" * 60, "short", None, "", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" * 5]
     rows = [(i, f"http://h/{i}", t) for i, t in enumerate(tricky * 3)] + [(None, None, "z" * 300), (99, "u\r\nx", "z" * 300)]
