@@ -4,12 +4,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailwarden.session import scratch_path
 
 #: Bytes of text that a Python worker holds as one piece of work.
 PIECE = 2 << 20
+#: Bits of a broadcast bitmap: 8 MB at most.
+BITS = 1 << 26
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,29 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salt_from: str, ho
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def _bit(columns: list[str], seed: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(bits))
+
+
+def bitmap(rows: DataFrame, columns: list[str], seed: int = 1, bits: int = BITS) -> DataFrame:
+    """(_bucket, _bitmap): a bit for every value of ``columns``, ``bits`` / 8 bytes at most; written."""
+    at = rows.select(_bit(columns, seed, bits).alias("at"))
+    marks = at.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bitmap"))
+    return written(marks, "bitmap")
+
+
+def flagged(rows: DataFrame, marks: DataFrame, columns: list[str], name: str, seed: int = 1, bits: int = BITS) -> DataFrame:
+    """Adds ``name``: whether the row's bit is set; if not, its ``columns`` are not among the values of the bitmap.
+
+    The bitmap is broadcast, as its size is fixed. It keeps wide rows out of a shuffle; the exact join of the rows that it
+    lets through decides. A bitmap that fills up lets more rows through, and changes no result.
+    """
+    at = rows.withColumn("_at", _bit(columns, seed, bits)).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_place", F.bitmap_bit_position("_at"))
+    byte = "cast(conv(hex(substring(_bitmap, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    is_set = F.expr(f"coalesce({byte} & shiftleft(1, cast(_place % 8 as int)), 0) <> 0")
+    return at.join(F.broadcast(marks), "_bucket", "left").withColumn(name, is_set).drop("_at", "_bucket", "_place", "_bitmap")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE) -> Iterator[list[tuple]]:
     """Rows of Arrow batches (id, text, ...) in lists of at most ``limit`` bytes of text, or of one longer text.
 

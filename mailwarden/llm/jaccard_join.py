@@ -25,9 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from mailwarden.llm.common import map_texts, pieces, salted_join, shuffle_partitions, written
+from mailwarden.llm.common import bitmap, flagged, map_texts, pieces, salted_join, shuffle_partitions, written
 from mailwarden.llm.words import LOWER, hash_texts, mix, windows
 from mailwarden.operators.components import connected_components
 
@@ -75,24 +75,32 @@ def shingle_keys(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray
 
 
 def pivots_needed(n, least: int = LEAST):
-    """How many of its rarest shingles a set of n has as pivots; for numbers and for columns of longs."""
-    return n - F.floor((n * least + 99) / 100) + 1 if isinstance(n, Column) else n - (n * least + 99) // 100 + 1
+    """How many of its rarest shingles a set of n has as pivots."""
+    return n - (n * least + 99) // 100 + 1
 
 
-def shared_cells(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """Owners of keys that have two owners or more, and the cells of each: number of owners above the key, so that the
-    order of cells is the order of pivots. Returns owners, offsets and cells."""
+def shared_cells(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, cell) of the keys that have two owners or more, by owner. A cell is the number of owners above the key, so
+    that the order of cells is the order of pivots."""
     order = np.argsort(keys, kind="stable")
     k, own = keys[order], owners[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])) if len(k) else k)
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(k)))
     many = np.repeat(counts, counts)
     cells = (np.minimum(many, TOP).astype(np.uint64) << U(BITS) | k)[many > 1].astype(np.int64)
     own = own[many > 1]
-    order = np.lexsort((cells, own))
-    cells, own = cells[order], own[order]
-    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
-    return own[first], np.append(first, len(own)), cells
+    order = np.argsort(own, kind="stable")
+    return own[order], cells[order]
+
+
+def choose_pivots(owners: np.ndarray, cells: np.ndarray, sizes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, cell) of the pivots. ``sizes`` has the shingles of every owner; those without a shared cell come first."""
+    order = np.lexsort((cells, owners))
+    owners, cells = owners[order], cells[order]
+    shared = np.bincount(owners, minlength=len(sizes))
+    rank = np.arange(len(owners)) - (np.cumsum(shared) - shared)[owners]
+    use = rank < (pivots_needed(sizes, least) - (sizes - shared))[owners]
+    return owners[use], cells[use]
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -105,38 +113,45 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-SCAN = "kind int, doc_id long, sid long, n long, key2 long, uid long, bucket int, keys binary, owners binary"
+SCAN = "kind int, doc_id long, sid long, n long, key2 long, task long, bucket int, keys binary, owners binary"
+
+
+def _steps(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(numbers, prepend=0).tobytes(), 1)
+
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(raw), np.int64))
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, least: int) -> DataFrame:
-    """Per text its set (kind 0); per task and bucket the keys of its sets (kind 1).
+    """Per text its set (kind 0); per task and bucket the keys of its sets and their owners (kind 1); per task and list of
+    owners, these and their sizes (kind 2).
 
-    A ``uid`` names a set by its task and place, so that the owners of a bucket's keys are short runs of small steps.
-    Copies that a task holds at the same time give their keys once.
+    An owner is the place of a set in its task. Copies that a task holds at the same time have one owner.
     """
-    shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "n", "key2", "uid")),
+    shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "n", "key2", "task")),
                        ("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        z = zstandard.ZstdCompressor(level=1)
-        held, owners, seen, n_held, uid = [], [], set(), 0, TaskContext.get().partitionId() << 40
+        held, owners, seen, n_held, place, task = [], [], {}, 0, 0, TaskContext.get().partitionId()
 
         def flush():
             a, own = np.concatenate(held), np.concatenate(owners)
             which = (mix(a) % U(buckets)).astype(np.int64)
             order = np.lexsort((own, which))
             cut = np.searchsorted(which[order], np.arange(buckets + 1))
-            out = []
+            out = [(2, None, None, place - len(seen), None, task, None, np.array(list(seen), np.int64).tobytes(), np.array(list(seen.values()), np.int64).tobytes())]
             for b in range(buckets):
                 k = order[cut[b]:cut[b + 1]]
                 if len(k):
-                    out.append((1, None, None, None, None, None, b, _packed(a[k]), z.compress(np.diff(own[k], prepend=0).tobytes())))
+                    out.append((1, None, None, None, None, task, b, _packed(a[k]), _steps(own[k])))
             return out
 
         def rows_of():
-            nonlocal n_held, uid
+            nonlocal n_held, place
             for rows in pieces(batches):
                 sets, out = shingle_sets([t or b"" for _, t in rows], size), []
                 own = np.zeros(len(rows), np.int64)
@@ -146,14 +161,13 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
                         sets[i] = s[:0]
                         continue
                     sid, key2 = set_keys(s)
+                    out.append((0, key, sid, len(s), key2, None, None, None, None))
                     if sid in seen:
-                        out.append((0, key, sid, len(s), key2, None, None, None, None))
                         sets[i] = s[:0]
                         continue
-                    seen.add(sid)
-                    uid += 1
-                    own[i] = uid
-                    out.append((0, key, sid, len(s), key2, uid, None, None, None))
+                    seen[sid] = len(s)
+                    own[i] = place
+                    place += 1
                 keys, which = shingle_keys(sets, least)
                 held.append(keys)
                 owners.append(own[which])
@@ -165,7 +179,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
                     owners.clear()
                     seen.clear()
                     n_held = 0
-            if held:
+            if seen:
                 yield flush()
 
         for out in rows_of():
@@ -176,19 +190,34 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
 
 
 def _near(scan: DataFrame, least: int) -> DataFrame:
-    """(src, dst): each set with the least set of every region of a pivot of its own."""
+    """(src, dst): each set with the least set of every region of a pivot of its own.
+
+    Keys meet in their bucket; the shared ones go back, packed, to the group of the task that has their owners.
+    """
     def meet(table):
-        owners = [np.cumsum(np.frombuffer(zstandard.decompress(x), np.int64)) for x in table["owners"].to_pylist()]
-        own, offsets, cells = shared_cells(_unpacked(b"".join(table["keys"].to_pylist())), np.concatenate(owners))
-        return pa.table({"uid": pa.array(own, pa.int64()), "cells": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells, pa.int64()))})
-
-    met = scan.filter("kind = 1").select("bucket", "keys", "owners").groupBy("bucket").applyInArrow(meet, "uid long, cells array<long>")
-    one = scan.filter("uid is not null").groupBy("sid").agg(F.min("uid").alias("uid"), F.max("n").alias("n"))      # of all copies
-    # a set's cells are as many as its shingles
-    shared = met.join(one, "uid").groupBy("sid").agg(F.max("n").alias("n"), F.sort_array(F.flatten(F.collect_list("cells"))).alias("cells"))
-    needed = (pivots_needed(F.col("n"), least) - (F.col("n") - F.size("cells"))).cast("int")
-    pivots = written(shared.withColumn("needed", needed).filter("needed > 0").select("sid", F.explode(F.expr("slice(cells, 1, needed)")).alias("key")), "jaccard_pivots")
-    firsts = written(pivots.groupBy("key").agg(F.min("sid").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "jaccard_firsts")
+        tasks = table["task"].to_pylist()
+        lists = [_from_steps(x) for x in table["owners"].to_pylist()]
+        own, cells = shared_cells(_unpacked(b"".join(table["keys"].to_pylist())), np.concatenate([(t << 40) + x for t, x in zip(tasks, lists)]))
+        home = own >> 40
+        first = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))) if len(own) else np.zeros(0, np.int64)
+        runs = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
+        return pa.table({"task": pa.array(home[first], pa.int64()), "cells": pa.array([cells[a:b].tobytes() for a, b in runs], pa.binary()),
+                         "owners": pa.array([_steps(own[a:b] & ((1 << 40) - 1)) for a, b in runs], pa.binary())})
+
+    def choose(met, sets):
+        lists = sorted(zip(sets["n"].to_pylist(), sets["keys"].to_pylist(), sets["owners"].to_pylist()))
+        sids, sizes = (np.frombuffer(b"".join(x[k] for x in lists), np.int64) for k in (1, 2))
+        own = [_from_steps(x) for x in met["owners"].to_pylist()]
+        cells = [np.frombuffer(x, np.int64) for x in met["cells"].to_pylist()]
+        none = [np.zeros(0, np.int64)]
+        own, cells = choose_pivots(np.concatenate(own or none), np.concatenate(cells or none), sizes, least)
+        return pa.table({"sid": pa.array(sids[own], pa.int64()), "key": pa.array(cells, pa.int64())})
+
+    met = scan.filter("kind = 1").select("task", "bucket", "keys", "owners").groupBy("bucket").applyInArrow(meet, "task long, cells binary, owners binary")
+    sets = scan.filter("kind = 2").select("task", "n", "keys", "owners")
+    chosen = met.groupBy("task").cogroup(sets.groupBy("task")).applyInArrow(choose, "sid long, key long")
+    pivots = written(chosen, "jaccard_pivots")
+    firsts = written(pivots.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).filter("first < last").drop("last"), "jaccard_firsts")
     return pivots.join(firsts, "key").filter("sid <> first").select(F.col("sid").alias("src"), F.col("first").alias("dst")).distinct()
 
 
@@ -387,7 +416,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [(region, sid, s.tobytes()) for (_, _, sid, region), s in zip(rows, sets) if len(s) and set_keys(s)[0] == sid]
 
     def sets_of(some):
-        texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).join(some.hint("merge"), "doc_id")
+        texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+        texts = flagged(texts, bitmap(some, ["doc_id"]), ["doc_id"], "_hit").filter("_hit").drop("_hit").join(some.hint("merge"), "doc_id")
         return map_texts(texts, ["doc_id", "text", "sid", "region"], "region long, sid long, hashes binary", to_sets)
 
     sized = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region_limit)
@@ -404,5 +434,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``df`` without the documents whose group has a smaller id; rows with a null id stay."""
     drop = (jaccard_join(df, id_col, text_col, size, least=least).filter("doc_id <> component_id")
-            .select(F.col("doc_id").alias("_drop_id")).distinct())
-    return df.join(drop.hint("merge"), df[id_col] == drop["_drop_id"], "left_anti")
+            .select(F.col("doc_id").cast(df.schema[id_col].dataType).alias(id_col)).distinct())
+    drop = written(drop, "jaccard_drop")
+    rows = flagged(df, bitmap(drop, [id_col]), [id_col], "_hit")
+    kept = rows.filter("_hit").join(drop.hint("merge"), id_col, "left_anti").select(*df.columns)
+    return rows.filter("not _hit").select(*df.columns).unionByName(kept)

@@ -18,12 +18,11 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mailwarden.llm.common import salted_join, written
+from mailwarden.llm.common import BITS, bitmap, flagged, salted_join, written
 from mailwarden.session import scratch_path
 
 MIN_BYTES = 100
-#: Bits of a broadcast bitmap (8 MB).
-BITS = 1 << 26
+KEY = ["record_id", "payload_digest"]
 _END = "\r\n\r\n"
 RECORDS = "record_id string, record_type string, url string, refers_to string, digest string, payload string"
 
@@ -36,24 +35,6 @@ def payloads(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
         "payload_digest", F.sha2("payload", 256))
 
 
-def _bit(seed: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "record_id", "payload_digest"), F.lit(bits))
-
-
-def bitmap(records: DataFrame, seed: int, bits: int = BITS) -> DataFrame:
-    """(bucket, bitmap): a bit for every (record_id, payload_digest), ``bits`` / 8 bytes at most."""
-    at = records.select(_bit(seed, bits).alias("at"))
-    return at.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bitmap"))
-
-
-def flagged(rows: DataFrame, marks: DataFrame, seed: int, name: str, bits: int = BITS) -> DataFrame:
-    """Adds ``name``: whether the row's bit is set. The bitmap is broadcast; its size is fixed."""
-    at = rows.withColumn("_at", _bit(seed, bits)).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_place", F.bitmap_bit_position("_at"))
-    byte = "cast(conv(hex(substring(_bitmap, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
-    is_set = F.expr(f"coalesce({byte} & shiftleft(1, cast(_place % 8 as int)), 0) <> 0")
-    return at.join(F.broadcast(marks), "_bucket", "left").withColumn(name, is_set).drop("_at", "_bucket", "_place", "_bitmap")
-
-
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["record_id"].eqNullSafe(b["record_id"]) & (a["payload_digest"] == b["payload_digest"])
 
@@ -68,12 +49,12 @@ def split_records(pages: DataFrame, id_col: str, payload_col: str, min_bytes: in
     # a popular payload's heads are dealt over many tasks
     revisits = salted_join(heads, firsts, "payload_digest", "record_id", "inner").filter(~F.col("original").eqNullSafe(F.col("record_id")))
     revisits = written(revisits.select("record_id", "url", "payload_digest", "original"), "warc_revisits")
-    first = written(bitmap(revisits, 1, bits), "warc_bitmap")
-    known = revisits.select("record_id", "payload_digest").distinct()
-    hit = flagged(heads.select("record_id", "payload_digest"), first, 1, "_hit", bits).filter("_hit").drop("_hit").distinct()
+    first = bitmap(revisits, KEY, 1, bits)
+    known = revisits.select(*KEY).distinct()
+    hit = flagged(heads.select(*KEY), first, KEY, "_hit", 1, bits).filter("_hit").drop("_hit").distinct()
     strays = written(hit.join(known, _same(hit, known), "left_anti"), "warc_strays")
-    second = written(bitmap(strays, 2, bits), "warc_bitmap")
-    rows = flagged(flagged(wide, first, 1, "_hit", bits), second, 2, "_stray", bits)
+    second = bitmap(strays, KEY, 2, bits)
+    rows = flagged(flagged(wide, first, KEY, "_hit", 1, bits), second, KEY, "_stray", 2, bits)
     plain = rows.filter("not _hit").drop("_hit", "_stray")
     some = rows.filter("_hit and _stray").drop("_hit", "_stray")
     return plain.unionByName(some.join(strays, _same(some, strays), "left_semi")), revisits

@@ -85,12 +85,10 @@ def test_jaccard_join(docs, limit):
 
 def pivots_of(sets, least):
     """The pivots of every set, chosen as the join chooses them."""
-    keys, owners = jaccard_join.shingle_keys(sets, least)
-    own, offsets, cells = jaccard_join.shared_cells(keys, owners)
+    own, cells = jaccard_join.shared_cells(*jaccard_join.shingle_keys(sets, least))
     out = [set() for _ in sets]
-    for i, at, end in zip(own.tolist(), offsets, offsets[1:]):
-        n = len(sets[i])
-        out[i] = set(cells[at:end][:max(jaccard_join.pivots_needed(n, least) - (n - (end - at)), 0)].tolist())
+    for i, cell in zip(*jaccard_join.choose_pivots(own, cells, np.array([len(s) for s in sets]), least)):
+        out[i].add(int(cell))
     return out
 
 
