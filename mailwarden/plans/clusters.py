@@ -378,12 +378,13 @@ def tfidf_word(spark, sf):
 
 
 @query("tfidf_char", ctes("mail_docs", **_vocab_ctes(_CHARS, 30000), w=_WEIGHTS) + f"""
-SELECT sample_id, count(*) AS n_terms, {rnd('sum(weight)', 3)} AS total_weight, {rnd('max(weight)', 5)} AS max_weight
+SELECT sample_id, count(*) AS n_terms, {rnd('sum(round_even(weight * 1e6, 0)::BIGINT)::DOUBLE / 1e6', 3)} AS total_weight, {rnd('max(weight)', 5)} AS max_weight
 FROM w GROUP BY 1""")
 def tfidf_char(spark, sf):
-    """Per email: terms, total and largest weight (the table itself has a row per email and n-gram)."""
+    """Per email: terms, total and largest weight (the table itself has a row per email and n-gram). Weights have six digits
+    and are summed as whole numbers, so the order of summation does not matter."""
     long = _weights(spark, sf, vectorize.char_terms(_model_text()))
-    per = long.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("total_weight"),
+    per = long.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_terms"), (F.sum(F.rint(F.col("weight") * 1e6).cast("long")).cast("double") / 1e6).alias("total_weight"),
                                         F.max("weight").alias("max_weight"))
     return rounded(rounded(per, "total_weight", digits=3), "max_weight", digits=5)
 
