@@ -10,8 +10,8 @@ from mailwarden.session import scratch_path
 
 #: Bytes of text that a Python worker holds as one piece of work.
 PIECE = 2 << 20
-#: Bits of a broadcast bitmap: 8 MB at most.
-BITS = 1 << 26
+#: Bits of a broadcast bitmap: 262,144 words at most.
+BITS = 1 << 24
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,10 @@ def _bit(columns: list[str], seed: int, bits: int) -> Column:
 
 
 def bitmap(rows: DataFrame, columns: list[str], seed: int = 1, bits: int = BITS) -> DataFrame:
-    """(_bucket, _bitmap): a bit for every value of ``columns``, ``bits`` / 8 bytes at most; written."""
+    """(_word, _set): a bit for every value of ``columns`` in words of 64, ``bits`` / 64 rows at most; written."""
     at = rows.select(_bit(columns, seed, bits).alias("at"))
-    marks = at.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bitmap"))
-    return written(marks, "bitmap")
+    words = at.groupBy(F.expr("at div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("_set"))
+    return written(words, "bitmap")
 
 
 def flagged(rows: DataFrame, marks: DataFrame, columns: list[str], name: str, seed: int = 1, bits: int = BITS) -> DataFrame:
@@ -57,10 +57,9 @@ def flagged(rows: DataFrame, marks: DataFrame, columns: list[str], name: str, se
     The bitmap is broadcast, as its size is fixed. It keeps wide rows out of a shuffle; the exact join of the rows that it
     lets through decides. A bitmap that fills up lets more rows through, and changes no result.
     """
-    at = rows.withColumn("_at", _bit(columns, seed, bits)).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_place", F.bitmap_bit_position("_at"))
-    byte = "cast(conv(hex(substring(_bitmap, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
-    is_set = F.expr(f"coalesce({byte} & shiftleft(1, cast(_place % 8 as int)), 0) <> 0")
-    return at.join(F.broadcast(marks), "_bucket", "left").withColumn(name, is_set).drop("_at", "_bucket", "_place", "_bitmap")
+    at = rows.withColumn("_at", _bit(columns, seed, bits)).withColumn("_word", F.expr("_at div 64"))
+    is_set = F.expr("coalesce(shiftrightunsigned(_set, cast(_at % 64 as int)) & 1L, 0L) = 1L")
+    return at.join(F.broadcast(marks), "_word", "left").withColumn(name, is_set).drop("_at", "_word", "_set")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE) -> Iterator[list[tuple]]:
