@@ -3,11 +3,14 @@
 The automaton holds the token sequences of all templates (bounded: it is built from the template parameter alone). Each
 text is streamed through it once: at every word the length of the longest suffix read so far that occurs in some
 template, and where. Matches of at least ``MIN_MATCH`` words are chained per template when they move forward in both
-text and template with small gaps; a chain covering enough of the template is a licence span. Short labelled phrases
+text and template with small gaps (a passage that a template repeats may stand for any of its places); a chain covering enough of the template is a licence span. Short labelled phrases
 are strings of the same automaton and are found at every place through the suffix links.
 """
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -61,7 +64,7 @@ GAP[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over integer tokens; each state keeps the first end of its strings per template."""
+    """Generalised suffix automaton over integer tokens; each state keeps all ends of its strings per template."""
 
     def __init__(self):
         self.next, self.link, self.size, self.ends = [{}], [-1], [0], [{}]
@@ -99,14 +102,15 @@ class SuffixAutomaton:
                     q = self.next[p][token]
                     self.link[cur] = q if self.size[q] == self.size[p] + 1 else self._clone(p, q, token)
                 last = cur
-            self.ends[last].setdefault(name, place + 1)
+            self.ends[last].setdefault(name, set()).add(place + 1)
 
     def finish(self) -> None:
         """Hand the ends of long strings down to their suffixes."""
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.size[s]):
             up = self.ends[self.link[s]]
-            for name, end in self.ends[s].items():
-                up[name] = min(end, up.get(name, end))
+            for name, ends in self.ends[s].items():
+                up.setdefault(name, set()).update(ends)
+        self.ends = [{name: sorted(ends) for name, ends in own.items()} for own in self.ends]
 
     def statistics(self, tokens, start: int = 0):
         """(place, state, length) of the longest match ending at each token."""
@@ -190,24 +194,42 @@ class LicenseModel:
         """Covered template spans (label, start, end, cover): matches that go forward in text and template."""
         per, spans = {}, []
         for start, end, state in matches:
-            for name, at in self.automaton.ends[state].items():
+            for name, ends in self.automaton.ends[state].items():
                 if name in self.length:
-                    per.setdefault(name, []).append((start, end, at))
+                    per.setdefault(name, []).append((start, end, ends))
         for name, found in per.items():
-            run = None                                   # (start, end, template end, words covered)
-            for start, end, at in [*found, (1 << 60, 1 << 60, 0)]:
-                begins = at - (end - start)
-                if run and start - run[1] <= self.max_gap and at > run[2] and begins - run[2] <= self.max_gap:
-                    overlap = max(0, run[1] - start, run[2] - begins)
-                    run = (run[0], end, at, run[3] + end - start - min(overlap, end - start))
-                    continue
-                if run:
-                    cover = run[3] / self.length[name]
-                    if cover >= self.min_cover:
-                        spans.append((name, run[0], run[1], min(1.0, cover)))
-                run = (start, end, at, end - start)
+            spans += [(name, *x) for x in self._spans(found, self.length[name])]
         return sorted(spans, key=lambda x: (x[1], x[0]))
 
+    def _spans(self, found, length: int) -> list[tuple[int, int, float]]:
+        """Spans of one template. A match may stand for every place of its words in the template; each place continues the
+        chain that covers most with it, or starts one. Of the chains that overlap in the text the best stays."""
+        live, ended = [], []                             # [start, end, template end, words covered, continued]
+        for start, end, ends in found:
+            ended += [c for c in live if start - c[1] > self.max_gap and not c[4]]
+            live = [c for c in live if start - c[1] <= self.max_gap]
+            more = []
+            for at in ends:
+                begins, before, covered = at - (end - start), None, end - start
+                for c in live:
+                    if at > c[2] and begins - c[2] <= self.max_gap:
+                        both = c[3] + max(0, end - start - max(0, c[1] - start, c[2] - begins))
+                        if both > covered or (before and both == covered):
+                            before, covered = c, both
+                if before:
+                    before[4] = True
+                more.append([before[0] if before else start, end, at, covered, False])
+            live += more
+        ended += [c for c in live if not c[4]]
+        kept: list[tuple[int, int, float]] = []          # by start, without overlap
+        for start, end, _, covered, _ in sorted(ended, key=lambda c: (-c[3], c[0], c[2])):
+            if covered / length < self.min_cover:
+                break
+            place = bisect.bisect(kept, (start, end, math.inf))
+            if (place == 0 or kept[place - 1][1] <= start) and (place == len(kept) or end <= kept[place][0]):
+                kept.insert(place, (start, end, min(1.0, covered / length)))
+        return kept
+
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
     """One row per row of ``df``, without a shuffle.
