@@ -1,11 +1,14 @@
 """Quality rules: word and line statistics, and compression bands over whole documents and fixed chunks.
 
-The bands: a text is repetitive when zstandard shrinks it (or the mean of its chunks) below a limit, and incompressible
-when it stays above one. Short texts compress badly and long ones well whatever their quality, so limits belong to
-length classes. A chunk is ``chunk_bytes`` of the UTF-8 text; the last, shorter one counts only where it is the only one.
+The bands: a text is repetitive when zstandard shrinks it, or any chunk of it, below a limit, and incompressible when it or
+a chunk stays above one. Short texts compress badly and long ones well whatever their quality, so limits belong to length
+classes. A chunk is ``chunk_bytes`` of the UTF-8 text, judged by the chunk limits of the text's class; the last one, where
+it is shorter, is judged as a text of its own length.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
@@ -15,7 +18,7 @@ from mailwarden.llm.words import BLANK, hash_texts, windows
 
 #: (bytes from which the class begins, least and greatest ratio of the whole text, the same of its chunks).
 BANDS = (
-    (0, 0.0, 9.0, 0.0, 9.0),
+    (0, 0.0, math.inf, 0.0, math.inf),
     (200, 0.20, 1.05, 0.20, 1.05),
     (600, 0.16, 0.95, 0.16, 0.95),
     (2000, 0.12, 0.85, 0.14, 0.85),
@@ -24,7 +27,7 @@ BANDS = (
 )
 CHUNK_BYTES, LEVEL, WINDOW = 4096, 3, 8
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "base_failed boolean, n_bytes long, ratio double, chunk_ratio double, band string, kept boolean")
+          "base_failed boolean, n_bytes long, ratio double, least_chunk_ratio double, greatest_chunk_ratio double, band string, kept boolean")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -50,13 +53,22 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def verdict(n_bytes: int, ratio: float | None, chunk_ratio: float | None, bands=BANDS) -> str:
+def limits(n_bytes: int, bands=BANDS) -> tuple[float, ...]:
+    """Least and greatest ratio of a text of ``n_bytes``, and of its chunks."""
+    return [b[1:] for b in bands if n_bytes >= b[0]][-1]
+
+
+def verdict(n_bytes: int, ratio: float | None, chunks: list[tuple[int, float]], chunk_bytes: int = CHUNK_BYTES, bands=BANDS) -> str:
+    """"ok", "repetitive" or "incompressible". ``chunks`` has the bytes and the ratio of every chunk."""
     if ratio is None:
         return "ok"
-    _, low, high, chunk_low, chunk_high = [b for b in bands if n_bytes >= b[0]][-1]
-    if ratio < low or chunk_ratio < chunk_low:
+    low, high, *whole = limits(n_bytes, bands)
+    judged = [(ratio, low, high)]
+    for n, r in chunks:
+        judged.append((r, *(whole if n == chunk_bytes or len(chunks) == 1 else limits(n, bands)[:2])))
+    if any(r < low for r, low, _ in judged):
         return "repetitive"
-    return "incompressible" if ratio > high or chunk_ratio > chunk_high else "ok"
+    return "incompressible" if any(r > high for r, _, high in judged) else "ok"
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS,
@@ -79,15 +91,15 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             chars = len(raw) - continued - int(kinds[BLANK].sum())
             repeats = repeated_words(h)
             failed = len(h) < 20 or 100 * repeats > 30 * len(h)
-            ratio = chunk_ratio = None
+            ratio, chunks = None, []
             if text:
                 ratio = len(z.compress(text)) / len(text)
-                parts = [text[k:k + chunk_bytes] for k in range(0, len(text) - chunk_bytes + 1, chunk_bytes)] or [text]
-                chunk_ratio = (ratio if parts == [text] else
-                               sum(len(z.compress(p)) for p in parts) / sum(map(len, parts)))
-            band = verdict(len(text), ratio, chunk_ratio, bands)
+                chunks = [(len(p), ratio if len(p) == len(text) else len(z.compress(p)) / len(p))
+                          for p in (text[k:k + chunk_bytes] for k in range(0, len(text), chunk_bytes))]
+            band = verdict(len(text), ratio, chunks, chunk_bytes, bands)
+            ratios = [r for _, r in chunks]
             out.append((rows[i][0], len(h), chars, int(kinds[_SYMBOL].sum()), duplicate_lines(text), repeats, failed,
-                        len(text), ratio, chunk_ratio, band, not failed and band == "ok"))
+                        len(text), ratio, min(ratios, default=None), max(ratios, default=None), band, not failed and band == "ok"))
         return out
 
     return map_texts(df, [df[id_col].alias("doc_id"), df[text_col].alias("text")], SCHEMA, work)

@@ -48,6 +48,22 @@ def test_license_templates_are_found_in_part(spark):
     assert (span["start"], span["end"]) == (2, 2 + len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ".join(mit).lower())))
 
 
+def test_a_template_that_repeats_a_passage():
+    rng = random.Random(5)
+    part = {k: " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n)) for k, n in (("p", 6), ("x", 40), ("y", 10), ("z", 5))}
+    model = license_scan.LicenseModel({"twice": " ".join(part[k] for k in "pxpy")}, {}, min_cover=0.2)
+
+    def spans(parts):
+        h, ptr = license_scan.hash_texts([" ".join(part[k] for k in parts).encode()], license_scan.GAP)
+        return model.chain(model.scan(model.tokens(h))[1])
+
+    assert spans("pzy") == [("twice", 0, 21, 16 / 62)]             # the second place of p goes on with y, the first does not
+    assert spans("pxzpy") == [("twice", 0, 67, 1.0)]
+    assert spans("pxpypxpy") == [("twice", 0, 62, 1.0), ("twice", 62, 124, 1.0)]
+    assert spans("pzx") == [("twice", 0, 51, 46 / 62)]
+    assert spans("z") == spans("yzp") == []
+
+
 def test_matching_statistics():
     a = license_scan.SuffixAutomaton()
     strings = [[1, 2, 3, 1, 2, 4], [2, 3, 3], [1, 2, 3]]
@@ -175,6 +191,56 @@ def test_compression_bands(spark):
     assert {r["doc_id"]: r["band"] for r in quality_rules.quality_rules(df).collect()} == {1: "repetitive", 2: "incompressible", 3: "ok"}
 
 
+def test_every_chunk_is_judged():
+    """Against the rule stated plainly, over texts with one odd chunk at each place, the short last one included."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(4)
+
+    def prose(n):
+        return "".join(rng.choice(["the ", "er ", "ing ", "an ", "ou", "re"]) for _ in range(n))[:n]
+
+    odd = {"repetitive": lambda n: ("ab " * n)[:n], "incompressible": lambda n: "".join(chr(rng.randint(33, 126)) for _ in range(n))}
+    sizes = [1, 199, 200, 1500, 4095, 4096, 4097, 8191, 8192, 12289, 3 * 4096 + 1500]
+    texts = [prose(n) for n in sizes]
+    for make in odd.values():
+        for n in (8192, 8191, 4096 + 700, 5 * 4096 + 250, 13 * 4096):
+            cuts = range(0, n, 4096)
+            texts += ["".join(make(min(4096, n - k)) if k == bad else prose(min(4096, n - k)) for k in cuts) for bad in cuts]
+
+    def expected(text):
+        z, raw = zstandard.ZstdCompressor(level=quality_rules.LEVEL), text.encode()
+        chunks = [raw[k:k + 4096] for k in range(0, len(raw), 4096)]
+        own = [b for b in quality_rules.BANDS if b[0] <= len(raw)][-1]
+        found = {(len(z.compress(raw)) / len(raw), own[1], own[2])}
+        for c in chunks:
+            band = [b for b in quality_rules.BANDS if b[0] <= len(c)][-1]
+            found.add((len(z.compress(c)) / len(c), *(own[3:] if len(c) == 4096 or len(chunks) == 1 else band[1:3])))
+        return "repetitive" if any(r < a for r, a, _ in found) else "incompressible" if any(r > b for r, _, b in found) else "ok"
+
+    got = []
+    for t in texts:
+        z, raw = zstandard.ZstdCompressor(level=quality_rules.LEVEL), t.encode()
+        chunks = [(len(c), len(z.compress(c)) / len(c)) for c in (raw[k:k + 4096] for k in range(0, len(raw), 4096))]
+        got.append(quality_rules.verdict(len(raw), len(z.compress(raw)) / len(raw), chunks))
+    assert got == [expected(t) for t in texts]
+    assert set(got[:len(sizes)]) == {"ok"} and {"repetitive", "incompressible"} <= set(got)
+    assert got[len(sizes):len(sizes) + 4] == ["repetitive"] * 4     # one of two chunks, first or last
+    assert quality_rules.limits(0) == (0.0, math.inf, 0.0, math.inf)
+
+
+def test_chunk_ratios_of_rows(spark):
+    rng = random.Random(6)
+    prose = " ".join("".join(rng.choice(["th", "er", "ing", "an", "ou", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(4000))
+    rows = [(1, prose[:20480]), (2, prose[:20480 - 4096] + "ab " * 1300), (3, "ab " * 1365 + "a" + prose[:16384]), (None, None), (5, ""), (5, "x")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["band"]) for r in got] == [(1, "ok"), (2, "repetitive"), (3, "repetitive"), (None, "ok"), (5, "ok"), (5, "ok")]
+    assert [r["least_chunk_ratio"] is None for r in got] == [False, False, False, True, True, False]
+    assert all(r["least_chunk_ratio"] <= r["greatest_chunk_ratio"] for r in got if r["ratio"] is not None)
+
+
 MARKED = "<|endoftext|> it's  a b \n\n c <|endoftext|><|endoftext|>d <|endof text|>\u00a0<|endoftext|> "
 
 
