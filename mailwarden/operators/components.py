@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mailwarden.session import scratch_path
 
 
-class _Tables:
+class Tables:
     """Written tables of one run, removed when they are no longer read."""
 
     def __init__(self, spark: SparkSession):
@@ -25,19 +25,24 @@ class _Tables:
 
     def keep_last(self) -> None:
         *old, last = self.paths
-        for path in old:
+        self.paths = old
+        self.remove()
+        self.paths = [last]
+
+    def remove(self) -> None:
+        for path in self.paths:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.paths = [last]
+        self.paths = []
 
 
-def _large_star(edges: DataFrame, tables: _Tables) -> DataFrame:
+def _large_star(edges: DataFrame, tables: Tables) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, tables: _Tables) -> DataFrame:
+def _small_star(edges: DataFrame, tables: Tables) -> DataFrame:
     down = tables.write(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     least = tables.write(down.groupBy("u").agg(F.min("v").alias("m")))
@@ -52,7 +57,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every id on an edge; the component is its smallest id."""
-    tables = _Tables(edges.sparkSession)
+    tables = Tables(edges.sparkSession)
     current = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
     current = tables.write(_small_star(current, tables))
     state = _fingerprint(current)

@@ -8,7 +8,8 @@ from pyspark.sql import Window, functions as F
 
 from mailwarden import constants as K
 from mailwarden.functions.hashing import hash32, seeded, unit as unit_hash
-from mailwarden.operators import attribution, evaluate, features, metrics, models, robustness, scaling, scoring, splits, stacked, vectorize
+from mailwarden.operators import (attribution, boosting, evaluate, features, mail_model, metrics, models, robustness, scaling, scoring, splits,
+                                  stacked, vectorize)
 from mailwarden.plans.registry import ctes, hash32 as hash32_sql, lit, query, rnd, rounded, side, unit
 from mailwarden.session import cut_lineage, scratch_path
 from mailwarden.sources import tables as A
@@ -66,6 +67,28 @@ def stream_scores(spark, sf):
     return out.withColumn("top_signals", F.concat_ws(" | ", "top_signals")).select(*_VERDICT_COLUMNS)
 
 
+@query("stream_model_scores", """SELECT count(*) AS n_emails, count(*) AS n_equal_to_batch, count(*) AS n_after_replay FROM pages""")
+def stream_model_scores(spark, sf):
+    """A model fitted on the feature table and the words of the mails, stored as one artifact, scores a stream; counts the
+    mails whose streamed probability equals the batch one, and the mails after a replay from the start."""
+    base = scratch_path(spark, "model-stream")
+    mail = splits.group_split(A.mail_pages(spark, sf), "sample_id")
+    columns = ["sample_id", "subject", "body", "sender", "receiver"]
+    mail.select(*columns, "label", "split").repartition(6, "sample_id").write.parquet(f"{base}/mail")
+    mail = spark.read.parquet(f"{base}/mail")
+    mail_model.save(mail_model.fit(mail), f"{base}/model")
+
+    def streamed(checkpoint):
+        start_scoring(spark, f"{base}/mail", mail.schema, f"{base}/out", f"{base}/{checkpoint}", mail_model.scorer(f"{base}/model"),
+                      files_per_batch=3).awaitTermination()
+        return read_scores(spark, f"{base}/out")
+    once = models.compact(streamed("first").select("sample_id", F.col("prob").alias("p")))
+    again = streamed("second").select("sample_id")
+    batch = mail_model.scorer(f"{base}/model")(mail).select("sample_id", "prob")
+    equal = batch.join(once, "sample_id").agg(F.count_if(F.abs(F.col("prob") - F.col("p")) < 1e-9).alias("n_equal_to_batch"))
+    return (once.agg(F.count(F.lit(1)).alias("n_emails")).join(equal).join(again.agg(F.count(F.lit(1)).alias("n_after_replay"))))
+
+
 @query("policy_counts", ctes("predictions") + f"""
 SELECT CASE WHEN prob < 0.15 THEN 'deliver' WHEN prob <= 0.8 THEN 'quarantine' ELSE 'block' END AS action,
   count(*) AS n_emails, {rnd('avg(prob)')} AS mean_prob FROM predictions GROUP BY 1""")
@@ -592,11 +615,17 @@ def _with_prob(scored, z):
     return scored.withColumn("prob", prob).withColumn("pred", (prob >= 0.5).cast("int")).withColumn("label", F.col("label").cast("int"))
 
 
+def _lr_scored(featured):
+    """All rows scored by the logistic baseline, and its C."""
+    _, scored, best = _best_lr(_holdout_stack(featured, features.FEATURES))
+    return _with_prob(scored, F.col("z")[int(best[0])]), models.C_GRID[best[0]]
+
+
 @query("lr_holdout")
 def lr_holdout(spark, sf):
     """Logistic regression on the 52 features, C chosen on validation rows; metrics per split."""
-    _, scored, best = _best_lr(_holdout_stack(_featured(spark, sf), features.FEATURES))
-    return _report(_with_prob(scored, F.col("z")[int(best[0])])).withColumn("best_c", F.lit(models.C_GRID[best[0]]))
+    scored, c = _lr_scored(_featured(spark, sf))
+    return _report(scored).withColumn("best_c", F.lit(c))
 
 
 @query("lr_tfidf_holdout")
@@ -614,11 +643,11 @@ def _subject_body():
     return F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
 
 
-@query("svm_holdout")
-def svm_holdout(spark, sf):
-    """Linear SVM (squared hinge), full grid; margins of three held-out folds calibrate it. All fits are columns of one stack."""
+def _svm_scored(featured):
+    """All rows scored by the calibrated SVM, and its C. Margins of three held-out folds calibrate it; all fits are columns of
+    one stack."""
     folds, grid, columns = 3, models.C_GRID, features.FEATURES
-    rows = _standard_columns(_featured(spark, sf), columns)
+    rows = _standard_columns(featured, columns)
     train, fold = F.col("split") == "train", (hash32(seeded(42, F.lit("fold"), F.col("sample_id"))) % folds).cast("int")
     rows = rows.withColumn("label", F.col("label").cast("double")).withColumn("fold", fold)
     use = F.array(*[(train & (F.col("fold") != k)).cast("double") for k in range(folds)], train.cast("double"))
@@ -634,14 +663,42 @@ def svm_holdout(spark, sf):
     z = F.array(*[F.col("z")[folds * n + c] * a + b for c, (a, b) in enumerate(steep)])
     calibrated = scored.withColumn("z", z).withColumn("val_use", F.array((F.col("split") == "val").cast("double")))
     best = int(stacked.choose(calibrated, 1, n)[0])
-    return _report(_with_prob(calibrated, F.col("z")[best])).withColumn("best_c", F.lit(grid[best]))
+    return _with_prob(calibrated, F.col("z")[best]), grid[best]
+
+
+@query("svm_holdout")
+def svm_holdout(spark, sf):
+    """Linear SVM (squared hinge), full grid; metrics per split."""
+    scored, c = _svm_scored(_featured(spark, sf))
+    return _report(scored).withColumn("best_c", F.lit(c))
+
+
+_FORESTS = {}
+
+
+def _forest(spark, sf, featured):
+    """300 trees of depth 6 fitted on the training rows; the queries of a session that need them share one fit."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _FORESTS:
+        _FORESTS[key] = boosting.fit(featured.filter("split = 'train'"), features.FEATURES)
+    return _FORESTS[key]
 
 
 @query("gbt_holdout")
 def gbt_holdout(spark, sf):
-    rows = models.dense_features(_featured(spark, sf))
-    fitted = models.train_trees(*_parts(rows), n_trees=10, depth=4)
-    return _report(fitted.score(rows))
+    """Boosted trees on the 52 features; metrics per split."""
+    featured = _featured(spark, sf)
+    return _report(boosting.score(featured, _forest(spark, sf, featured)))
+
+
+@query("baseline_report")
+def baseline_report(spark, sf):
+    """The three baselines trained from one feature table, in one long report: model, split, metric, value."""
+    featured = _featured(spark, sf)
+    scored = {"logistic": _lr_scored(featured)[0], "svm": _svm_scored(featured)[0],
+              "trees": boosting.score(featured, _forest(spark, sf, featured))}
+    tables = {name: _report(rows) for name, rows in scored.items()}
+    return evaluate.report_long(tables, {name: "split" for name in tables}).withColumnsRenamed({"section": "model", "slice": "split"})
 
 
 def _labelled(spark, sf):
@@ -769,11 +826,24 @@ def linear_attribution(spark, sf):
     return attribution.linear_attribution(rows, dict(zip(features.FEATURES, own)), rows.filter("split = 'train'"))
 
 
+def _explained(spark, sf):
+    featured = _featured(spark, sf)
+    forest = _forest(spark, sf, featured)
+    return boosting.shapley(boosting.score(featured, forest), forest), forest
+
+
 @query("tree_importance")
 def tree_importance(spark, sf):
-    rows = models.dense_features(_featured(spark, sf))
-    fitted = models.train_trees(rows.filter("split = 'train'"), n_trees=5, depth=4)
-    return attribution.importance_table(spark, features.FEATURES, fitted.model.featureImportances.toArray())
+    """Mean absolute Shapley value of each feature over all mails."""
+    rows, forest = _explained(spark, sf)
+    return attribution.rank_importance(boosting.long_contributions(rows, forest).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance")))
+
+
+@query("tree_attribution")
+def tree_attribution(spark, sf):
+    """What each feature adds to the margin of each mail under the boosted trees."""
+    rows, forest = _explained(spark, sf)
+    return boosting.long_contributions(rows, forest, ["sample_id", "margin"]).withColumn("expected_margin", F.lit(boosting.expected(forest)))
 
 
 @query("feature_ablation")
