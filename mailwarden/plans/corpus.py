@@ -60,15 +60,17 @@ def canonical_violations(spark, sf):
 
 # --- sources and sinks ----------------------------------------------------------------------------
 @query("csv_corpus", """
-SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, length(text) AS n_chars, lang, 'docs' AS dataset_id
+SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, length(text) AS n_chars, lang, 'docs' AS dataset_id,
+  row_number() OVER (ORDER BY doc_id) - 1 AS raw_row_id
 FROM documents""")
 def csv_corpus(spark, sf):
     path = scratch_path(spark, "csv")
     docs = A.read_table(spark, sf, "documents").select("doc_id", "lang", "text")
-    docs.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
-                   ignoreTrailingWhiteSpace=False)
+    # one file in the order of the ids, as a corpus comes; rows are numbered by their place in it
+    docs.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").write.csv(
+        path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back = files.read_corpus(spark, path, "docs")
-    return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "lang", "dataset_id")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "lang", "dataset_id", "raw_row_id")
 
 
 @query("file_manifest")

@@ -1,31 +1,66 @@
 """File sources and sinks: raw corpora as CSV, integrity manifest, split tables."""
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+import pyarrow as pa
+from pyarrow import fs as pa_fs
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-# what one record of the binary file source can hold
-RECORD_BYTES = (1 << 31) - 1
-_OVERFLOW = "_overflow"
+from mailwarden.sources import csv_records
+
+#: What a task holds of a file while its checksum is computed.
+CHUNK = 1 << 24
+
+
+def _opened(path: str):
+    """A byte stream of a file as Spark names it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pa_fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    found, inner = pa_fs.FileSystem.from_uri(quote(path, safe=":/@?=&"))
+    return found.open_input_stream(inner)
+
+
+def file_checksums(files: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(path, length, md5) of the files named by (path, length), of any size.
+
+    A digest has to read its file in order, so a file is one task's work; the task holds ``chunk`` bytes of it. Files are
+    dealt to tasks one by one, since their sizes may differ by any factor.
+    """
+    chunk = chunk or CHUNK
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.md5(usedforsecurity=False)
+                with _opened(path) as stream:
+                    while piece := stream.read(chunk):
+                        digest.update(piece)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["path", "length", "md5"])
+
+    # a stated number of tasks: by their few bytes, the names of all files would end in one
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("path", "length").repartition(tasks, "path")
+    return dealt.mapInArrow(run, "path string, length long, md5 string")
 
 
 def file_integrity(spark: SparkSession, root: str, manifest: DataFrame | None = None,
                    min_bytes: int = 0) -> DataFrame:
     """(file, length, md5, is_usable) per file below ``root``; ``file`` is the path relative to it.
 
-    ``manifest`` holds (file, expected_md5). A file that it names is usable only if its checksum was computed and
-    agrees: one beyond ``RECORD_BYTES`` cannot be read as a record, has a null md5 and is refused. Other files are
-    checked against ``min_bytes`` alone. Every file is a row of the result, usable or not.
+    ``manifest`` holds (file, expected_md5). A file that it names is usable only if the checksums agree; other files are
+    checked against ``min_bytes`` alone. Every file that Spark lists (empty ones are not) is a row of the result, usable or not.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # the listing only: the content column is not read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     folder = root.rstrip("/").rsplit("/", 1)[-1]
     name = F.substring_index(F.col("path"), f"/{folder}/", -1)
-    small = files.filter(F.col("length") <= RECORD_BYTES).select(
-        name.alias("file"), "length", F.md5("content").alias("md5"))
-    large = files.filter(F.col("length") > RECORD_BYTES).select(
-        name.alias("file"), "length", F.lit(None).cast("string").alias("md5"))
-    found = small.unionByName(large)
+    found = file_checksums(files).select(name.alias("file"), "length", "md5")
     if manifest is None:
         return found.withColumn("is_usable", F.col("length") >= min_bytes)
     checked = found.join(manifest, "file", "left")
@@ -63,16 +98,14 @@ def number_rows(df: DataFrame) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, source: str, encoding: str | None = None) -> DataFrame:
     """One raw corpus, all columns as text, plus dataset_id and raw_row_id.
 
-    Lines with too many fields are skipped, short lines are padded with nulls: the schema carries one extra
-    trailing column, and a line that fills it is too long.
+    Lines with too many fields are skipped, short lines are padded with nulls. Files are read in blocks, also where fields
+    hold line breaks (``csv_records``). The line end of the first line is that of all lines.
     """
     encoding = encoding or text_encoding(spark, path)
     names = _header(spark, path, encoding)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
-    raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"',
-                         mode="PERMISSIVE", encoding=encoding, enforceSchema=True, maxCharsPerColumn=-1)
-    good = raw.select("*", "_metadata").filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
-    return number_rows(good).drop("_metadata").withColumn("dataset_id", F.lit(source))
+    first = spark.read.option("lineSep", "\n").text(path).head()
+    crlf = first is not None and (first["value"] or "").endswith("\r")
+    return csv_records.parsed(spark, path, names, encoding, crlf).withColumn("dataset_id", F.lit(source))
 
 
 def read_corpora(spark: SparkSession, root: str, sources: dict[str, str], manifest: DataFrame | None = None,

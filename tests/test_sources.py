@@ -65,3 +65,46 @@ def test_splits_on_disk(spark, tmp_path):
     files.save_splits(df, str(tmp_path))
     assert files.load_split(spark, str(tmp_path), "test").count() == 20
     assert spark.read.json(f"{tmp_path}/metadata").count() == 4
+
+
+AWKWARD = [
+    'subject,body,label', 's0,"line 1\nline ""2"", a\n\n""\n",0', 'bad,b,1,extra', 'short,b', '', 's3,é,1', 'a 5" pipe,"x,\n"",\n,""",0',
+    '"","",', '"' + "long line, with ""quotes""\n" * 40 + '",b,1', 'x,"ends\n",1', '"""","\n"""\n""",2', ',,', 's9,"tail\n1,2,3,4,5\n",0']
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [40, 97, 100000])
+def test_csv_in_blocks_equals_one_task(spark, tmp_path, size, end):
+    """Cut into any blocks, a file gives the rows of Spark's reader of whole files, numbered in file order."""
+    d = tmp_path / "in"
+    d.mkdir()
+    for name, copies in (("a.csv", 1), ("b.csv", 7)):
+        (d / name).write_bytes(end.join([AWKWARD[0], *AWKWARD[1:] * copies]).replace("\r\n", "\n").replace("\n", end).encode())
+    (d / "c.csv").write_bytes(b"")
+    whole = spark.read.csv(str(d), schema="subject string, body string, label string, over string", header=True, multiLine=True,
+                           quote='"', escape='"', maxCharsPerColumn=-1, enforceSchema=True)
+    expected = {}
+    for r in whole.filter("over is null").select("*", "_metadata.file_name").collect():
+        expected.setdefault(r["file_name"], []).append((r["subject"], r["body"], r["label"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        for name in ("a.csv", "b.csv"):
+            rows = files.read_corpus(spark, str(d / name), "A").orderBy("raw_row_id").collect()
+            assert [r["raw_row_id"] for r in rows] == list(range(len(rows)))
+            assert [(r["subject"], r["body"], r["label"]) for r in rows] == expected[name]
+        assert files.read_corpus(spark, str(d), "A").count() == sum(map(len, expected.values()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_checksums_read_files_in_chunks(spark, tmp_path):
+    data = {"a b%20.bin": bytes(range(256)) * 41, "empty": b"", "é.txt": b"x" * 1000, "sub/one": b"\x00"}
+    for name, content in data.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["length"], r["md5"]) for r in files.file_checksums(listed, 7).collect()}
+    assert got == {n.rsplit("/", 1)[-1]: (len(c), hashlib.md5(c).hexdigest()) for n, c in data.items() if c}      # Spark lists no empty files
+    found = {r["file"]: r["md5"] for r in files.file_integrity(spark, str(tmp_path)).collect()}
+    assert found == {n: hashlib.md5(c).hexdigest() for n, c in data.items() if c}
