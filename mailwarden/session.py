@@ -15,7 +15,7 @@ def local_session(app: str, cpus: int | None = None, shuffle_partitions: int | N
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("mailwarden.scan.tasks", str(cpus))
+        .config("spark.mailwarden.scan.tasks", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt to ``mailwarden.scan.tasks`` tasks where that is set.
+    """A table, dealt to ``spark.mailwarden.scan.tasks`` tasks where that is set.
 
     A file of a single row group is one scan task, and every projection on it too. The setting is for such files (a local
     session sets it to its cores); without it the splits of the scan stay as they are.
     """
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    tasks = spark.conf.get("mailwarden.scan.tasks", None)
+    tasks = spark.conf.get("spark.mailwarden.scan.tasks", None)
     return table.repartition(int(tasks)) if tasks else table
 
 
