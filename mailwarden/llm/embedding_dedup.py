@@ -1,11 +1,13 @@
 """Embedding near-dedup: navigable small-world graphs per shard, widening beams, verified cosines, components.
 
-Equal vectors are one row first. Distinct vectors are dealt to shards by hash; each shard builds a hierarchical graph
-(near neighbours thinned for diversity, the nearest of a random sample as long links, all links both ways). Each pair of
-shards is one task: the vectors of one search the graph of the other in lockstep batches. A beam that is full of links is
-widened until it is not; then an audit compares the vectors whose id is divisible by 100 with all vectors of the shard,
-and the whole task searches again with a wider beam until the audited recall passes. Candidates are verified by cosine in
-double precision. Tasks return counts per vector and a spanning forest of their links, never pairs.
+Equal vectors are one row first. Distinct vectors are dealt to shards by hash; each shard builds a hierarchical graph by
+insertion: batches of vectors search the graph built so far and link both ways with what they find (neighbours thinned for
+diversity, the nearest of a random sample as long links). Each pair of shards is one task: the vectors of one search the
+graph of the other in lockstep batches. A beam that is full of links is widened until it is not; then an audit compares the
+vectors whose id is divisible by 100 with all vectors of the shard, and the searches are repeated with a wider beam until the
+audited recall passes. Candidates are verified by cosine in double precision. Links between two shards are searched,
+audited and counted for ``SLICE`` vectors at a time, so a group of near copies is held in parts; links inside a shard count
+from whichever side found them and are held together. Tasks return counts per vector and a spanning forest, never pairs.
 """
 from __future__ import annotations
 
@@ -19,55 +21,68 @@ from mailwarden.operators.components import connected_components
 
 #: Least cosine; shards at least, bytes of vectors in a shard; links per node; beam to begin with; audited recall.
 LEAST, SHARDS, SHARD_BYTES, NEAR, FAR, BEAM, RECALL = 0.95, 16, 16 << 20, 16, 8, 24, 0.98
-BATCH = 512
+#: Vectors that search together, early vectors that long links end at, links that a node can hold.
+BATCH, SAMPLE, WIDTH = 512, 256, 3 * (NEAR + FAR)
+#: Vectors of a shard whose links with another one are held at a time.
+SLICE = 4096
 
 
 def build(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Layers of a graph over unit vectors, lowest first: (nodes, links as node numbers, -1 for none)."""
     layers, nodes, rng = [], np.arange(len(v)), np.random.default_rng(7)
     while True:
-        layers.append((nodes, _links(v[nodes], nodes, rng)))
+        links = _inserted(v[nodes], rng)
+        layers.append((nodes, np.where(links >= 0, nodes[links], -1).astype(np.int32)))
         if len(nodes) <= 48:
             return layers
         nodes = np.sort(rng.choice(nodes, max(16, len(nodes) // 16), replace=False))
 
 
-def _links(v, nodes, rng):
+def _inserted(v: np.ndarray, rng) -> np.ndarray:
+    """Links of a layer, by insertion in random order. A batch sees what was inserted before it, and itself."""
     n = len(v)
-    k = min(n - 1, 2 * NEAR)
-    if k <= 0:
-        return np.full((n, 1), -1, np.int32)
-    sample = rng.choice(n, min(n, 256), replace=False)
-    out = []
-    for start in range(0, n, 1024):
-        own = np.arange(start, min(n, start + 1024))
-        sims = v[own] @ v.T
-        sims[np.arange(len(own)), own] = -2
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        s = np.take_along_axis(sims, near, 1)
-        order = np.argsort(-s, axis=1)
-        near, s = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
-        # a neighbour nearer to a chosen one than to the node is passed over, up to the nearest three
-        between = np.einsum("qad,qbd->qab", v[near], v[near])
-        chosen = np.zeros(near.shape, bool)
-        for j in range(k):
-            covered = (chosen & (between[:, j] > s[:, j:j + 1])).any(1)
-            chosen[:, j] = (~covered | (j < 3)) & (chosen.sum(1) < NEAR)
-        q, j = np.nonzero(chosen)
-        out.append(np.stack([own[q], near[q, j]]))
-        far = sims[:, sample]
-        f = min(FAR, len(sample))
-        top = np.argpartition(-far, f - 1, axis=1)[:, :f]
-        out.append(np.stack([np.repeat(own, f), sample[top].ravel()]))
-    a, b = np.concatenate(out, 1)
-    a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    a, b = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
-    first = np.searchsorted(a, np.arange(n))
-    width = np.arange(len(a)) - first[a]
-    use = width < 3 * (NEAR + FAR)
-    links = np.full((n, int(width[use].max(initial=0)) + 1), -1, np.int32)
-    links[a[use], width[use]] = nodes[b[use]]
-    return links
+    order = rng.permutation(n)
+    links, used = np.full((n, WIDTH), -1, np.int32), np.zeros(n, np.int64)
+    entries, sample = order[:48], order[:SAMPLE]
+    for done in range(0, n, BATCH):
+        new = order[done:done + BATCH]
+        near = np.broadcast_to(new, (len(new), len(new)))
+        sims = v[new] @ v[new].T
+        np.fill_diagonal(sims, -2)
+        if done:
+            found, s = search(v, [(np.arange(n), links), (entries, None)], v[new], 2 * NEAR)
+            near, sims = np.concatenate([found, near], 1), np.concatenate([s, sims], 1)
+        k = min(near.shape[1], 2 * NEAR)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        near, sims = np.take_along_axis(near, top, 1), np.take_along_axis(sims, top, 1)
+        q, j = np.nonzero(_diverse(v, near, sims))
+        far = v[new] @ v[sample].T
+        g, h = np.arange(len(new)).repeat(min(FAR, len(sample))), np.argpartition(-far, min(FAR, len(sample)) - 1, axis=1)[:, :FAR].ravel()
+        a, b = np.concatenate([new[q], new[g]]), np.concatenate([near[q, j], sample[h]])
+        _join(links, used, a[a != b], b[a != b], rng)
+    return links[:, :max(int(used.max(initial=1)), 1)]
+
+
+def _diverse(v, near, sims):
+    """Which of the neighbours, nearest first, are kept: one nearer to a kept one than to the node is passed over, but for the
+    nearest three."""
+    between = np.einsum("qad,qbd->qab", v[near], v[near])
+    kept = np.zeros(near.shape, bool)
+    for j in range(near.shape[1]):
+        covered = (kept & (between[:, j] > sims[:, j:j + 1])).any(1)
+        kept[:, j] = (sims[:, j] > -1.5) & (~covered | (j < 3)) & (kept.sum(1) < NEAR)
+    return kept
+
+
+def _join(links, used, a, b, rng):
+    """Link both ways. A full node gives up some later link, so what is new can always be reached."""
+    pairs = np.unique(np.concatenate([a * len(links) + b, b * len(links) + a]))
+    a, b = pairs // len(links), pairs % len(links)
+    place = used[a] + np.arange(len(a)) - np.searchsorted(a, a)
+    full = place >= WIDTH
+    place[full] = rng.integers(NEAR, WIDTH, int(full.sum()))
+    links[a, place] = b
+    np.maximum.at(used, a, place + 1)
 
 
 def search(v: np.ndarray, layers, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +163,12 @@ class Shard:
         self.layers = [(np.frombuffer(x["nodes"], np.int64), np.frombuffer(x["links"], np.int32).reshape(len(x["nodes"]) // 8, -1))
                        for x in row["layers"]]
 
+    def part(self, start: int) -> Shard:
+        """``SLICE`` vectors as searchers; a part has no graph."""
+        out = object.__new__(Shard)
+        out.ids, out.copies, out.raw, out.norm, out.unit = (x[start:start + SLICE] for x in (self.ids, self.copies, self.raw, self.norm, self.unit))
+        return out
+
 
 def join_shards(a: Shard, b: Shard, same: bool, least: float, beam: int):
     """Links of the vectors of ``a`` in ``b``, exact cosines, audited recall.
@@ -182,6 +203,32 @@ def join_shards(a: Shard, b: Shard, same: bool, least: float, beam: int):
     return q[keep], n[keep]
 
 
+def linked(a: Shard, b: Shard, same: bool, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, links, root) of the vectors with links between two shards; the root is the smallest id of a tree of links."""
+    every = a.ids if same else np.concatenate([a.ids, b.ids])
+    order = np.argsort(every)
+    rank = np.empty(len(every), np.int64)
+    rank[order] = np.arange(len(every))
+    rank_a, rank_b = rank[:len(a.ids)], rank[len(every) - len(b.ids):]
+    links, forest, label = np.zeros(len(every), np.int64), Forest(len(every)), np.arange(len(every))
+    for start in range(0, len(a.ids), len(a.ids) if same else SLICE):
+        q, n = join_shards(a if same else a.part(start), b, same, least, beam)
+        q = q + start
+        x, y = rank_a[q], rank_b[n]
+        links += np.bincount(x, b.copies[n], len(every)).astype(np.int64) + np.bincount(y, a.copies[q], len(every)).astype(np.int64)
+        x, y = label[x], label[y]
+        pairs = np.unique(x[x != y] * len(every) + y[x != y])
+        if len(pairs):      # trees that meet in this batch, each two once
+            x, y = pairs // len(every), pairs % len(every)
+            for i, j in zip(x.tolist(), y.tolist()):
+                forest.join(i, j)
+            moved, new = np.unique(np.concatenate([x, y])), np.arange(len(every))
+            new[moved] = [forest.root(i) for i in moved.tolist()]
+            label = new[label]
+    ids, has = every[order], np.flatnonzero(links)
+    return ids[has], links[has], ids[label[has]]
+
+
 FOUND = "vec long, links long, root long"
 
 
@@ -228,24 +275,9 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             for r in batch.to_pylist():
                 a, b = Shard(r["a"]), Shard(r["b"])
                 same = r["a"]["shard"] == r["b"]["shard"]
-                q, n = join_shards(a, b, same, least, beam)
-                links_a, links_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
-                np.add.at(links_a, q, b.copies[n])
-                np.add.at(links_b if not same else links_a, n, a.copies[q])
-                ids = a.ids if same else np.concatenate([a.ids, b.ids])
-                links = links_a if same else np.concatenate([links_a, links_b])
-                order = np.argsort(ids)
-                rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids))
-                forest, shift = Forest(len(ids)), 0 if same else len(a.ids)
-                for x, y in zip(rank[q].tolist(), rank[n + shift].tolist()):
-                    forest.join(x, y)
-                ids, links = ids[order], links[order]
-                has = np.flatnonzero(links)
-                if len(has):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[has]), pa.array(links[has]), pa.array(ids[[forest.root(i) for i in has.tolist()]])],
-                        names=["vec", "links", "root"])
+                found = linked(a, b, same, least, beam)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["vec", "links", "root"])
 
     whole = F.struct("shard", "ids", "copies", "vectors", "layers")
     left = graphs.select("part", whole.alias("a"), F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("shard"))

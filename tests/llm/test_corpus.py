@@ -180,6 +180,63 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    """A third of all vectors are near one another, all different."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=24)
+    v = np.concatenate([base + 0.15 * rng.normal(size=(1000, 24)), rng.normal(size=(2000, 24))]).astype(np.float32)
+    v = v[rng.permutation(len(v))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, shards=3).collect()}
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    group = components(range(len(u)), zip(*map(list, np.nonzero(near))))
+    links = np.array([got[i]["n_links"] for i in range(len(u))])
+    assert near.sum() > 100_000 and (links <= near.sum(1)).all() and links.sum() >= 0.97 * near.sum()
+    missed = sum(got[i]["component_id"] != group[i] for i in range(len(u)))
+    assert missed <= 0.01 * len(u)
+
+
+@pytest.mark.parametrize("size", [70, 4096])
+def test_shards_meet_in_slices(monkeypatch, size):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=12) + 0.1 * rng.normal(size=(150, 12)), rng.normal(size=(250, 12))]).astype(np.float32)
+    ids, copies = rng.permutation(400).astype(np.int64) * 100, rng.integers(1, 4, 400)
+    monkeypatch.setattr(embedding_dedup, "SLICE", size)
+
+    def shard(at):
+        layers = [{"nodes": n.astype(np.int64).tobytes(), "links": x.tobytes()}
+                  for n, x in embedding_dedup.build(v[at] / np.linalg.norm(v[at], axis=1)[:, None])]
+        return embedding_dedup.Shard({"ids": ids[at].tobytes(), "copies": copies[at].tobytes(), "vectors": v[at].tobytes(), "layers": layers})
+    left, right = np.arange(0, 400, 2), np.arange(1, 400, 2)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    for a, b in ((left, right), (left, left)):
+        pairs = [(x, y) for x in a for y in b if x != y and near[x, y]]
+        links, group = collections.Counter(), components(ids.tolist(), [(ids[x], ids[y]) for x, y in pairs])
+        for x, y in pairs:
+            links[ids[x]] += copies[y]
+            if a is not b:
+                links[ids[y]] += copies[x]
+        got = embedding_dedup.linked(shard(a), shard(b), a is b, 0.95, 400)
+        assert {i: (n, r) for i, n, r in zip(*map(np.ndarray.tolist, got))} == {i: (n, group[i]) for i, n in links.items()}
+
+
+def test_graph_by_insertion_is_navigable():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 16)).astype(np.float32)
+    v[1500:] = v[:1500] + 0.1 * rng.normal(size=(1500, 16)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    layers = embedding_dedup.build(v)
+    assert layers[0][1].shape[1] <= embedding_dedup.WIDTH and len(layers[-1][0]) <= 48
+    found, _ = embedding_dedup.search(v, layers, v[:500], 24)
+    best = np.argsort(-(v[:500] @ v.T), axis=1)[:, :5]
+    assert np.mean([len(set(f) & set(b)) / 5 for f, b in zip(found.tolist(), best.tolist())]) > 0.9
+    for n in (1, 2, 49, 300):
+        assert embedding_dedup.search(v[:n], embedding_dedup.build(v[:n]), v[:n], min(8, n))[0][:, 0].tolist() == list(range(n))
+
+
 def test_links_found_from_one_side_within_a_shard(monkeypatch):
     rng = np.random.default_rng(3)
     raw = (rng.normal(size=8) + 0.01 * rng.normal(size=(6, 8))).astype(np.float32)
