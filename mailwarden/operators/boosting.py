@@ -136,7 +136,7 @@ def _histograms(blocks: DataFrame, tasks: int, forest: Forest, since: int, growi
         yield pa.RecordBatch.from_arrays([pa.array(range(len(columns)), pa.int32()), pa.array([o.tobytes() for o in out], pa.binary())],
                                          names=["block", "sums"])
 
-    sums = total(blocks.mapInArrow(run, SUMS), tasks, 2 * len(nodes) * bins, len(columns))
+    sums = total(blocks.mapInArrow(run, SUMS), tasks, 2 * len(nodes) * bins, len(columns), 2 * len(nodes) * bins * len(columns))
     sent.unpersist()
     return sums.reshape(len(columns), 2, len(nodes), bins).transpose(2, 0, 3, 1)
 
