@@ -1,16 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text scores every document's perplexity.
 
-The model is over characters, order 4 (invented or rare words are common, characters are not). It is fitted on a bounded
-sample of about ``TRAIN_ROWS / 2`` trusted documents, dealt evenly over the languages, of each at most half. All other
-trusted documents set the thresholds.
+The model is over characters, order 4 (invented or rare words are common, characters are not). Every trusted document is
+counted, and every one sets the thresholds: beside the model of all of them there is one of each half (by the hash of the id),
+from the same counts, and a trusted document's held-out perplexity is that under the half it is not in.
 
 Scoring is a sharded count join. Each block of documents sends its distinct n-grams, packed by shard. The distinct n-grams
 of a shard are joined with the counts, continuation counts and context totals of the model (equi-joins on keys); the
-shards answer the blocks with one log-probability per n-gram, in the order asked; the blocks, compressed, meet their
+shards answer the blocks with one log-probability per n-gram and model, in the order asked; the blocks, compressed, meet their
 answers and sum up. Every character of every document is scored; what is shuffled follows the input.
 
-A document is rejected when its perplexity exceeds the limit of its language: a high quantile of the perplexities of
-all trusted documents that were not counted, with a margin. Short texts are shrunk towards the language's mean.
+A document is rejected when its perplexity exceeds the limit of its language: a high quantile of the held-out perplexities
+of all trusted documents, with a margin. Short texts are shrunk towards the language's mean.
 """
 from __future__ import annotations
 
@@ -21,12 +21,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from mailwarden.llm.common import map_texts, pieces, shuffle_partitions, written
+from mailwarden.llm.common import bitmap, flagged, map_texts, pieces, shuffle_partitions, written
 from mailwarden.llm.words import mix
 
 ORDER = 4
-#: Twice the trusted documents that are counted, about; characters by which a short text is shrunk; limit = margin * quantile.
-TRAIN_ROWS, SHRINK, QUANTILE, MARGIN = 20_000, 200, 0.995, 1.3
+#: Characters by which a short text is shrunk; limit = margin * quantile.
+SHRINK, QUANTILE, MARGIN = 200, 0.995, 1.3
 #: Quantiles are sketched, to a rank within 1 / ACCURACY of the rows.
 ACCURACY = 100_000
 #: Held-out documents that a language needs for a limit of its own.
@@ -35,7 +35,9 @@ BLOCK = 16 << 20
 #: Characters a text begins and ends with.
 BEGIN, END = 2, 3
 U = np.uint64
-SCORES = "doc_id long, lang string, n_chars long, log_prob double, mismatch boolean"
+SCORES = "doc_id long, lang string, n_chars long, log_prob double, held_out double, mismatch boolean"
+#: The model of all texts, of those outside fold 0 and of those outside fold 1.
+MODELS = ("", "_0", "_1")
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,57 +83,82 @@ def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, which, places
 
 
+def _models(columns: list[str]) -> tuple[str, ...]:
+    return tuple(m for m in MODELS if f"n{m}" in columns)
+
+
 def _counts(df: DataFrame) -> DataFrame:
-    """(key, n): n-gram counts of the texts."""
+    """(key, n): n-gram counts of the texts; with a ``fold`` (0 or 1) also n_0 and n_1, those of the texts outside it."""
+    folded = "fold" in df.columns
+
     def work(rows):
-        distinct, which, _ = grams(codes([t or b"" for _, t in rows])[0])
+        c, ends = codes([t or b"" for _, t in rows])
+        distinct, which, places = grams(c)
         n = np.bincount(which, minlength=len(distinct))
-        return list(zip(distinct.view(np.int64).tolist(), n.tolist()))
+        out = [distinct.view(np.int64).tolist(), n.tolist()]
+        if folded:
+            fold = np.array([f for f, _ in rows])[np.searchsorted(ends, places)]
+            n_0 = np.bincount(which[fold == 1], minlength=len(distinct))
+            out += [n_0.tolist(), (n - n_0).tolist()]
+        return list(zip(*out))
 
-    return (map_texts(df, [F.lit(0).alias("id"), "text"], "key long, n long", work)
-            .groupBy("key").agg(F.sum("n").alias("n")))
+    names = ["n", "n_0", "n_1"] if folded else ["n"]
+    columns = [F.col("fold").cast("long") if folded else F.lit(0).alias("id"), "text"]
+    return (map_texts(df, columns, ", ".join(["key long", *(f"{x} long" for x in names)]), work)
+            .groupBy("key").agg(*[F.sum(x).alias(x) for x in names]))
 
 
 def model(texts: DataFrame) -> list[DataFrame]:
-    """Per order, highest first: (key, own, context, gamma tables). ``texts`` is the bounded training sample."""
+    """Per order, highest first: (key, own, context, gamma tables) of all ``texts``, with a ``fold`` also of those outside each."""
     counts, tables = written(_counts(texts), "kn_counts"), []
+    models = _models(counts.columns)
     for order in range(ORDER, 0, -1):
         if order < ORDER:                     # continuation counts: distinct characters before the n-gram
             mask = (1 << 16 * order) - 1
             counts = written(counts.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key"))
-                             .agg(F.count(F.lit(1)).alias("n")), "kn_counts")
-        f = counts.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-        n = [f[f"n{k}"] or 0 for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
-        d = [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.1), k + 0.9) if n[k] else 0.5 for k in range(3)]
-        taken = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+                             .agg(*[F.count_if(F.col(f"n{m}") > 0).alias(f"n{m}") for m in models]), "kn_counts")
+        f = counts.agg(*[F.sum((F.col(f"n{m}") == k).cast("long")).alias(f"c{m}_{k}") for m in models for k in (1, 2, 3, 4)]).first()
+        taken = []
+        for m in models:
+            n = [f[f"c{m}_{k}"] or 0 for k in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+            d = [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.1), k + 0.9) if n[k] else 0.5 for k in range(3)]
+            at = F.col(f"n{m}")
+            taken.append(F.when(at == 0, 0.0).when(at == 1, d[0]).when(at == 2, d[1]).otherwise(d[2]).alias(f"d{m}"))
         context = F.shiftrightunsigned("key", 16) if order > 1 else F.lit(0).cast("long")
-        parts = counts.select("key", context.alias("context"), "n", taken.alias("d"))
-        totals = parts.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-        own = parts.join(totals, "context").select("key", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"))
-        gamma = totals.select("context", (F.col("held") / F.col("total")).alias("gamma"))
+        parts = counts.select("key", context.alias("context"), *[f"n{m}" for m in models], *taken)
+        totals = parts.groupBy("context").agg(*[F.sum(f"n{m}").alias(f"total{m}") for m in models],
+                                              *[F.sum(f"d{m}").alias(f"held{m}") for m in models])
+        # a model without the n-gram or its context: no mass of its own, all of it from the shorter one
+        own = parts.join(totals, "context").select("key", *[
+            F.when(F.col(f"n{m}") > 0, (F.col(f"n{m}") - F.col(f"d{m}")) / F.col(f"total{m}")).otherwise(0.0).alias(f"own{m}") for m in models])
+        gamma = totals.select("context", *[
+            F.when(F.col(f"total{m}") > 0, F.col(f"held{m}") / F.col(f"total{m}")).otherwise(1.0).alias(f"gamma{m}") for m in models])
         tables.append((written(own, "kn_own"), written(gamma, "kn_gamma")))
     return tables
 
 
 def _log_probs(distinct: DataFrame, tables: list) -> DataFrame:
-    """``distinct`` (shard, key) with log_prob: the interpolation of all orders by equi-joins."""
-    out, value = distinct, F.lit(0.0)
+    """``distinct`` (shard, key) with log_prob for every model: the interpolation of all orders by equi-joins."""
+    models = [m for m in MODELS if f"own{m}" in tables[0][0].columns]
+    out, values = distinct, {}
     for k, (own, gamma) in enumerate(tables):
         order = ORDER - k
         out = out.withColumn("_key", F.col("key") if order == ORDER else F.col("key").bitwiseAND(F.lit((1 << 16 * order) - 1)))
         out = out.withColumn("_context", F.shiftrightunsigned("_key", 16))
-        out = out.join(own.select(F.col("key").alias("_key"), F.col("own").alias(f"own{order}")), "_key", "left")
+        out = out.join(own.select(F.col("key").alias("_key"), *[F.col(f"own{m}").alias(f"own{order}{m}") for m in models]), "_key", "left")
         if order > 1:
-            out = out.join(gamma.select(F.col("context").alias("_context"), F.col("gamma").alias(f"gamma{order}")), "_context", "left")
+            out = out.join(gamma.select(F.col("context").alias("_context"), *[F.col(f"gamma{m}").alias(f"gamma{order}{m}") for m in models]),
+                           "_context", "left")
         else:
             rest = gamma.first()
-            letters = own.count() + 1
-            value = F.coalesce("own1", F.lit(0.0)) + F.lit((rest["gamma"] if rest else 1.0) / letters)
+            letters = own.agg(*[F.count_if(F.col(f"own{m}") > 0).alias(f"own{m}") for m in models]).first()
+            values = {m: F.coalesce(f"own1{m}", F.lit(0.0)) + F.lit((rest[f"gamma{m}"] if rest else 1.0) / (letters[f"own{m}"] + 1))
+                      for m in models}
         out = out.drop("_key", "_context")
     for order in range(2, ORDER + 1):
-        value = F.coalesce(f"own{order}", F.lit(0.0)) + F.coalesce(f"gamma{order}", F.lit(1.0)) * value
-    return out.select("shard", "key", F.log(value).alias("log_prob"))
+        values = {m: F.coalesce(f"own{order}{m}", F.lit(0.0)) + F.coalesce(f"gamma{order}{m}", F.lit(1.0)) * v for m, v in values.items()}
+    return out.select("shard", "key", *[F.log(v).alias(f"log_prob{m}") for m, v in values.items()])
 
 
 def _blocks(batches):
@@ -166,13 +193,16 @@ def _batch(rows, kinds, names):
 
 
 def scores(docs: DataFrame, tables: list) -> DataFrame:
-    """(doc_id, lang, n_chars, log_prob) of every row of ``docs`` (doc_id, text, lang), written.
+    """(doc_id, lang, n_chars, log_prob, held_out) of every row of ``docs`` (doc_id, text, lang), written. With a ``fold``
+    (0 or 1) and models of the folds, ``held_out`` is the log-probability under the model without the row's fold.
 
     Blocks are formed twice from the same scan; a block that meets the answers to another one (a scan that was planned
     anew after executors were lost) is noticed by its checksum, and everything is scored again.
     """
     shards = 2 * shuffle_partitions(docs.sparkSession)
-    z_level, docs = 3, docs.select("doc_id", "text", "lang")
+    folded = "fold" in docs.columns
+    z_level, docs = 3, docs.select("doc_id", "text", "lang", F.col("fold").cast("int") if folded else F.lit(-1).alias("fold"))
+    logs_of = [f"log_prob{m}" for m in MODELS] if folded else ["log_prob"]
 
     def ask(batches):
         z = zstandard.ZstdCompressor(level=z_level)
@@ -195,7 +225,7 @@ def scores(docs: DataFrame, tables: list) -> DataFrame:
         if not asked.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "sum": pa.array([], pa.int64()),
                              "shard": pa.array([], pa.int32()), "logs": pa.array([], pa.binary())})
-        key, log = known["key"].to_numpy().view(np.uint64), known["log_prob"].to_numpy()
+        key, log = known["key"].to_numpy().view(np.uint64), np.column_stack([known[c].to_numpy() for c in logs_of])
         order = np.argsort(key)
         key, log = key[order], log[order].astype(np.float32)
         logs = [log[np.searchsorted(key, unpack(x))].tobytes() for x in asked["keys"].to_pylist()]
@@ -205,15 +235,15 @@ def scores(docs: DataFrame, tables: list) -> DataFrame:
         z = zstandard.ZstdCompressor(level=z_level)
         for number, parts in _blocks(batches):
             rows = [r for part in parts for r in part]
-            yield _batch([(number, _check(parts), [r[0] for r in rows], [r[2] for r in rows],
+            yield _batch([(number, _check(parts), [r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows],
                            [len(r[1] or b"") for r in rows], z.compress(b"".join(r[1] or b"" for r in rows)),
                            [len(p) for p in parts])],
-                         (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(),
-                          pa.list_(pa.int32())), ["block", "own_sum", "ids", "langs", "sizes", "payload", "groups"])
+                         (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()),
+                          pa.binary(), pa.list_(pa.int32())), ["block", "own_sum", "ids", "langs", "folds", "sizes", "payload", "groups"])
 
     def score(batches):
         for batch in batches:
-            for _, own, ids, langs, sizes, payload, groups, answers in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, own, ids, langs, folds, sizes, payload, groups, answers in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, at, texts = zstandard.decompress(payload), 0, []
                 for n in sizes:
                     texts.append(raw[at:at + n])
@@ -223,23 +253,29 @@ def scores(docs: DataFrame, tables: list) -> DataFrame:
                     parts.append([(None, t) for t in texts[at:at + n]])
                     at += n
                 key, cut = _asked(parts, shards)
-                log, wrong = np.zeros(len(key), np.float32), answers is None or any(a["sum"] != own for a in answers)
+                log, wrong = np.zeros((len(key), len(logs_of)), np.float32), answers is None or any(a["sum"] != own for a in answers)
                 for a in [] if wrong else answers:
-                    log[cut[a["shard"]]:cut[a["shard"] + 1]] = np.frombuffer(a["logs"], np.float32)
+                    log[cut[a["shard"]]:cut[a["shard"] + 1]] = np.frombuffer(a["logs"], np.float32).reshape(-1, len(logs_of))
                 order = np.argsort(key)
-                key, log, at, out = key[order], log[order].astype(np.float64), 0, []
+                key, log, at, out = key[order], log[order], 0, []
                 for part in parts:
                     c, ends = codes([t for _, t in part])
                     found, which, places = grams(c)
-                    each = log[np.searchsorted(key, found)][which]
-                    upto = np.concatenate(([0.0], np.cumsum(each)))
+                    known = log[np.searchsorted(key, found)]
                     stop = np.searchsorted(places, ends, side="right")
                     start = np.concatenate(([0], stop[:-1]))
-                    for i, (s, e) in enumerate(zip(start.tolist(), stop.tolist())):
-                        out.append((ids[at + i], langs[at + i], e - s, float(upto[e] - upto[s]), wrong))
+
+                    def sums(each):
+                        upto = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
+                        return (upto[stop] - upto[start]).tolist()
+                    whole = held = sums(known[which, 0])
+                    if folded:
+                        held = sums(known[which, 1 + np.repeat(np.array(folds[at:at + len(part)]), stop - start)])
+                    for i, (n, a, b) in enumerate(zip((stop - start).tolist(), whole, held)):
+                        out.append((ids[at + i], langs[at + i], n, a, b, wrong))
                     at += len(part)
-                yield _batch(out, (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_()),
-                             ["doc_id", "lang", "n_chars", "log_prob", "mismatch"])
+                yield _batch(out, (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()),
+                             ["doc_id", "lang", "n_chars", "log_prob", "held_out", "mismatch"])
 
     for _ in range(3):
         asked = written(docs.mapInArrow(ask, "shard int, block long, sum long, keys binary"), "kn_asked")
@@ -248,7 +284,7 @@ def scores(docs: DataFrame, tables: list) -> DataFrame:
         replies = written(asked.groupBy("shard").cogroup(known.groupBy("shard"))
                           .applyInArrow(answer, "block long, sum long, shard int, logs binary")
                           .groupBy("block").agg(F.collect_list(F.struct("sum", "shard", "logs")).alias("answers")), "kn_answers")
-        payload = docs.mapInArrow(shrink, "block long, own_sum long, ids array<long>, langs array<string>, sizes array<long>, "
+        payload = docs.mapInArrow(shrink, "block long, own_sum long, ids array<long>, langs array<string>, folds array<int>, sizes array<long>, "
                                           "payload binary, groups array<int>")
         out = written(payload.join(replies.hint("merge"), "block", "left").mapInArrow(score, SCORES), "kn_scores")
         if out.filter("mismatch").isEmpty():
@@ -274,24 +310,30 @@ def fit_shares(sizes: list[tuple[str | None, int]], rows: int) -> list[tuple[str
 
 
 def quality_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                       rows: int = TRAIN_ROWS) -> DataFrame:
+                       rows: int | None = None) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, limit, kept) of every row of ``df``.
 
-    A null or empty text is its end mark alone and is kept. A null language is a language of its own; one with too few
+    Every trusted row is counted; ``rows`` asks for a model of about ``rows // 2`` of them, dealt evenly over the languages.
+    Limits come from all trusted rows in either case. A null or empty text is its end mark alone and is kept. A null language is a language of its own; one with too few
     held-out rows takes the limit over all languages. Without any trusted rows nothing is rejected. Null ids and repeated
     rows are scored like any other. Columns besides id, text and language are not read.
     """
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), df[lang_col].alias("lang"))
+    fold = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).cast("int")
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), df[lang_col].alias("lang")).withColumn("fold", fold)
     good = trusted(labels)
-    own = docs.select("doc_id", "lang").join(good, "doc_id")
-    sizes = [(r["lang"], r["count"]) for r in own.groupBy("lang").count().collect()]                # one per language
-    shares = F.broadcast(df.sparkSession.createDataFrame(fit_shares(sizes, rows), "_lang string, share double"))
-    dealt = lambda t: t.join(shares, t["lang"].eqNullSafe(shares["_lang"])).drop("_lang")
-    sample = written(dealt(own).filter("u < share").select("doc_id", F.col("lang").alias("_lang")).distinct(), "kn_sample")
-    sample = F.broadcast(sample)                              # about ``rows / 2`` pairs
-    tables = model(docs.join(sample, (docs["doc_id"] == sample["doc_id"]) & docs["lang"].eqNullSafe(sample["_lang"])).select("text"))
-    found = scores(docs, tables)
-    held = written(dealt(found.join(good, "doc_id")).filter("u >= share").select("lang", "log_prob", "n_chars"), "kn_held")
+    if rows is None:
+        # a bitmap keeps the other texts out of the join's shuffle
+        likely = flagged(docs, bitmap(good, ["doc_id"]), ["doc_id"], "_likely").filter("_likely").drop("_likely")
+        counted = likely.join(good, "doc_id", "left_semi")
+    else:
+        own = docs.select("doc_id", "lang").join(good, "doc_id")
+        sizes = [(r["lang"], r["count"]) for r in own.groupBy("lang").count().collect()]            # one per language
+        shares = F.broadcast(df.sparkSession.createDataFrame(fit_shares(sizes, rows), "_lang string, share double"))
+        chosen = own.join(shares, own["lang"].eqNullSafe(shares["_lang"])).filter("u < share")
+        sample = F.broadcast(written(chosen.select("doc_id", "_lang").distinct(), "kn_sample"))         # about ``rows / 2`` pairs
+        counted = docs.join(sample, (docs["doc_id"] == sample["doc_id"]) & docs["lang"].eqNullSafe(sample["_lang"]))
+    found = scores(docs, model(counted.select("fold", "text")))
+    held = written(found.join(good, "doc_id").select("lang", F.col("held_out").alias("log_prob"), "n_chars"), "kn_held")
     per = written(held.groupBy("lang").agg(
         F.count(F.lit(1)).alias("rows"), (-F.sum("log_prob") / F.sum("n_chars")).alias("mean")), "kn_means")
     means = F.broadcast(per.withColumnRenamed("lang", "_lang"))                                     # one row per language

@@ -373,3 +373,22 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("run", [substring_dedup.substring_dedup, jaccard_join.jaccard_join, sentencepiece_lattice.encode])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_trusted_document_is_counted_and_sets_the_limits(spark, monkeypatch):
+    """No sample: the model counts all trusted texts; a held-out score is that of the other half's model."""
+    texts = [f"{w} and {w} {i % 7}" for i in range(60) for w in ("alpha", "beta")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    counted, scored, model, scores = [], [], quality_classifier.model, quality_classifier.scores
+    monkeypatch.setattr(quality_classifier, "model", lambda t: counted.append(t) or model(t))
+    monkeypatch.setattr(quality_classifier, "scores", lambda d, t: scored.append(scores(d, t)) or scored[-1])
+    assert quality_classifier.quality_classifier(df, labels).count() == len(texts)
+    assert sorted(r["text"] for r in counted[0].collect()) == sorted(t for i, t in enumerate(texts) if i % 3)
+    folds = {f: counted[0].filter(f"fold = {f}").select("text") for f in (0, 1)}
+    one = {f: {r["doc_id"]: r["log_prob"] for r in scores(df, model(folds[1 - f])).collect()} for f in folds}
+    whole = {r["doc_id"]: r["log_prob"] for r in scores(df, model(counted[0].select("text"))).collect()}
+    fold = {r["doc_id"]: r["fold"] for r in df.select("doc_id", F.expr("pmod(xxhash64(doc_id), 2)").alias("fold")).collect()}
+    for r in scored[0].collect():
+        assert r["log_prob"] == pytest.approx(whole[r["doc_id"]], rel=1e-5)
+        assert r["held_out"] == pytest.approx(one[fold[r["doc_id"]]][r["doc_id"]], rel=1e-5)
