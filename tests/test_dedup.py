@@ -221,3 +221,20 @@ def test_pairs_that_fail_against_the_leader_of_their_bucket_are_compared(spark):
     got = {x["sample_id"]: x["near_dup_cluster_id"] for x in neardup.near_duplicate_clusters(df, bands=(1, 1)).collect()}
     assert set(got) == {x for pair in links for x in pair}
     assert all(got[a] == got[b] for a, b in links) and all(c // 10 == i // 10 for i, c in got.items())
+
+
+def test_shingle_sets_are_read_in_small_parts(spark, monkeypatch):
+    """A reader decodes up to 4,096 rows of a row group at once; sets of long texts must not meet in one."""
+    import pyarrow.parquet as pq
+
+    rng, tables, stored = random.Random(4), [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name, *a: tables.append((name, stored(df, name, *a))) or tables[-1][1])
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(letters, k=4000)) for _ in range(400)]
+    df = spark.createDataFrame([(f"{i:04}", t) for i, t in enumerate(texts + texts)], "sample_id string, body string").coalesce(1)
+    links = neardup.near_duplicate_edges(df)
+    assert links.count() == 400
+    files = [f for name, t in tables if name == "shingle_sets" for f in t.inputFiles()]
+    sizes = [g for f in files for m in [pq.ParquetFile(f.removeprefix("file://")).metadata]
+             for g in (m.row_group(i).total_byte_size for i in range(m.num_row_groups))]
+    assert sum(sizes) > 16 << 20 and max(sizes) < 8 << 20
