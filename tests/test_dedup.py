@@ -238,3 +238,15 @@ def test_shingle_sets_are_read_in_small_parts(spark, monkeypatch):
     sizes = [g for f in files for m in [pq.ParquetFile(f.removeprefix("file://")).metadata]
              for g in (m.row_group(i).total_byte_size for i in range(m.num_row_groups))]
     assert sum(sizes) > 16 << 20 and max(sizes) < 8 << 20
+
+
+def test_copies_without_shingles_are_compared(spark):
+    """Exact copies of a text shorter than a shingle: no Jaccard, no division by zero; the copies go as exact duplicates."""
+    df = spark.createDataFrame([("a", "", 0, "x"), ("b", "", 0, "x"), ("c", "hi", 0, "x"), ("d", None, 0, "x")],
+                               "sample_id string, body string, label int, dataset_id string")
+    unified = df.select("sample_id", F.when(F.col("sample_id") < "c", "a").alias("dedup_cluster_id"),
+                        F.when(F.col("sample_id") < "c", "a").otherwise(F.col("sample_id")).alias("unified_cluster_id"))
+    similarity = neardup.leader_similarity(df, unified, cluster="unified_cluster_id")
+    assert [(r["sample_id"], r["jaccard"], r["is_verified"]) for r in similarity.collect()] == [("b", None, False)]
+    kept = dedup.keep_unverified(unified, "unified_cluster_id", similarity)
+    assert sorted(r["sample_id"] for r in kept.collect()) == ["a", "c", "d"]
