@@ -220,12 +220,14 @@ FROM (SELECT sample_id,
   {_combine(_CLASSICAL.replace('@', 'subject'), _CLASSICAL.replace('@', 'body'), ' ')} AS b FROM mail_docs)""")
 def combined_text(spark, sf):
     s, b = F.col("subject"), F.col("body")
-    df = A.mail_docs(spark, sf).withColumns({
-        "text_transformer": X.join_subject_body(X.transformer_text(s), X.transformer_text(b), " [SEP] "),
-        "text_classical": X.join_subject_body(X.classical_text(s), X.classical_text(b), " ")})
-    return df.select("sample_id", F.md5("text_transformer").alias("transformer_md5"),
-                     F.md5("text_classical").alias("classical_md5"),
-                     F.length("text_transformer").alias("n_transformer"), F.length("text_classical").alias("n_classical"))
+
+    def measured(text, name):
+        # digest and length of a text that is computed once
+        return X.let(text, lambda t: F.struct(F.md5(t).alias(f"{name}_md5"), F.length(t).alias(f"n_{name}"))).alias(name)
+    df = A.mail_docs(spark, sf).select(
+        "sample_id", measured(X.join_subject_body(X.transformer_text(s), X.transformer_text(b), " [SEP] "), "transformer"),
+        measured(X.join_subject_body(X.classical_text(s), X.classical_text(b), " "), "classical"))
+    return df.select("sample_id", "transformer.transformer_md5", "classical.classical_md5", "transformer.n_transformer", "classical.n_classical")
 
 
 @query("model_text", _digest_sql("mail_docs", "coalesce(subject, '') || ' ' || coalesce(body, '')"))
