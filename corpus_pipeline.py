@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailwarden.llm import jaccard_join, packing, quality_classifier, secret_scan, substring_dedup
-from mailwarden.llm.common import read, written
+from mailwarden.llm.common import ROW_GROUP, read, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs, name.replace(" ", "_"))
+            docs = written(docs, name.replace(" ", "_"), ROW_GROUP)
     return docs

@@ -10,6 +10,8 @@ from mailwarden.session import scratch_path
 
 #: Bytes of text that a Python worker holds as one piece of work.
 PIECE = 2 << 20
+#: Bytes of a row group of written texts or token ids.
+ROW_GROUP = 16 << 20
 #: Bits of a broadcast bitmap: 262,144 words at most.
 BITS = 1 << 24
 
@@ -18,11 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, read by any executor, no lineage behind it."""
+def written(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, read by any executor, no lineage behind it. ``block`` bounds
+    the bytes of a row group, which a task holds until it is full."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block) if block else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mailwarden.llm.common import pieces, written
+from mailwarden.llm.common import ROW_GROUP, pieces, written
 
 WINDOW, END_ID = 1024, 0
 IDS = "doc_id long, ids binary, doc_tokens long, part int, before long"
@@ -83,7 +83,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     Every row of ``df`` is packed, repeated rows and null ids too; a null or empty text is the closing id alone. An empty
     table gives no rows. Only the last sequence can be shorter than ``window``.
     """
-    ids = written(tokenized(df, id_col, text_col, end_id, tokenizer), "packed_ids")
+    ids = written(tokenized(df, id_col, text_col, end_id, tokenizer), "packed_ids", ROW_GROUP)
     # one number per partition of the scan, never one per document
     totals = ids.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()
     offsets, total = {}, 0

@@ -84,3 +84,18 @@ def test_texts_are_computed_once(spark, sf, query, step, times):
     """Cleaning and shingling are most of the work: each text goes through them once."""
     plan = entry.queries()[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(step) == times
+
+
+def test_distinct_shingles_are_hashed_once(spark, monkeypatch):
+    """The md5 hashes are those of Spark, and a shingle of many texts is hashed once a batch."""
+    from mailwarden.functions.hashing import hash32
+    from mailwarden.operators import neardup
+
+    texts = ["win money now", "win money", "日本語テキスト", "😀😀😀😀ab", "abcde", "four", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    expected = [r[0] for r in df.select(F.transform(neardup.shingles(F.col("body")), hash32)).collect()]
+    assert [h.tolist() for h in neardup.md5_hashes(texts, 5)] == expected
+    calls, md5 = [], neardup.hashlib.md5
+    monkeypatch.setattr(neardup.hashlib, "md5", lambda *a, **k: calls.append(a) or md5(*a, **k))
+    neardup.md5_hashes(["win money now"] * 9, 5)
+    assert len(calls) < 13 + 5
