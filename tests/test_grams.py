@@ -99,3 +99,13 @@ def test_distinct_shingles_are_hashed_once(spark, monkeypatch):
     monkeypatch.setattr(neardup.hashlib, "md5", lambda *a, **k: calls.append(a) or md5(*a, **k))
     neardup.md5_hashes(["win money now"] * 9, 5)
     assert len(calls) < 13 + 5
+
+
+def test_strip_removes_every_white_space(spark):
+    """All 29 characters that Python counts, and nothing else; runs that are one blank already stay."""
+    from mailwarden.functions import text as X
+
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    rows = [f"{a}x{a}{b} y{b}" for a, b in zip(spaces, spaces[1:])] + ["​x﻿", "  ", "", None]
+    got = spark.createDataFrame([(r,) for r in rows], "c string").select("c", X.strip(F.col("c")), X.collapse(F.col("c"))).collect()
+    assert all(r[1] == (r["c"] and r["c"].strip()) and r[2] == (r["c"] and " ".join(r["c"].split())) for r in got)
