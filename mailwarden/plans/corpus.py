@@ -66,10 +66,10 @@ FROM documents""")
 def csv_corpus(spark, sf):
     path = scratch_path(spark, "csv")
     docs = A.read_table(spark, sf, "documents").select("doc_id", "lang", "text")
-    # one file in the order of the ids, as a corpus comes; rows are numbered by their place in it
-    docs.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").write.csv(
+    # files in the order of the ids, none of them one task's work; rows are numbered by their place in the corpus
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.csv(
         path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    back = files.read_corpus(spark, path, "docs")
+    back = files.read_corpus(spark, path, "docs", follow=True)
     return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "lang", "dataset_id", "raw_row_id")
 
 
@@ -82,16 +82,19 @@ def file_manifest(spark, sf):
 SELECT lang AS dataset_id, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars
 FROM documents WHERE lang <> 'es' GROUP BY lang""")
 def corpora_by_manifest(spark, sf):
-    """One corpus file per language; the manifest carries a wrong checksum for one of them, which is left out."""
+    """A corpus per language, of as many files as tasks wrote; the manifest carries wrong checksums for one of them, which is
+    left out."""
     root = scratch_path(spark, "corpora")
-    A.read_table(spark, sf, "documents").select("text", "source", "lang").repartition("lang") \
+    A.read_table(spark, sf, "documents").select("text", "source", "lang") \
         .write.partitionBy("lang").csv(root, header=True, quoteAll=True, escape='"',
                                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     lang = F.regexp_extract("file", r"lang=(\w+)/part.*\.csv$", 1)
     found = files.file_integrity(spark, root, min_bytes=1).withColumn("lang", lang).filter("lang <> ''")
     wrong = F.when(F.col("lang") == "es", F.lit("0" * 32)).otherwise(F.col("md5"))
     manifest = found.select("file", wrong.alias("expected_md5"))
-    sources = {r["lang"]: r["file"] for r in found.select("lang", "file").collect()}      # one row per file
+    sources = {}
+    for r in found.select("lang", "file").collect():      # one row per file
+        sources.setdefault(r["lang"], []).append(r["file"])
     raw = files.read_corpora(spark, root, sources, manifest, min_bytes=1)
     return files.union_corpora(raw).groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))

@@ -24,7 +24,7 @@ _STAYS = rf'^{_INSIDE}(?:"[^,]*+,{_FIELDS}"{_INSIDE})?\z'
 _PLACE = ["_file", "_block"]
 
 
-def _lines(spark: SparkSession, path: str, encoding: str, crlf: bool) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], encoding: str, crlf: bool) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(path)
     value = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
     if crlf:
@@ -50,7 +50,7 @@ def _after(state: Column) -> Column:
     return F.when(state == 0, F.col("_end0")).otherwise(F.col("_end1"))
 
 
-def records(spark: SparkSession, path: str, encoding: str = "UTF-8", crlf: bool = False) -> DataFrame:
+def records(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", crlf: bool = False) -> DataFrame:
     """(_file, _block, _id, record): the records of the files at ``path``, headers included, each where its first line is.
     ``_id`` rises with the position in a block; the rows are partitioned by (_file, _block)."""
     quoted = F.contains("_line", F.lit('"'))
@@ -83,8 +83,10 @@ def records(spark: SparkSession, path: str, encoding: str = "UTF-8", crlf: bool
     return whole.select(*_PLACE, F.col("_record").alias("_id"), F.concat("record", tail).alias("record")).filter("record <> ''")
 
 
-def parsed(spark: SparkSession, path: str, names: list[str], encoding: str = "UTF-8", crlf: bool = False) -> DataFrame:
-    """The fields of every record under ``names``, all text, and ``raw_row_id``, the 0-based number of the row in its file.
+def parsed(spark: SparkSession, path: str | list[str], names: list[str], encoding: str = "UTF-8", crlf: bool = False,
+           follow: bool = False) -> DataFrame:
+    """The fields of every record under ``names``, all text, and ``raw_row_id``, the 0-based number of the row in its file;
+    with ``follow`` the numbers go on from file to file in the order of their names, the shorter ones first.
 
     The first record of each file is its header and no row. Records with more fields than names are left out and not
     counted, short ones are padded with nulls. The rows are written once.
@@ -98,7 +100,8 @@ def parsed(spark: SparkSession, path: str, names: list[str], encoding: str = "UT
     rows = rows.filter(F.col(f"_f.{extra}").isNull()).select(*_PLACE, F.row_number().over(by_id).alias("_n"), "_f")
     rows = stored(rows, "csv_rows")
     counts = rows.groupBy(*_PLACE).agg(F.max("_n").alias("_rows"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.length("_file"), "_file", "_block") if follow else Window.partitionBy("_file").orderBy("_block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*_PLACE, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))      # a row per block
     return rows.join(offsets, _PLACE).select(
         "_f.*", (F.col("_before") + F.col("_n") - 1).alias("raw_row_id")).drop(extra)

@@ -68,11 +68,11 @@ def file_integrity(spark: SparkSession, root: str, manifest: DataFrame | None =
     return checked.withColumn("is_usable", (F.col("length") >= min_bytes) & matches)
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
+def _header(spark: SparkSession, path: str | list[str], encoding: str) -> list[str]:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding).columns
 
 
-def text_encoding(spark: SparkSession, path: str) -> str:
+def text_encoding(spark: SparkSession, path: str | list[str]) -> str:
     """utf-8 when every line is valid utf-8, otherwise latin-1 (which accepts any bytes)."""
     ok = spark.read.text(path).agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("ok")).first()["ok"]
     return "UTF-8" if ok is None or ok else "ISO-8859-1"
@@ -95,8 +95,9 @@ def number_rows(df: DataFrame) -> DataFrame:
             .drop("_file", "_block", "_id", "_first", "_before"))
 
 
-def read_corpus(spark: SparkSession, path: str, source: str, encoding: str | None = None) -> DataFrame:
-    """One raw corpus, all columns as text, plus dataset_id and raw_row_id.
+def read_corpus(spark: SparkSession, path: str | list[str], source: str, encoding: str | None = None, follow: bool = False) -> DataFrame:
+    """One raw corpus, of one file, a folder or some files, all columns as text, plus dataset_id and raw_row_id: the number of
+    the row in its file, or with ``follow`` in all of them (``csv_records``).
 
     Lines with too many fields are skipped, short lines are padded with nulls. Files are read in blocks, also where fields
     hold line breaks (``csv_records``). The line end of the first line is that of all lines.
@@ -105,16 +106,17 @@ def read_corpus(spark: SparkSession, path: str, source: str, encoding: str | Non
     names = _header(spark, path, encoding)
     first = spark.read.option("lineSep", "\n").text(path).head()
     crlf = first is not None and (first["value"] or "").endswith("\r")
-    return csv_records.parsed(spark, path, names, encoding, crlf).withColumn("dataset_id", F.lit(source))
+    return csv_records.parsed(spark, path, names, encoding, crlf, follow).withColumn("dataset_id", F.lit(source))
 
 
-def read_corpora(spark: SparkSession, root: str, sources: dict[str, str], manifest: DataFrame | None = None,
+def read_corpora(spark: SparkSession, root: str, sources: dict[str, str | list[str]], manifest: DataFrame | None = None,
                  min_bytes: int = 0) -> dict[str, DataFrame]:
-    """Every usable configured corpus: missing or mismatching files, and those below ``min_bytes``, are left out."""
+    """Every usable configured corpus, of one file or several: missing or mismatching files, and those below ``min_bytes``,
+    are left out."""
     usable = {r["file"] for r in file_integrity(spark, root, manifest, min_bytes)
               .filter("is_usable").select("file").collect()}      # one row per corpus file
-    return {name: read_corpus(spark, f"{root}/{file}", name)
-            for name, file in sources.items() if file in usable}
+    found = {name: [f"{root}/{f}" for f in ([own] if isinstance(own, str) else own) if f in usable] for name, own in sources.items()}
+    return {name: read_corpus(spark, paths, name) for name, paths in found.items() if paths}
 
 
 def union_corpora(raw: dict[str, DataFrame]) -> DataFrame:

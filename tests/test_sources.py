@@ -108,3 +108,35 @@ def test_checksums_read_files_in_chunks(spark, tmp_path):
     assert got == {n.rsplit("/", 1)[-1]: (len(c), hashlib.md5(c).hexdigest()) for n, c in data.items() if c}      # Spark lists no empty files
     found = {r["file"]: r["md5"] for r in files.file_integrity(spark, str(tmp_path)).collect()}
     assert found == {n: hashlib.md5(c).hexdigest() for n, c in data.items() if c}
+
+
+def test_corpus_of_several_files(spark, tmp_path):
+    """Rows are numbered through all files; a corpus of several files is read without those that fail the manifest."""
+    d = tmp_path / "in"
+    d.mkdir()
+    for name, rows in (("part-9.csv", ["a", "b"]), ("part-10.csv", ["c,\nd", "e"]), ("part-11.csv", []), ("part-12.csv", ["f"])):
+        (d / name).write_text("\n".join(["body", *(f'"{r}"' for r in rows)]) + "\n")
+    got = files.read_corpus(spark, str(d), "A", follow=True).orderBy("raw_row_id").collect()
+    assert [(r["raw_row_id"], r["body"]) for r in got] == list(enumerate(["a", "b", "c,\nd", "e", "f"]))
+    wrong = spark.createDataFrame([("part-9.csv", "0"), ("part-11.csv", "0")], "file string, expected_md5 string")
+    found = files.read_corpora(spark, str(d), {"A": ["part-9.csv", "part-10.csv"], "B": ["part-11.csv"], "C": "part-12.csv"}, wrong, 1)
+    assert {name: sorted(r["body"] for r in df.collect()) for name, df in found.items()} == {"A": ["c,\nd", "e"], "C": ["f"]}
+
+
+@pytest.mark.parametrize("name", ["csv_corpus", "corpora_by_manifest"])
+def test_corpora_are_written_by_many_tasks(spark, sf, tmp_path, monkeypatch, name):
+    """No corpus is one file: the one task that writes it would read all rows."""
+    import __spark_entry__ as entry
+    from mailwarden.plans import corpus
+
+    monkeypatch.setattr(corpus, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        entry.queries()[name](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = {}
+    for r in spark.read.text(str(tmp_path), recursiveFileLookup=True).groupBy("_metadata.file_path").count().collect():
+        folder, _ = r["file_path"].rsplit("/", 1)
+        rows.setdefault(folder, []).append(r["count"])
+    assert rows and all(max(n) < sum(n) for n in rows.values())
