@@ -39,8 +39,9 @@ REGION = 4096
 #: Counts of a shingle are told apart up to this one; bits of a shingle's key.
 TOP, BITS = 32767, 48
 PIVOTS = 8
-#: Keys that a task holds before it hands them on.
-HELD = 1 << 20
+#: Keys (and sets) that a task holds before it hands them on; these are a group, and groups of a task are told apart by
+#: their last ``GROUP`` bits.
+HELD, GROUP = 1 << 20, 20
 U = np.uint64
 
 
@@ -113,7 +114,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-SCAN = "kind int, doc_id long, sid long, n long, key2 long, task long, bucket int, keys binary, owners binary"
+SCAN = "kind int, doc_id long, sid long, n long, key2 long, part long, bucket int, keys binary, owners binary"
 
 
 def _steps(numbers: np.ndarray) -> bytes:
@@ -125,33 +126,34 @@ def _from_steps(raw: bytes) -> np.ndarray:
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, least: int) -> DataFrame:
-    """Per text its set (kind 0); per task and bucket the keys of its sets and their owners (kind 1); per task and list of
-    owners, these and their sizes (kind 2).
+    """Per text its set (kind 0); per group of sets that a task holds at the same time, and bucket, the keys of the sets and
+    their owners (kind 1); per group its owners and their sizes (kind 2).
 
-    An owner is the place of a set in its task. Copies that a task holds at the same time have one owner.
+    An owner is the place of a set in its group. Copies within a group have one owner. A group is bounded, whatever the
+    size of the scan's tasks is.
     """
-    shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "n", "key2", "task")),
+    shape = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "sid", "n", "key2", "part")),
                        ("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        held, owners, seen, n_held, place, task = [], [], {}, 0, 0, TaskContext.get().partitionId()
+        held, owners, seen, n_held, part = [], [], {}, 0, TaskContext.get().partitionId() << GROUP
 
         def flush():
             a, own = np.concatenate(held), np.concatenate(owners)
             which = (mix(a) % U(buckets)).astype(np.int64)
             order = np.lexsort((own, which))
             cut = np.searchsorted(which[order], np.arange(buckets + 1))
-            out = [(2, None, None, place - len(seen), None, task, None, np.array(list(seen), np.int64).tobytes(), np.array(list(seen.values()), np.int64).tobytes())]
+            out = [(2, None, None, None, None, part, None, np.array(list(seen), np.int64).tobytes(), np.array(list(seen.values()), np.int64).tobytes())]
             for b in range(buckets):
                 k = order[cut[b]:cut[b + 1]]
                 if len(k):
-                    out.append((1, None, None, None, None, task, b, _packed(a[k]), _steps(own[k])))
+                    out.append((1, None, None, None, None, part, b, _packed(a[k]), _steps(own[k])))
             return out
 
         def rows_of():
-            nonlocal n_held, place
+            nonlocal n_held, part
             for rows in pieces(batches):
                 sets, out = shingle_sets([t or b"" for _, t in rows], size), []
                 own = np.zeros(len(rows), np.int64)
@@ -165,20 +167,19 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
                     if sid in seen:
                         sets[i] = s[:0]
                         continue
+                    own[i] = len(seen)
                     seen[sid] = len(s)
-                    own[i] = place
-                    place += 1
                 keys, which = shingle_keys(sets, least)
                 held.append(keys)
                 owners.append(own[which])
                 n_held += len(keys)
                 yield out
-                if n_held >= HELD:
+                if n_held >= HELD or len(seen) >= HELD:
                     yield flush()
                     held.clear()
                     owners.clear()
                     seen.clear()
-                    n_held = 0
+                    n_held, part = 0, part + 1
             if seen:
                 yield flush()
 
@@ -192,30 +193,31 @@ def _scan(df: DataFrame, id_col: str, text_col: str, size: int, buckets: int, le
 def _near(scan: DataFrame, least: int) -> DataFrame:
     """(src, dst): each set with the least set of every region of a pivot of its own.
 
-    Keys meet in their bucket; the shared ones go back, packed, to the group of the task that has their owners.
+    Keys meet in their bucket; the shared ones go back, packed, to the group that has their owners.
     """
+    place = HELD.bit_length() + 1             # bits of an owner: the last piece of a group may go beyond HELD
+
     def meet(table):
-        tasks = table["task"].to_pylist()
+        parts = table["part"].to_pylist()
         lists = [_from_steps(x) for x in table["owners"].to_pylist()]
-        own, cells = shared_cells(_unpacked(b"".join(table["keys"].to_pylist())), np.concatenate([(t << 40) + x for t, x in zip(tasks, lists)]))
-        home = own >> 40
+        own, cells = shared_cells(_unpacked(b"".join(table["keys"].to_pylist())), np.concatenate([(t << place) + x for t, x in zip(parts, lists)]))
+        home = own >> place
         first = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))) if len(own) else np.zeros(0, np.int64)
         runs = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
-        return pa.table({"task": pa.array(home[first], pa.int64()), "cells": pa.array([cells[a:b].tobytes() for a, b in runs], pa.binary()),
-                         "owners": pa.array([_steps(own[a:b] & ((1 << 40) - 1)) for a, b in runs], pa.binary())})
+        return pa.table({"part": pa.array(home[first], pa.int64()), "cells": pa.array([cells[a:b].tobytes() for a, b in runs], pa.binary()),
+                         "owners": pa.array([_steps(own[a:b] & ((1 << place) - 1)) for a, b in runs], pa.binary())})
 
     def choose(met, sets):
-        lists = sorted(zip(sets["n"].to_pylist(), sets["keys"].to_pylist(), sets["owners"].to_pylist()))
-        sids, sizes = (np.frombuffer(b"".join(x[k] for x in lists), np.int64) for k in (1, 2))
+        sids, sizes = (np.frombuffer(b"".join(sets[c].to_pylist()), np.int64) for c in ("keys", "owners"))        # one row per group
         own = [_from_steps(x) for x in met["owners"].to_pylist()]
         cells = [np.frombuffer(x, np.int64) for x in met["cells"].to_pylist()]
         none = [np.zeros(0, np.int64)]
         own, cells = choose_pivots(np.concatenate(own or none), np.concatenate(cells or none), sizes, least)
         return pa.table({"sid": pa.array(sids[own], pa.int64()), "key": pa.array(cells, pa.int64())})
 
-    met = scan.filter("kind = 1").select("task", "bucket", "keys", "owners").groupBy("bucket").applyInArrow(meet, "task long, cells binary, owners binary")
-    sets = scan.filter("kind = 2").select("task", "n", "keys", "owners")
-    chosen = met.groupBy("task").cogroup(sets.groupBy("task")).applyInArrow(choose, "sid long, key long")
+    met = scan.filter("kind = 1").select("part", "bucket", "keys", "owners").groupBy("bucket").applyInArrow(meet, "part long, cells binary, owners binary")
+    sets = scan.filter("kind = 2").select("part", "keys", "owners")
+    chosen = met.groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(choose, "sid long, key long")
     pivots = written(chosen, "jaccard_pivots")
     firsts = written(pivots.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).filter("first < last").drop("last"), "jaccard_firsts")
     return pivots.join(firsts, "key").filter("sid <> first").select(F.col("sid").alias("src"), F.col("first").alias("dst")).distinct()

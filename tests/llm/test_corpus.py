@@ -1,5 +1,6 @@
 """Corpus operators against brute force: substring dedup, Jaccard join, embeddings, classifier, lattice, pipeline."""
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -392,3 +393,15 @@ def test_every_trusted_document_is_counted_and_sets_the_limits(spark, monkeypatc
     for r in scored[0].collect():
         assert r["log_prob"] == pytest.approx(whole[r["doc_id"]], rel=1e-5)
         assert r["held_out"] == pytest.approx(one[fold[r["doc_id"]]][r["doc_id"]], rel=1e-5)
+
+
+def test_jaccard_groups_are_bounded(docs, monkeypatch):
+    """A scan task hands on its sets in groups of bounded size, and each is chosen pivots for by itself."""
+    df, _ = docs
+    df = df.coalesce(1)
+    whole = sorted(map(tuple, jaccard_join.jaccard_join(df).collect()), key=str)
+    monkeypatch.setattr(jaccard_join, "HELD", 1000)
+    monkeypatch.setattr(jaccard_join, "pieces", functools.partial(jaccard_join.pieces, limit=2000))
+    scan = jaccard_join._scan(df, "doc_id", "text", 3, 4, 90).filter("kind = 2").select("part", F.length("keys").alias("n")).collect()
+    assert len({r["part"] for r in scan}) == len(scan) > 1
+    assert sorted(map(tuple, jaccard_join.jaccard_join(df).collect()), key=str) == whole
