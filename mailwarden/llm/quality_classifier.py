@@ -55,17 +55,28 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct n-grams, which one ends at each scored place, the scored places)."""
-    letters, small = np.unique(c, return_inverse=True)
-    n, places = len(letters), np.flatnonzero(c[ORDER - 1:] != BEGIN) + ORDER - 1
+    there = np.zeros(1 << 16, bool)
+    there[c] = True
+    letters, scored = np.flatnonzero(there).astype(np.uint16), c[ORDER - 1:] != BEGIN
+    n, places = len(letters), np.flatnonzero(scored) + ORDER - 1
     if n <= 200:
-        # dense tables: contexts that occur, then context and character
-        small = small.astype(np.int32)
-        context = (small[places - 3] * n + small[places - 2]) * n + small[places - 1]
+        # dense tables: contexts that occur, then context and character; windows are slices, and arrays of 4 bytes a place
+        small = (np.cumsum(there, dtype=np.int32) - 1)[c]
+        context = small[:-3] * np.int32(n)
+        context += small[1:-2]
+        context *= np.int32(n)
+        context += small[2:-1]
+        context = context[scored]
         seen = np.zeros(n ** 3, bool)
         seen[context] = True
-        rank = np.cumsum(seen, dtype=np.int32) - 1
-        full = rank[context] * np.int32(n) + small[places]
+        rank = np.cumsum(seen, dtype=np.int32)
+        rank -= 1
+        full = rank[context]
+        del context
+        full *= np.int32(n)
+        full += small[3:][scored]
         marks = np.zeros((int(rank[-1]) + 1) * n, bool)
+        del rank, small
         marks[full] = True
         which = (np.cumsum(marks, dtype=np.int32) - 1)[full]
         found = np.flatnonzero(marks)
