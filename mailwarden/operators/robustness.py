@@ -5,15 +5,23 @@ partitioning and can be rebuilt after a lost executor. Whole texts are perturbed
 """
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mailwarden import constants as K
 from mailwarden.functions import text as X
-from mailwarden.functions.hashing import MODULUS, draw, draw_unit, hash32, seeded
+from mailwarden.functions.hashing import MODULUS, draw, draw_unit, draws, hash32, seeded
 from mailwarden.functions.text import py_round
 from mailwarden.operators.metrics import classification_metrics, ranking_metrics
 
 ATTACKS = ["homoglyph", "zero_width", "typo", "url", "combined"]
+#: Bytes of text that a task perturbs at once.
+PIECE = 1 << 20
 AUGMENTATIONS = ["whitespace", "casing", "punctuation", "character"]
 
 
@@ -22,36 +30,69 @@ def row_start(seed: int, key: Column) -> Column:
     return hash32(seeded(seed, key)) % F.lit(MODULUS)
 
 
-def homoglyph(text: Column, start: Column, p: float) -> Column:
-    """Each mapped Latin letter becomes its look-alike with probability p."""
-    def swap(s: Column):
-        def one(c: Column, i: Column) -> Column:
-            chosen = F.contains(F.lit(K.HOMOGLYPH_LATIN), c) & (draw_unit(s, i, 1) < p)
-            return F.when(chosen, F.translate(c, K.HOMOGLYPH_LATIN, K.HOMOGLYPH_LOOKALIKE)).otherwise(c)
-        return F.transform(X.code_points(text), one)
-    return F.array_join(X.let(start, swap), "")
+class Points:
+    """Texts as one array of code points, with the place of each in its text and the ``start`` of the text."""
 
+    def __init__(self, texts: list[str], starts: list[int]):
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.row = np.repeat(np.arange(len(texts)), self.sizes)
+        self.place = np.arange(len(self.codes)) - (np.cumsum(self.sizes) - self.sizes)[self.row]
+        self.starts = np.array(starts, np.int64)
 
-def zero_width(text: Column, start: Column, p: float) -> Column:
-    """After each letter, with probability p, one of the zero-width characters."""
-    marks = F.array(*[F.lit(z) for z in K.ZERO_WIDTH])
+    def drawn(self, at: np.ndarray, salt: int) -> np.ndarray:
+        return draws(self.starts[self.row[at]], self.place[at], salt)
 
-    def insert(s: Column):
-        def one(c: Column, i: Column) -> Column:
-            mark = F.element_at(marks, (draw(s, i, 3) % len(K.ZERO_WIDTH) + 1).cast("int"))
-            return F.when((draw_unit(s, i, 2) < p) & c.rlike(r"\p{L}"), F.concat(c, mark)).otherwise(c)
-        return F.transform(X.code_points(text), one)
-    return F.array_join(X.let(start, insert), "")
+
+def _texts(codes: np.ndarray, sizes: np.ndarray) -> list[str]:
+    joined, ends = codes.astype("<u4").tobytes().decode("utf-32-le"), np.cumsum(sizes)
+    return [joined[e - n:e] for n, e in zip(sizes.tolist(), ends.tolist())]
+
+
+_LOOKALIKE = np.zeros(128, np.uint32)
+_LOOKALIKE[[ord(c) for c in K.HOMOGLYPH_LATIN]] = [ord(c) for c in K.HOMOGLYPH_LOOKALIKE]
+_MARKS = np.array([ord(z) for z in K.ZERO_WIDTH], np.uint32)
+_ASCII_LETTER = np.array([chr(c).isalpha() for c in range(128)])
 
 
-def typo(text: Column, start: Column, p: float) -> Column:
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters (Unicode category L)."""
+    out = _ASCII_LETTER[np.minimum(codes, 127)]
+    rest = np.flatnonzero(codes > 127)
+    found, which = np.unique(codes[rest], return_inverse=True)
+    out[rest] = np.array([unicodedata.category(chr(c))[0] == "L" for c in found.tolist()], bool)[which]
+    return out
+
+
+def homoglyph(points: Points, p: float) -> np.ndarray:
+    """Code points where each mapped Latin letter becomes its look-alike with probability p."""
+    out = points.codes.copy()
+    at = np.flatnonzero(_LOOKALIKE[np.minimum(out, 127)] > 0)
+    at = at[points.drawn(at, 1) / float(MODULUS) < p]
+    out[at] = _LOOKALIKE[out[at]]
+    return out
+
+
+def zero_width(points: Points, codes: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """``codes`` at the places of ``points`` with, after each letter with probability p, one of the zero-width characters;
+    and the new sizes of the texts."""
+    at = np.flatnonzero(_letters(codes))
+    at = at[points.drawn(at, 2) / float(MODULUS) < p]
+    marks = _MARKS[points.drawn(at, 3) % len(_MARKS)]
+    return np.insert(codes, at + 1, marks), points.sizes + np.bincount(points.row[at], minlength=len(points.sizes))
+
+
+def typo(text: str, start: int, p: float) -> str:
     """Words over three characters get one adjacent swap with probability p; words are re-joined by blanks."""
-    def swap(s: Column):
-        def one(w: Column, i: Column) -> Column:
-            at = (draw(s, i, 5) % F.greatest(F.length(w) - 1, F.lit(1))).cast("int")
-            return F.when((F.length(w) > 3) & (draw_unit(s, i, 4) < p), swap_at(w, at)).otherwise(w)
-        return F.transform(F.regexp_extract_all(text, F.lit(X.WORD), F.lit(0)), one)
-    return F.array_join(X.let(start, swap), " ")
+    words = text.split()
+    place = np.arange(len(words))
+    chosen = np.flatnonzero(draws(start, place, 4) / float(MODULUS) < p)
+    for i, at in zip(chosen.tolist(), draws(start, chosen, 5).tolist()):
+        w = words[i]
+        if len(w) > 3:
+            at %= len(w) - 1
+            words[i] = w[:at] + w[at + 1] + w[at] + w[at + 2:]
+    return " ".join(words)
 
 
 def swap_at(text: Column, at: Column) -> Column:
@@ -66,30 +107,53 @@ def defang(text: Column) -> Column:
     return F.regexp_replace(out, rf"(?U)\.([a-zA-Z]{{2,6}})([/{X.SPACE}]|$)", "[.]$1$2")
 
 
-def perturb(text: Column, attack: str, start: Column, severity: float = 0.1) -> Column:
-    """One attack; unknown names leave the text unchanged. ``combined`` chains homoglyph, zero width, defang."""
-    if attack == "homoglyph":
-        return homoglyph(text, start, severity)
-    if attack == "zero_width":
-        return zero_width(text, start, severity)
-    if attack == "typo":
-        return typo(text, start, severity)
-    if attack == "url":
-        return defang(text)
-    if attack == "combined":
-        return defang(zero_width(homoglyph(text, start, severity), start, severity))
-    return text
+def perturbed(texts: list[str], starts: list[int], attacks: list[str], severity: float = 0.1) -> list[list[str]]:
+    """The texts under each attack; ``combined`` chains homoglyph and zero width. Other names leave the texts unchanged."""
+    points, out = Points(texts, starts), []
+    swapped = homoglyph(points, severity) if {"homoglyph", "combined"} & set(attacks) else None
+    for attack in attacks:
+        if attack == "homoglyph":
+            out.append(_texts(swapped, points.sizes))
+        elif attack in ("zero_width", "combined"):
+            out.append(_texts(*zero_width(points, points.codes if attack == "zero_width" else swapped, severity)))
+        elif attack == "typo":
+            out.append([typo(t, s, severity) for t, s in zip(texts, starts)])
+        else:
+            out.append(texts)
+    return out
 
 
 def attack_table(df: DataFrame, text: str, attacks: list[str] | None = None, severity: float = 0.1,
                  seed: int = 42, keep: list[str] | None = None) -> DataFrame:
-    """(keep..., attack, text): the clean text and one row per attack."""
+    """(keep..., attack, text): the clean text and one row per attack; unknown names leave the text unchanged.
+
+    Characters are drawn in numpy, pieces of ``PIECE`` characters at a time (as array expressions they were boxed one by
+    one); the links are defanged in the JVM, last where attacks are combined.
+    """
     names = ["clean", *(ATTACKS if attacks is None else attacks)]
-    prepared = df.withColumn("_start", row_start(seed, F.col("sample_id")))
-    variants = F.array(*[
-        F.struct(F.lit(a).alias("attack"), perturb(X.nz(F.col(text)), a, F.col("_start"), severity).alias("text"))
-        for a in names])
-    return prepared.select(*(keep or ["sample_id"]), F.inline(variants))
+    keep = keep or ["sample_id"]
+    made = [a for a in dict.fromkeys(names) if a in ("homoglyph", "zero_width", "typo", "combined")]
+    # bytes that are no characters, which Java shows as U+FFFD, would not reach Python
+    prepared = df.select(*keep, F.make_valid_utf8(X.nz(F.col(text))).alias("_clean"), row_start(seed, F.col("sample_id")).alias("_start"))
+    schema = StructType([*prepared.schema.fields[:len(keep) + 1], *(StructField(f"_{a}", StringType()) for a in made)])
+    shape = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            texts, starts, first, size = batch.column(len(keep)), batch.column(len(keep) + 1), 0, 0
+            for i in range(batch.num_rows):
+                size += len(texts[i].as_buffer())
+                if size >= PIECE or i + 1 == batch.num_rows:
+                    own = texts.slice(first, i + 1 - first)
+                    columns = perturbed(own.to_pylist(), starts.slice(first, i + 1 - first).to_pylist(), made, severity)
+                    kept = [batch.column(c).slice(first, i + 1 - first) for c in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*kept, own, *(pa.array(c, pa.string()) for c in columns)], schema=shape)
+                    first, size = i + 1, 0
+
+    table = prepared.mapInArrow(run, schema)
+    shown = {a: F.col(f"_{a}") if a in made else F.col("_clean") for a in names}
+    shown |= {a: defang(shown[a]) for a in ("url", "combined") if a in shown}
+    return table.select(*keep, F.inline(F.array(*[F.struct(F.lit(a).alias("attack"), shown[a].alias("text")) for a in names])))
 
 
 def _insert_blank(text: Column, start: Column, j: int) -> Column:

@@ -204,3 +204,24 @@ def test_trees_and_svm(spark):
     rows = models.assemble(df, features.LEXICAL[:3])
     for fitted in (models.train_trees(rows, n_trees=2, depth=2), models.train_svm(rows, rows, grid=(1.0,), max_iter=10)):
         assert models.accuracy(fitted.score(rows)) == 1.0
+
+
+def test_attacks_are_drawn_in_numpy(mail):
+    """Each character's draw is that of the column expression, in numpy; no array expression boxes characters."""
+    from mailwarden.functions.hashing import MODULUS, draw, draw_unit, draws
+
+    df = mail(*[{"body": t} for t in ("", None, "Paypal　\xe9\U0001f600 \x1cabcd efgh  ", "aceij" * 300)])
+    table = robustness.attack_table(df, "body", severity=0.5)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "transform(" not in plan
+    got = {(r["sample_id"], r["attack"]): r["text"] for r in table.collect()}
+    assert len(got) == 4 * 6 and got["s000", "combined"] == got["s001", "typo"] == ""
+    start = df.filter("sample_id = 's003'").select(robustness.row_start(42, F.col("sample_id"))).first()[0]
+    at = df.sparkSession.range(1500).select("id", draw(F.lit(start), F.col("id"), 3).alias("d"),
+                                            (draw_unit(F.lit(start), F.col("id"), 1) < 0.5).alias("u")).orderBy("id").collect()
+    place = np.arange(1500)
+    assert draws(start, place, 3).tolist() == [r["d"] for r in at]
+    assert (draws(start, place, 1) / float(MODULUS) < 0.5).tolist() == [r["u"] for r in at]
+    clean, swapped = got["s003", "clean"], got["s003", "homoglyph"]
+    assert [a != b for a, b in zip(clean, swapped)] == [r["u"] for r in at]
+    assert got["s002", "typo"].split(" ")[1] == "\xe9\U0001f600"
