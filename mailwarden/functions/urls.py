@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mailwarden.constants import SUSPICIOUS_URL_TOKENS
-from mailwarden.functions.text import DIGIT_CLASS, SPACE, count, let, nz, py_round, terms_present
+from mailwarden.functions.text import DIGIT, SPACE, count, let, nz, py_round, terms_present
 
 URL = rf"(?iU)(?:https?://|www\.)[^{SPACE}<>\"')\]]+"
 AUDIT_URL = rf"(?iU)https?://[^{SPACE}<>\"']+|www\.[^{SPACE}<>\"']+"
@@ -54,7 +54,7 @@ def measures(u: Column) -> Column:
             F.length(p["path"]).alias("path_length"),
             F.length(p["query"]).alias("query_length"),
             F.greatest(F.lit(0), F.size(F.split(p["host"], r"\.")) - 2).alias("subdomains"),
-            (count(u, f"[{DIGIT_CLASS}]") / F.greatest(length, F.lit(1))).alias("digit_ratio"),
+            (count(u, DIGIT) / F.greatest(length, F.lit(1))).alias("digit_ratio"),
             (count(u, r"[^\p{L}\p{N}./_:\-]") / F.greatest(length, F.lit(1))).alias("special_ratio"),
             count(u, "%").alias("percent_count"),
             p["host"].rlike(r"(?U)^(\d{1,3}\.){3}\d{1,3}$").cast("int").alias("is_ipv4"),

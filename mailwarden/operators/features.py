@@ -55,7 +55,7 @@ def _lexical(subject: Column, body: Column) -> dict[str, Column]:
         # a sentence starts at the first visible character after a terminator
         "sentence_count": _at_least_one(X.count(body, rf"(?U)[^{S}.!?][^.!?]*")),
         "uppercase_ratio": X.count(body, r"\p{IsUppercase}") / chars,
-        "digit_ratio": X.count(body, f"[{X.DIGIT_CLASS}]") / chars,
+        "digit_ratio": X.count(body, X.DIGIT) / chars,
         "punctuation_ratio": X.count(body, rf"(?U)[^\p{{L}}\p{{N}}{S}]") / chars,
         "exclamation_count": X.count(body, "!"),
         "question_count": X.count(body, r"\?"),

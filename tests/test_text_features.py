@@ -120,3 +120,13 @@ def test_scaling(spark):
         scaling.fit_scaler(df, ["a"], "other")
     with pytest.raises(RuntimeError):
         scaling.apply_scaler(df, scaling.fit_scaler(df.limit(0), ["a"]))
+
+
+def test_digits_and_words_are_matched_in_two_steps(spark):
+    """Digits and words are the characters of their full classes; most characters are settled by an ASCII range first."""
+    codes = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(chr(c),) for c in codes], "c string")
+    wrong = df.filter(F.col("c").rlike(X.DIGIT) != F.col("c").rlike(f"[{X.DIGIT_CLASS}]"))
+    assert wrong.isEmpty()
+    assert df.filter(F.col("c").rlike(X.WORD) != F.col("c").rlike(rf"(?U)[^{X.SPACE}]+")).isEmpty()
+    assert X.WORD.startswith("(?U)[!-~")
