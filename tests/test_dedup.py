@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,45 @@ def test_copies_without_shingles_are_compared(spark):
     assert [(r["sample_id"], r["jaccard"], r["is_verified"]) for r in similarity.collect()] == [("b", None, False)]
     kept = dedup.keep_unverified(unified, "unified_cluster_id", similarity)
     assert sorted(r["sample_id"] for r in kept.collect()) == ["a", "c", "d"]
+
+
+def test_open_pairs_are_those_that_parity_bits_cannot_rule_out(spark, monkeypatch):
+    """A family around one text whose members fail against the leader: every similar pair comes out, few others, whatever the
+    blocks; copies of a member come with one row each."""
+    rng = np.random.default_rng(3)
+    core = rng.integers(-2 ** 62, 2 ** 62, 1500)
+    rows, n_own = [], [150, 250, 330]           # own elements of a member; pairs are similar up to 123 on either side
+    for i in range(60):
+        own = rng.integers(-2 ** 62, 2 ** 62, n_own[i % 3] if i % 5 else 60)
+        rows.append((f"m{i:03}", 1, np.concatenate([core, own])))
+    rows += [(f"x{k}{i:03}", 1, rows[i][2]) for i in (1, 2, 5) for k in range(8)]
+    rows = [("a", 1, rng.integers(-2 ** 62, 2 ** 62, 1600)), *rows]
+    members = spark.createDataFrame([(i, 0, "k") for i, _, _ in rows], "sample_id string, band int, key string")
+    sets = spark.createDataFrame([(i, len(h), h.tolist()) for i, _, h in rows], "sample_id string, n int, hashes array<bigint>")
+    none = spark.createDataFrame([("m000", "m001")], "src string, dst string")          # m000 and m001 are one component already
+    got = []
+    for block in (neardup.PAIR_BLOCK, 20000):
+        monkeypatch.setattr(neardup, "PAIR_BLOCK", block)
+        got.append({tuple(sorted(r)) for r in neardup.open_pairs(members, none, sets, 0.85).collect()})
+    assert got[0] == got[1]
+    of = {i: set(h.tolist()) for i, _, h in rows}
+    base = sorted(i for i in of if i[0] == "m")
+    similar = {(a, b) for a in base for b in base if a < b and (a, b) != ("m000", "m001") and len(of[a] & of[b]) >= 0.85 * len(of[a] | of[b])}
+    copies = {(f"m{i:03}", f"x{k}{i:03}") for i in (1, 2, 5) for k in range(8)}
+    assert 0 < len(similar) and similar | copies <= got[0] and len(got[0] - similar - copies) < 100
+
+
+def test_copies_of_open_texts_add_a_link_each(spark, monkeypatch):
+    """Rows repeated under other ids: the pairs to check grow with the rows."""
+    rng, seen, check = random.Random(11), [], neardup.pair_similarity
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    core = text(500)
+    bodies = [core + text(100) for _ in range(12)]
+    monkeypatch.setattr(neardup, "pair_similarity", lambda sets, pairs, t: seen.append(pairs.count()) or check(sets, pairs, t))
+    found = []
+    for n in (2, 8):
+        df = spark.createDataFrame([(f"{i:02}-{k}", b) for i, b in enumerate(bodies) for k in range(n)], "sample_id string, body string")
+        clusters = neardup.near_duplicate_clusters(df, bands=(64, 1)).collect()
+        found.append({(r[0][:2], r[1]) for r in clusters})
+    assert found[0] == found[1] and len({r[1] for r in clusters}) == 12
+    assert 0 < seen[3] <= 8 * seen[1]
