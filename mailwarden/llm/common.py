@@ -36,11 +36,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def salted_join(large: DataFrame, small: DataFrame, key: str, salt_from: str, how: str = "left", salts: int = 32) -> DataFrame:
     """Equi-join on ``key`` where one key may hold a large share of ``large`` and ``small`` has one row per key.
 
-    ``salt_from`` deals the rows of a key over ``salts`` tasks; ``small``, narrow and far shorter, is repeated for each.
+    ``salt_from`` deals the rows of a key over ``salts`` tasks; ``small``, narrow and far shorter, is repeated for each. It
+    still grows with the input, so it is never broadcast: Spark would judge it by its size before it is repeated.
     """
     left = large.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def _bit(columns: list[str], seed: int, bits: int) -> Column:

@@ -220,7 +220,8 @@ def _near(scan: DataFrame, least: int) -> DataFrame:
     chosen = met.groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(choose, "sid long, key long")
     pivots = written(chosen, "jaccard_pivots")
     firsts = written(pivots.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).filter("first < last").drop("last"), "jaccard_firsts")
-    return pivots.join(firsts, "key").filter("sid <> first").select(F.col("sid").alias("src"), F.col("first").alias("dst")).distinct()
+    # a row per shared shingle: a file of a few MB is ten times that on the driver
+    return pivots.join(firsts.hint("merge"), "key").filter("sid <> first").select(F.col("sid").alias("src"), F.col("first").alias("dst")).distinct()
 
 
 class Forest:
