@@ -4,16 +4,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mailwarden.operators.bitmaps import BITS, bitmap, flagged  # noqa: F401
 from mailwarden.session import scratch_path
 
 #: Bytes of text that a Python worker holds as one piece of work.
 PIECE = 2 << 20
 #: Bytes of a row group of written texts or token ids.
 ROW_GROUP = 16 << 20
-#: Bits of a broadcast bitmap: 262,144 words at most.
-BITS = 1 << 24
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,28 +43,6 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salt_from: str, ho
     return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
-def _bit(columns: list[str], seed: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(bits))
-
-
-def bitmap(rows: DataFrame, columns: list[str], seed: int = 1, bits: int = BITS) -> DataFrame:
-    """(_word, _set): a bit for every value of ``columns`` in words of 64, ``bits`` / 64 rows at most; written."""
-    at = rows.select(_bit(columns, seed, bits).alias("at"))
-    words = at.groupBy(F.expr("at div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("_set"))
-    return written(words, "bitmap")
-
-
-def flagged(rows: DataFrame, marks: DataFrame, columns: list[str], name: str, seed: int = 1, bits: int = BITS) -> DataFrame:
-    """Adds ``name``: whether the row's bit is set; if not, its ``columns`` are not among the values of the bitmap.
-
-    The bitmap is broadcast, as its size is fixed. It keeps wide rows out of a shuffle; the exact join of the rows that it
-    lets through decides. A bitmap that fills up lets more rows through, and changes no result.
-    """
-    at = rows.withColumn("_at", _bit(columns, seed, bits)).withColumn("_word", F.expr("_at div 64"))
-    is_set = F.expr("coalesce(shiftrightunsigned(_set, cast(_at % 64 as int)) & 1L, 0L) = 1L")
-    return at.join(F.broadcast(marks), "_word", "left").withColumn(name, is_set).drop("_at", "_word", "_set")
-
-
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE) -> Iterator[list[tuple]]:
     """Rows of Arrow batches (id, text, ...) in lists of at most ``limit`` bytes of text, or of one longer text.
 
